@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import oracles, sharding, warc
+from quillmark.llm import oracles, packing, sharding, warc
 from quillmark.llm.store import table
 
 
@@ -22,9 +22,14 @@ def op7_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op8_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op7_hash_tree_shards": op7_hash_tree_shards,
+    "op8_tier_packing": op8_tier_packing,
 }
 
 ORACLES: dict[str, str] = {
