@@ -105,3 +105,23 @@ select doc_id, size, text_crc32, 'key' as law, shard,
   row_number() over (partition by shard order by chunk, doc_id, text_crc32, size) - 1 as slot, grown_shard
 from rows
 """
+
+
+#: Shingles of whole texts; pairs that share one are compared on both sets; components by repeated least ids.
+OP2 = r"""
+with recursive docs as (
+  select row_number() over () as rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents
+), shingled as (
+  select rid, doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s
+  from docs
+), sizes as (select rid, doc_id, len(s)::bigint as n from shingled),
+each as (select rid, unnest(s) as shingle from shingled),
+shared as (select a.rid as x, b.rid as y, count(*) as n from each a join each b on a.shingle = b.shingle and a.rid <> b.rid group by 1, 2),
+links as (select x, y from shared join sizes p on p.rid = x join sizes q on q.rid = y where 100 * shared.n >= 75 * (p.n + q.n - shared.n)),
+reach(rid, other) as (
+  select rid, rid from sizes union select reach.rid, links.y from reach join links on links.x = reach.other
+)
+select s.doc_id, s.n as n_shingles, min(o.doc_id) as component_id, s.doc_id = min(o.doc_id) as kept
+from sizes s join reach on reach.rid = s.rid join sizes o on o.rid = reach.other group by s.rid, s.doc_id, s.n
+"""

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import oracles, packing, sharding, warc
+from quillmark.llm import neardup, oracles, packing, sharding, warc
 from quillmark.llm.store import table
 
 
@@ -18,6 +18,10 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses(table(spark, sf_dir, "pages"))).drop("warc_headers", "source_headers")
 
 
+def op2_minhash_tensored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
@@ -28,11 +32,13 @@ def op8_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_derivatives": op1_warc_derivatives,
+    "op2_minhash_tensored": op2_minhash_tensored,
     "op7_hash_tree_shards": op7_hash_tree_shards,
     "op8_tier_packing": op8_tier_packing,
 }
 
 ORACLES: dict[str, str] = {
     "op1_warc_derivatives": oracles.OP1,
+    "op2_minhash_tensored": oracles.OP2,
     "op7_hash_tree_shards": oracles.op7(),
 }
