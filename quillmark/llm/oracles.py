@@ -125,3 +125,15 @@ reach(rid, other) as (
 select s.doc_id, s.n as n_shingles, min(o.doc_id) as component_id, s.doc_id = min(o.doc_id) as kept
 from sizes s join reach on reach.rid = s.rid join sizes o on o.rid = reach.other group by s.rid, s.doc_id, s.n
 """
+
+
+OP5 = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score
+  from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)
+), ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 10
+"""

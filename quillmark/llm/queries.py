@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillmark.llm import neardup, oracles, packing, sharding, warc
+from quillmark.llm import neardup, oracles, packing, pivots, sharding, warc
 from quillmark.llm.store import table
 
 
@@ -22,6 +23,10 @@ def op2_minhash_tensored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_pivot_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,7 @@ def op8_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_minhash_tensored": op2_minhash_tensored,
+    "op5_pivot_top10": op5_pivot_top10,
     "op7_hash_tree_shards": op7_hash_tree_shards,
     "op8_tier_packing": op8_tier_packing,
 }
@@ -40,5 +46,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_warc_derivatives": oracles.OP1,
     "op2_minhash_tensored": oracles.OP2,
+    "op5_pivot_top10": oracles.OP5,
     "op7_hash_tree_shards": oracles.op7(),
 }
