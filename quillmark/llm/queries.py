@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import neardup, oracles, packing, pivots, sharding, warc
+from quillmark.llm import neardup, oracles, packing, pivots, sharding, toxicity, warc
 from quillmark.llm.store import table
 
 
@@ -23,6 +23,12 @@ def op2_minhash_tensored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).drop("text")
+
+
 def op5_pivot_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -38,6 +44,7 @@ def op8_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_minhash_tensored": op2_minhash_tensored,
+    "op4_toxicity_mil": op4_toxicity_mil,
     "op5_pivot_top10": op5_pivot_top10,
     "op7_hash_tree_shards": op7_hash_tree_shards,
     "op8_tier_packing": op8_tier_packing,
