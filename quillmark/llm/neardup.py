@@ -7,20 +7,26 @@ as many separate tables would need.  Two texts share a key exactly if two of
 their collections agree, so collections that agree with no other text's are
 dropped before any key is formed.
 
-Steps, each linear in its input:
+Steps:
 
 1. equal texts are one text (grouped by digest, combined before the shuffle);
-2. each text is reduced to its shingle count and its collections' hashes;
+2. each text is reduced to its shingle count, its collections' hashes and one
+   bit of each minhash;
 3. collections shared by two texts or more are kept; a text's remaining pairs
-   of collections give its keys, and keys held by two texts or more its buckets;
-4. every text is compared on its full shingle set with the smallest text among
-   its buckets' first ones; what is confirmed gives components;
-5. buckets that still hold several components compare the texts outside their
-   largest component with the texts of other components there;
+   of collections give its keys, and keys held by two texts or more its
+   buckets; of buckets with the same texts one stays;
+4. rounds: each bucket that holds several components names a root, and every
+   text is compared with the root, of another component, whose bits are nearest;
+   what is confirmed on full shingle sets joins components;
+5. texts of buckets that still hold several components form families (what
+   shared buckets connect); a family is dealt into blocks of bounded size, and
+   every two blocks are compared in a task of their own, which yields only links
+   between components, not pairs;
 6. components of all confirmed links.
 
-Step 5 covers every pair that shares a key and isn't already connected, so no
-link of a candidate pair is lost, however large a bucket is.
+Rounds are linear in the buckets' rows and join what is near; step 5 then covers
+every pair that shares a key and isn't connected yet, so no link of a candidate
+pair is lost, however large a bucket is.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.components import components
@@ -41,6 +47,15 @@ COLLECTIONS = 36
 WIDTH = 4
 SHINGLE = 5
 PERCENT = 75
+ROUNDS = 2
+#: Texts of similarity 0.75 differ in 18 of 144 bits on average, with a deviation of 4; pairs beyond this are no candidates.
+BITS_APART = 42
+#: A family's blocks hold about this many texts, more where that would make over BLOCKS of them, and at most this many shingles (8 bytes each).
+BLOCK_TEXTS = 256
+BLOCKS = 32
+BLOCK_SHINGLES = 2_000_000
+#: Texts in buckets up to this number (16 MB of digests) are found by broadcast, more by shuffling.
+BROADCAST_TEXTS = 500_000
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -48,8 +63,8 @@ def _multipliers(n: int) -> np.ndarray:
     return rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signature(shingles: np.ndarray, collections: int, width: int) -> np.ndarray:
-    """One hash for each collection: the minhashes of its ``width`` functions, joined."""
+def signature(shingles: np.ndarray, collections: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """One hash for each collection, its ``width`` minhashes joined; and a bit of each minhash, 48 a word."""
     a = _multipliers(collections * width)
     least = np.full(collections * width, np.iinfo(np.uint32).max, np.uint32)
     with np.errstate(over="ignore"):
@@ -61,92 +76,156 @@ def signature(shingles: np.ndarray, collections: int, width: int) -> np.ndarray:
         for k in range(width):
             joined = (joined ^ least[k::width].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             joined ^= joined >> np.uint64(31)
-    return joined.view(np.int64)
+        single = (least * np.uint32(0x9E3779B1)) >> np.uint32(31)
+    words = [sum(int(bit) << k for k, bit in enumerate(single[at : at + 48])) for at in range(0, len(single), 48)]
+    return joined.view(np.int64), np.array(words, np.int64)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], collections: int, width: int) -> Iterator[pa.RecordBatch]:
+    longs = pa.list_(pa.int64())
     for batch in batches:
-        sizes, hashes = [], []
+        sizes, hashes, bits = [], [], []
         for text in batch["text"].to_pylist():
             shingles = shingle_set(text, SHINGLE)
             sizes.append(len(shingles))
-            hashes.append(signature(shingles, collections, width) if len(shingles) else None)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tid"], pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "tid", "n_shingles", "halves"])
+            halves, words = signature(shingles, collections, width) if len(shingles) else (None, None)
+            hashes.append(halves)
+            bits.append(words)
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tid"], pa.array(sizes, pa.int64()), pa.array(hashes, longs), pa.array(bits, longs)], ["doc_id", "tid", "n_shingles", "halves", "bits"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         packed = [shingle_set(t, SHINGLE).tobytes() for t in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["tid"], pa.array(packed, pa.binary())], ["tid", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch["sid"], pa.array(packed, pa.binary())], ["sid", "shingles"])
+
+
+def _similar(x: pa.Scalar, y: pa.Scalar, percent: int) -> bool:
+    """Whether two sets of sorted 64-bit hashes share enough."""
+    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(both) - shared)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs whose full sets are similar enough."""
     for batch in batches:
-        kept = []
-        for k, (x, y) in enumerate(zip(batch["x"], batch["y"], strict=True)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.concatenate((x, y))
-            both.sort(kind="stable")
-            shared = int((both[1:] == both[:-1]).sum())
-            if 100 * shared >= percent * (len(both) - shared):
-                kept.append(k)
+        kept = [k for k, (x, y) in enumerate(zip(batch["x"], batch["y"], strict=True)) if _similar(x, y, percent)]
         yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links among ``pairs`` (a, b), compared on the full shingle sets of both texts."""
-    left = sets.select(F.col("tid").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("tid").alias("b"), F.col("shingles").alias("y"))
-    links = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(lambda batches: _confirm(batches, percent), "a binary, b binary")
+    left = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
+    links = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(lambda batches: _confirm(batches, percent), "a long, b long")
     return materialize(links, "confirmed")
 
 
-def buckets(sketches: DataFrame, width: int) -> DataFrame:
-    """(key, tid, n_shingles) for every table key that two texts or more share."""
-    halves = sketches.where("n_shingles > 0").select("tid", "n_shingles", F.posexplode("halves").alias("place", "half"))
+def buckets(sketches: DataFrame) -> DataFrame:
+    """(key, sid) for the table keys that two texts or more share, one key for each set of texts."""
+    halves = sketches.where("n_shingles > 0").select("sid", F.posexplode("halves").alias("place", "half"))
     shared = halves.groupBy("place", "half").agg(F.count("*").alias("n")).where("n > 1").select("place", "half")
     kept = halves.join(shared, ["place", "half"])
-    own = kept.groupBy("tid", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("place", "half"))).alias("own")).where("size(own) > 1")
+    own = kept.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("place", "half"))).alias("own")).where("size(own) > 1")
     pairs = F.expr("flatten(transform(own, (x, i) -> transform(slice(own, i + 2, size(own)), y -> xxhash64(x.place, x.half, y.place, y.half))))")
-    keys = materialize(own.select("tid", "n_shingles", F.explode(pairs).alias("key")), "keys")
-    full = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return materialize(keys.join(full, "key"), "buckets")
+    keys = materialize(own.select("sid", F.explode(pairs).alias("key")), "keys")
+    held = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("y")).where("n > 1")
+    first = held.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    return keys.join(first, "key")
 
 
-def _pair(a, b):
-    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+def _apart(x: list[str], y: list[str]) -> Column:
+    """How many bits differ."""
+    return sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(x, y, strict=True)), F.lit(0))
 
 
-def classes(table: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(tid, component) of every text that a confirmed link names.
+def _sizes_allow(a: str, b: str, percent: int) -> Column:
+    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
-    ``table`` holds the buckets, ``sets`` the shingle set of each text in them.
-    """
-    first = table.groupBy("key").agg(F.min("tid").alias("root"))
-    nearest = table.join(first, "key").where("tid <> root").groupBy("tid").agg(F.min("root").alias("root"))
-    links = _confirmed(nearest.select(*_pair(F.col("tid"), F.col("root"))).distinct(), sets, percent)
+
+def _pair(a: Column, b: Column) -> tuple[Column, Column]:
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def _unsettled(table: DataFrame, links: DataFrame) -> DataFrame:
+    """The buckets of several components, with each text's component and its size under these links."""
     found = materialize(components(links), "components")
     sizes = found.groupBy("component").agg(F.count("*").alias("members"))
-    known = found.join(sizes, "component")
-    placed = materialize(
-        table.join(known.withColumnRenamed("node", "tid"), "tid", "left").select("key", "tid", "n_shingles", F.coalesce("component", "tid").alias("component"), F.coalesce("members", F.lit(1)).alias("members")), "placed"
-    )
-    # of each bucket its largest component; buckets within one component are done
-    main = placed.groupBy("key").agg(F.max(F.struct("members", "component")).alias("main"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", F.col("main.component").alias("main"))
-    rest = placed.join(main, "key")
-    x = rest.where("component <> main").select("key", F.col("tid").alias("p"), F.col("n_shingles").alias("pn"), F.col("component").alias("pc"))
-    y = rest.select("key", F.col("tid").alias("q"), F.col("n_shingles").alias("qn"), F.col("component").alias("qc"), F.col("main"))
-    apart = (
-        (x["key"] == y["key"])
-        & (F.col("pc") != F.col("qc"))
-        & ((F.col("qc") == F.col("main")) | (F.col("p") < F.col("q")))
-        & (F.col("pn") * 100 >= F.col("qn") * percent)
-        & (F.col("qn") * 100 >= F.col("pn") * percent)
-    )
-    cross = materialize(x.join(y, apart).select(*_pair(F.col("p"), F.col("q"))).distinct(), "cross")
-    more = _confirmed(cross, sets, percent)
-    return components(links.union(more)).select(F.col("node").alias("tid"), "component")
+    known = found.join(sizes, "component").select(F.col("node").alias("sid"), F.col("component").alias("new"), F.col("members").alias("new_members"))
+    placed = materialize(table.join(known, "sid", "left").withColumns({"component": F.coalesce("new", "sid"), "members": F.coalesce("new_members", F.lit(1))}).drop("new", "new_members"), "placed")
+    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    return placed.join(several, "key")
+
+
+def classes(table: DataFrame, sets: DataFrame, words: int, percent: int = PERCENT, rounds: int = ROUNDS, apart: int = BITS_APART) -> DataFrame:
+    """(sid, component) of every text that a confirmed link names.
+
+    ``table`` has key, sid, n_shingles and the bits b0.. of each bucket's texts,
+    ``sets`` the shingle set of each of them.
+    """
+    bits = [f"b{k}" for k in range(words)]
+    links = None
+    table = table.withColumns({"component": F.col("sid"), "members": F.lit(1)})
+    for turn in range(rounds):
+        order = F.struct(F.xxhash64(F.lit(turn), "sid").alias("by"), "sid", "component", "n_shingles", *bits)
+        roots = table.groupBy("key").agg(F.min(order).alias("r")).select("key", F.col("r.sid").alias("root"), F.col("r.component").alias("root_component"), F.col("r.n_shingles").alias("root_n"), *[F.col(f"r.{b}").alias(f"root_{b}") for b in bits])
+        met = table.join(roots, "key").where((F.col("component") != F.col("root_component")) & _sizes_allow("n_shingles", "root_n", percent))
+        met = met.select("sid", "root", _apart(bits, [f"root_{b}" for b in bits]).alias("differ")).where(F.col("differ") <= apart)
+        nearest = met.groupBy("sid").agg(F.min(F.struct("differ", "root")).alias("m"))
+        more = _confirmed(nearest.select(*_pair(F.col("sid"), F.col("m.root"))).distinct(), sets, percent)
+        links = more if links is None else links.union(more)
+        table = _unsettled(table.drop("component", "members"), links)
+    table = materialize(table, "unsettled")
+    roots = table.groupBy("key").agg(F.min("sid").alias("root"))
+    families = components(table.join(roots, "key").where("sid <> root").select("sid", "root").distinct(), "sid", "root")
+    nodes = table.select("sid", "n_shingles", "component", *bits).distinct().join(families.withColumnRenamed("node", "sid").withColumnRenamed("component", "family"), "sid")
+    return components(links.union(_across(materialize(nodes, "families"), sets, bits, percent, apart))).select(F.col("node").alias("sid"), "component")
+
+
+def _across(nodes: DataFrame, sets: DataFrame, bits: list[str], percent: int, apart: int) -> DataFrame:
+    """Links between the components of each family, found block by block."""
+    shape = nodes.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    blocks = F.greatest(F.ceil(F.col("s") / BLOCK_SHINGLES), F.least(F.ceil(F.col("n") / BLOCK_TEXTS), F.lit(BLOCKS))).cast("int")
+    dealt = nodes.join(shape.select("family", blocks.alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    full = dealt.join(sets, "sid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = ["block", "sid", "n_shingles", "component", *bits, "shingles"]
+    met = full.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *columns)
+    links = met.groupBy("family", "i", "j").applyInArrow(lambda key, rows: _compare(key, rows, bits, percent, apart), "a long, b long")
+    return materialize(links, "across")
+
+
+def _compare(key: tuple, rows: pa.Table, bits: list[str], percent: int, apart: int) -> pa.Table:
+    """Links that join the components of two blocks (or within one), nearest first; those that a link found before implies are left out."""
+    rows = rows.sort_by("sid")
+    block, sid, n, component = (rows[c].to_numpy() for c in ("block", "sid", "n_shingles", "component"))
+    words = np.stack([rows[b].to_numpy() for b in bits], 1).view(np.uint64)
+    shingles = rows["shingles"].combine_chunks() if rows.num_rows else []
+    first = np.flatnonzero(block == key[1].as_py())
+    second = first if key[1] == key[2] else np.flatnonzero(block == key[2].as_py())
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out: tuple[list, list] = ([], [])
+    for at in range(0, len(first), 512):
+        x = first[at : at + 512]
+        differ = sum(np.bitwise_count(words[x, k][:, None] ^ words[second, k][None, :]).astype(np.int16) for k in range(len(bits)))
+        close = (differ <= apart) & (component[x][:, None] != component[second][None, :]) & (n[x][:, None] * 100 >= n[second][None, :] * percent) & (n[second][None, :] * 100 >= n[x][:, None] * percent)
+        p, q = np.nonzero(close)
+        for k in np.argsort(differ[p, q], kind="stable"):
+            a, b = x[p[k]], second[q[k]]
+            left, right = root(int(component[a])), root(int(component[b]))
+            if left != right and _similar(shingles[int(a)], shingles[int(b)], percent):
+                parent[left] = right
+                out[0].append(min(int(sid[a]), int(sid[b])))
+                out[1].append(max(int(sid[a]), int(sid[b])))
+    return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, collections: int = COLLECTIONS, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -159,19 +238,24 @@ def near_duplicates(docs: DataFrame, collections: int = COLLECTIONS, width: int
     only if its class has none.  Further columns are ignored; no rows give none.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tid", F.unhex(F.md5("text")))
-    rows = materialize(texts.mapInArrow(lambda batches: _sketch(batches, collections, width), "doc_id long, tid binary, n_shingles long, halves array<long>"), "sketches")
+    schema = "doc_id long, tid binary, n_shingles long, halves array<long>, bits array<long>"
+    rows = materialize(texts.mapInArrow(lambda batches: _sketch(batches, collections, width), schema), "sketches")
     # each text is looked up in the row of its smallest id
     ids = rows.groupBy("tid", "doc_id", "n_shingles").agg(F.count("*").alias("n")).groupBy("tid", "n_shingles").agg(F.min(F.struct("doc_id", "n")).alias("at"), F.min("doc_id").alias("least"))
-    ids = materialize(ids.select("tid", "n_shingles", "least", F.col("at.doc_id").alias("row_id"), "at.n"), "ids")
-    sketches = rows.select("tid", "n_shingles", "halves").where("n_shingles > 0").dropDuplicates(["tid"])
-    table = buckets(sketches, width)
-    named = ids.join(table.select("tid").distinct(), "tid", "left_semi").select("tid", "row_id", "n")
-    found_in = texts.alias("t").join(named.alias("w"), (F.col("t.tid") == F.col("w.tid")) & F.col("t.doc_id").eqNullSafe(F.col("w.row_id")), "left_semi")
-    sets = found_in.select("tid", "text").mapInArrow(_sets, "tid binary, shingles binary")
+    ids = materialize(ids.select("tid", "n_shingles", "least", F.col("at.doc_id").alias("row_id"), "at.n").withColumn("sid", F.monotonically_increasing_id()), "ids")
+    sketches = rows.select("tid", "halves", "bits").where("n_shingles > 0").dropDuplicates(["tid"]).join(ids, "tid")
+    words = -(-collections * width // 48)
+    sketches = materialize(sketches.select("sid", "n_shingles", "halves", *[F.col("bits")[k].alias(f"b{k}") for k in range(words)]), "texts")
+    table = materialize(buckets(sketches).join(sketches.drop("halves"), "sid"), "buckets")
+    named = materialize(ids.join(table.select("sid").distinct(), "sid", "left_semi").select("sid", "tid", "row_id", "n"), "named")
+    if named.count() <= BROADCAST_TEXTS:
+        named = F.broadcast(named)
+    found_in = texts.join(named.withColumnRenamed("tid", "own"), (F.col("tid") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("row_id")))
+    sets = found_in.select("sid", "text", "n").mapInArrow(_sets, "sid long, shingles binary")
     if named.where("n > 1").limit(1).count():  # rows that are repeated throughout
-        sets = sets.dropDuplicates(["tid"])
-    found = classes(table, materialize(sets, "sets"), percent)
-    known = materialize(ids.join(found, "tid", "left").withColumn("component", F.coalesce("component", "tid")), "known")
+        sets = sets.dropDuplicates(["sid"])
+    found = classes(table, materialize(sets, "sets"), words, percent)
+    known = materialize(ids.join(found, "sid", "left").withColumn("component", F.coalesce("component", "sid")), "known")
     component_ids = known.groupBy("component").agg(F.min("least").alias("component_id"))
     by_text = known.join(component_ids, "component").select("tid", "component_id")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
