@@ -137,3 +137,52 @@ with v as (
 ), ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
 select query_id, rank, vec_id, score from ranked where rank <= 10
 """
+
+
+def _op3() -> str:
+    from quillmark.llm import imatch
+
+    band = imatch.Band()
+    subsets = imatch.SUBSETS
+    terms = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> ''))"
+
+    def near(a: str, b: str) -> str:
+        part = lambda x, k: f"string_split({x}, ';')[{k}]"
+        level = lambda x: f"try_cast({part(x, 1)} as int)"
+        side = lambda x: f"string_split(case when {level(x)} = greatest({level(a)}, {level(b)}) then {part(x, 2)} else {part(x, 3)} end, '.')"
+        both = f"list_filter(list_zip({side(a)}, {side(b)}), lambda e: e[1] <> '-' or e[2] <> '-')"
+        return f"case when {a} = {b} then 1.0::double when abs({level(a)} - {level(b)}) <= 1 then coalesce(len(list_filter({both}, lambda e: e[1] = e[2])) / nullif(len({both}), 0)::double, 0.0::double) else 0.0::double end"
+
+    return f"""
+with docs as (
+  select row_number() over (order by doc_id nulls first, md5(coalesce(doc_id::varchar, '') || ':' || coalesce(text, ''))) as r, doc_id, coalesce(text, '') as text from documents
+), total as (select count(*) as n from docs),
+follow as (
+  select d.*, length(d.text) as n_chars, e.text as next_text, e.r as next_r from docs d, total t join docs e on e.r = d.r % t.n + 1
+), texts as (
+  select r, next_r, doc_id, n_chars, text, substr(text, 1, n_chars - n_chars // 4) || substr(next_text, 1, n_chars // 4) as edited from follow
+), counted as (select term, count(*) as df from (select unnest({terms.format('text')}) as term from docs) group by term),
+words as (
+  select term, list_transform(range({subsets}), lambda k: ('0x' || substr(md5('a' || term) || md5('b' || term), (4 * k + 1)::int, 4))::int) as draws
+  from counted, total where df >= greatest(2.0, {band.low} * n) and df <= greatest(2.0, {band.high} * n)
+), sides as (select r, 0 as side, text as body from texts union all select r, 1, edited from texts),
+each as (select r, side, unnest({terms.format('body')}) as term from sides),
+found as (select e.r, e.side, w.term, w.draws from each e join words w on w.term = e.term),
+sizes as (select r, side, least({imatch.DEEPEST}, floor(log2(count(*) + 0.5)))::int as level from found group by r, side),
+picked as (
+  select f.r, f.side, k.k, string_agg(f.term, ' ' order by f.term) filter (where f.draws[k.k + 1] < 65536.0 / pow(2, s.level)) as wide,
+    string_agg(f.term, ' ' order by f.term) filter (where f.draws[k.k + 1] < 65536.0 / pow(2, s.level + 1)) as thin
+  from found f join sizes s on s.r = f.r and s.side = f.side cross join range({subsets}) k(k) group by f.r, f.side, k.k
+), joined as (
+  select r, side, string_agg(coalesce(substr(md5(wide), 1, 8), '-'), '.' order by k) as wide, string_agg(coalesce(substr(md5(thin), 1, 8), '-'), '.' order by k) as thin from picked group by r, side
+), prints as (
+  select t.r, t.side, case when s.level is null then 'terms;' || md5(array_to_string(list_sort({terms.format('body')}), ' ')) else s.level || ';' || j.wide || ';' || j.thin end as print
+  from sides t left join sizes s on s.r = t.r and s.side = t.side left join joined j on j.r = t.r and j.side = t.side
+)
+select t.doc_id, t.n_chars::bigint as n_chars, sha256(t.edited) as edited_sha256, a.print as fingerprint, b.print as edited_fingerprint,
+  {near('a.print', 'b.print')} as near_edited, {near('a.print', 'c.print')} as near_next
+from texts t join prints a on a.r = t.r and a.side = 0 join prints b on b.r = t.r and b.side = 1 join prints c on c.r = t.next_r and c.side = 0
+"""
+
+
+OP3 = _op3()

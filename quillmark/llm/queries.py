@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import neardup, oracles, packing, pivots, sharding, toxicity, warc
+from quillmark.llm import imatch, neardup, oracles, packing, pivots, sharding, toxicity, warc
 from quillmark.llm.store import table
 
 
@@ -23,6 +23,10 @@ def op2_minhash_tensored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -44,6 +48,7 @@ def op8_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_minhash_tensored": op2_minhash_tensored,
+    "op3_imatch": op3_imatch,
     "op4_toxicity_mil": op4_toxicity_mil,
     "op5_pivot_top10": op5_pivot_top10,
     "op7_hash_tree_shards": op7_hash_tree_shards,
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_warc_derivatives": oracles.OP1,
     "op2_minhash_tensored": oracles.OP2,
+    "op3_imatch": oracles.OP3,
     "op5_pivot_top10": oracles.OP5,
     "op7_hash_tree_shards": oracles.op7(),
 }
