@@ -53,16 +53,33 @@ def lexicon(texts: DataFrame, band: Band = Band()) -> DataFrame:
     return kept.select("term", draws.alias("draws"))
 
 
-def _hashes(entries: Column, level: Column) -> Column:
-    """For each subset the hash of its terms at this level, ``-`` for none; entries are (draw, subset, term)."""
-    limit = F.lit(65536.0) / F.pow(F.lit(2.0), level)
-    kept = F.filter(entries, lambda e: e["draw"] < limit)
+def _bind(value: Column, use):
+    """``use(value)`` with the value computed once: as the only element of an array that is transformed."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _hashes(entries: Column) -> Column:
+    """For each subset the hash of its terms, ``-`` for none; entries are (draw, subset, term) in the order of terms."""
 
     def one(k: Column) -> Column:
-        own = F.transform(F.filter(kept, lambda e: e["subset"] == k), lambda e: e["term"])
-        return F.when(F.size(own) == 0, F.lit("-")).otherwise(F.substring(F.md5(F.array_join(own, " ")), 1, 8))
+        own = F.transform(F.filter(entries, lambda e: e["subset"] == k), lambda e: e["term"])
+        return _bind(F.array_join(own, " "), lambda joined: F.when(joined == "", "-").otherwise(F.substring(F.md5(joined), 1, 8)))
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one), ".")
+
 
-    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one)
+def _write(s: Column) -> Column:
+    """The fingerprint of (found, level, limit)."""
+
+    def below(t: Column) -> Column:
+        entries = F.transform(t["draws"], lambda d, k: F.struct(d.alias("draw"), k.alias("subset"), t["term"].alias("term")))
+        return F.filter(entries, lambda e: e["draw"] < s["limit"])
+
+    def both(entries: Column) -> Column:
+        thinner = F.filter(entries, lambda e: e["draw"] * 2 < s["limit"])
+        return F.concat_ws(";", s["level"].cast("string"), _hashes(entries), _bind(thinner, _hashes))
+
+    return _bind(F.flatten(F.transform(s["found"], below)), both)
 
 
 def _fingerprint(found: Column, everything: Column) -> Column:
@@ -70,14 +87,16 @@ def _fingerprint(found: Column, everything: Column) -> Column:
 
     ``found`` has (term, draws) of the text's lexicon terms, sorted.
     """
-    level = F.least(F.lit(DEEPEST), F.floor(F.log2(F.size(found).cast("double") + 0.5))).cast("int")
-    limit = F.lit(65536.0) / F.pow(F.lit(2.0), level)
-    entries = F.flatten(F.transform(found, lambda t: F.filter(F.transform(t["draws"], lambda d, k: F.struct(d.alias("draw"), k.alias("subset"), t["term"].alias("term"))), lambda e: e["draw"] < limit)))
 
-    def write(e: Column) -> Column:
-        return F.concat_ws(";", level.cast("string"), F.array_join(_hashes(e, level), "."), F.array_join(_hashes(e, level + 1), "."))
+    def levelled(f: Column) -> Column:
+        level = F.least(F.lit(DEEPEST), F.floor(F.log2(F.size(f) + F.lit(0.5))).cast("int"))
+        return _bind(F.struct(f.alias("found"), level.alias("level")), limited)
+
+    def limited(s: Column) -> Column:
+        limit = F.pow(F.lit(2.0), F.lit(16) - s["level"]).cast("int")
+        return _bind(F.struct(s["found"].alias("found"), s["level"].alias("level"), limit.alias("limit")), _write)
 
-    return F.when(F.size(found) == 0, F.concat(F.lit("terms;"), everything)).otherwise(F.transform(F.array(entries), write)[0])
+    return _bind(found, lambda f: F.when(F.size(f) == 0, F.concat(F.lit("terms;"), everything)).otherwise(levelled(f)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -98,12 +117,13 @@ def fingerprints(texts: DataFrame, keys: list[str], columns: dict[str, str], wor
     ``keys`` must tell rows apart.
     """
     names = list(columns)
-    each = F.concat(*[_marked(c, i) for i, c in enumerate(names)])
-    whole = {f"all_{i}": F.md5(F.array_join(F.array_sort(terms(F.col(c))), " ")) for i, c in enumerate(names)}
-    rows = texts.select(*keys, *[v.alias(k) for k, v in whole.items()], F.explode_outer(each).alias("e")).select(*keys, *whole, "e.of", "e.term")
-    joined = rows.join(F.broadcast(words) if broadcast else words, "term", "left")
+    # a text's terms and, as one entry more, the hash of all of them: computed before rows are multiplied
+    each = F.concat(*[_marked(c, i) for i, c in enumerate(names)], F.array(*[F.struct(F.lit(len(names) + i).alias("of"), F.md5(F.array_join(F.sort_array(terms(F.col(c))), " ")).alias("term")) for i, c in enumerate(names)]))
+    rows = texts.select(*keys, F.explode(each).alias("e")).select(*keys, "e.of", "e.term")
+    joined = rows.join(F.broadcast(words) if broadcast else words, "term", "left").where(F.col("draws").isNotNull() | (F.col("of") >= len(names)))
     found = [F.sort_array(F.collect_list(F.when((F.col("of") == i) & F.col("draws").isNotNull(), F.struct("term", "draws")))).alias(f"found_{i}") for i in range(len(names))]
-    grouped = joined.groupBy(*keys).agg(*[F.first(k).alias(k) for k in whole], *found)
+    whole = [F.max(F.when(F.col("of") == len(names) + i, F.col("term"))).alias(f"all_{i}") for i in range(len(names))]
+    grouped = joined.groupBy(*keys).agg(*whole, *found)
     return grouped.select(*keys, *[_fingerprint(F.col(f"found_{i}"), F.col(f"all_{i}")).alias(columns[c]) for i, c in enumerate(names)])
 
 
