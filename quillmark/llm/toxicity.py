@@ -44,7 +44,7 @@ def features(words: set[str]) -> set[str]:
 
 @dataclass(frozen=True)
 class Settings:
-    sample: int = 6000
+    sample: int = 4000
     longest: int = 20_000
     words: int = 1024
     least_documents: int = 10
@@ -122,10 +122,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
 
 def fit_weights(texts: list[str], toxic: np.ndarray, share: float, settings: Settings) -> Model:
     """Weights that maximise the likelihood of the documents' labels, the classes weighted to their share."""
-    documents = [[features(set(WORD.findall(s))) for s in SENTENCE.findall(t.lower())] for t in texts]
     with_word = (Counter(), Counter())
-    for sentences, label in zip(documents, toxic, strict=True):
-        with_word[int(label)].update(set().union(*sentences) if sentences else ())
+    for text, label in zip(texts, toxic, strict=True):
+        with_word[int(label)].update(features(set(WORD.findall(text.lower()))))
     totals = [max(1, int((toxic == label).sum())) for label in (0, 1)]
 
     def separates(word: str) -> float:
@@ -141,10 +140,11 @@ def fit_weights(texts: list[str], toxic: np.ndarray, share: float, settings: Set
     frequent = [w for w in with_word[0].keys() | with_word[1].keys() if with_word[0][w] + with_word[1][w] >= settings.least_documents]
     words = sorted(frequent, key=lambda w: (-separates(w), w))[: settings.words]
     index = {w: k for k, w in enumerate(words)}
+    del with_word, frequent
     owner, row, column = [], [], []
-    for k, sentences in enumerate(documents):
-        for sentence in sentences:
-            known = [index[w] for w in sentence if w in index]
+    for k, text in enumerate(texts):
+        for sentence in SENTENCE.findall(text.lower()):
+            known = [index[w] for w in features(set(WORD.findall(sentence))) if w in index]
             if known:
                 row += [len(owner)] * len(known)
                 column += known
