@@ -50,6 +50,8 @@ PERCENT = 75
 ROUNDS = 2
 #: Texts of similarity 0.75 differ in 18 of 144 bits on average, with a deviation of 4; pairs beyond this are no candidates.
 BITS_APART = 42
+#: Rows of a bucket that are looked at together for its smallest text.
+BUCKET_PART = 1000
 #: A family's blocks hold about this many texts, more where that would make over BLOCKS of them, and at most this many shingles (8 bytes each).
 BLOCK_TEXTS = 256
 BLOCKS = 32
@@ -132,8 +134,9 @@ def buckets(sketches: DataFrame) -> DataFrame:
     own = kept.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("place", "half"))).alias("own")).where("size(own) > 1")
     pairs = F.expr("flatten(transform(own, (x, i) -> transform(slice(own, i + 2, size(own)), y -> xxhash64(x.place, x.half, y.place, y.half))))")
     keys = materialize(own.select("sid", F.explode(pairs).alias("key")), "keys")
+    # two digests of its texts tell a bucket from others
     held = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("y")).where("n > 1")
-    first = held.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    first = held.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.col("n").alias("held_by"))
     return keys.join(first, "key")
 
 
@@ -179,8 +182,13 @@ def classes(table: DataFrame, sets: DataFrame, words: int, percent: int = PERCEN
         links = more if links is None else links.union(more)
         table = _unsettled(table.drop("component", "members"), links)
     table = materialize(table, "unsettled")
-    roots = table.groupBy("key").agg(F.min("sid").alias("root"))
-    families = components(table.join(roots, "key").where("sid <> root").select("sid", "root").distinct(), "sid", "root")
+    # ties to a bucket's smallest text; in large buckets by way of the smallest of each part
+    part = F.when(F.col("held_by") > BUCKET_PART, F.pmod(F.xxhash64("sid"), F.ceil(F.col("held_by") / BUCKET_PART))).otherwise(F.lit(0))
+    parts = table.select("key", "sid", "held_by", part.alias("part")).withColumn("root", F.expr("min(sid) over (partition by key, part)"))
+    large = parts.where(F.col("held_by") > BUCKET_PART).select("key", "root").distinct()
+    tops = large.join(large.groupBy("key").agg(F.min("root").alias("top")), "key").select(F.col("root").alias("sid"), F.col("top").alias("root"))
+    ties = parts.select("sid", "root").distinct().union(tops)
+    families = components(ties.where("sid <> root").distinct(), "sid", "root")
     nodes = table.select("sid", "n_shingles", "component", *bits).distinct().join(families.withColumnRenamed("node", "sid").withColumnRenamed("component", "family"), "sid")
     return components(links.union(_across(materialize(nodes, "families"), sets, bits, percent, apart))).select(F.col("node").alias("sid"), "component")
 
@@ -237,6 +245,11 @@ def near_duplicates(docs: DataFrame, collections: int = COLLECTIONS, width: int
     A row without an id has the smallest id of its class, or none, and is kept
     only if its class has none.  Further columns are ignored; no rows give none.
     """
+    return _classified(docs, collections, width, percent).drop("tid")
+
+
+def _classified(docs: DataFrame, collections: int, width: int, percent: int) -> DataFrame:
+    """As ``near_duplicates``, with the text's digest."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tid", F.unhex(F.md5("text")))
     schema = "doc_id long, tid binary, n_shingles long, halves array<long>, bits array<long>"
     rows = materialize(texts.mapInArrow(lambda batches: _sketch(batches, collections, width), schema), "sketches")
@@ -259,5 +272,21 @@ def near_duplicates(docs: DataFrame, collections: int = COLLECTIONS, width: int
     component_ids = known.groupBy("component").agg(F.min("least").alias("component_id"))
     by_text = known.join(component_ids, "component").select("tid", "component_id")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    out = rows.select("doc_id", "tid", "n_shingles").join(by_text, "tid").select("doc_id", "n_shingles", own.alias("component_id"))
+    out = rows.select("doc_id", "tid", "n_shingles").join(by_text, "tid").select("doc_id", "tid", "n_shingles", own.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stand for their class of near-duplicates.
+
+    That is the row of the smallest id; of rows without an id, those that have
+    no other in their class stay.  Rows repeated throughout stay as often.
+    """
+    columns = docs.columns
+    found = materialize(_classified(docs, COLLECTIONS, WIDTH, PERCENT), "classes")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("tid").alias("__tid")).distinct()
+    gone = materialize(gone, "gone")
+    if gone.count() <= BROADCAST_TEXTS:
+        gone = F.broadcast(gone)
+    tid = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return docs.withColumn("__own", tid).join(gone, (F.col("__own") == F.col("__tid")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti").select(*columns)

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import imatch, neardup, oracles, packing, pivots, sharding, toxicity, warc
-from quillmark.llm.store import table
+from quillmark.llm import imatch, lines, neardup, oracles, packing, pieces, pivots, rollups, sharding, toxicity, warc
+from quillmark.llm.store import fresh_path, materialize, table
 
 
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_pivot_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op6_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op7_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
@@ -45,14 +49,38 @@ def op8_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.without_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_removed", F.length("clean_text").cast("long").alias("clean_chars"), F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
+def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four commits: all documents come in; later copies of a text go; what isn't English moves to another tokenizer; the first again, in vain."""
+    docs = table(spark, sf_dir, "documents")
+    store = fresh_path(spark, "rollups")
+    counts = materialize(rollups.counted(docs), "counts")
+    rollups.commit(store, "load", rollups.signed(counts, 1))
+    first = counts.groupBy("tid").agg(F.min("doc_id").alias("first_id"))
+    copies = counts.join(first, "tid").where("doc_id <> first_id")
+    rollups.commit(store, "copies", rollups.signed(copies, -1))
+    kept = counts.join(first, "tid").where("doc_id = first_id")
+    words = rollups.words_counted(docs).join(first, "tid").where("doc_id = first_id and lang <> 'en'")
+    rollups.commit(store, "tokenizer", rollups.revised(kept.where("lang <> 'en'"), words))
+    rollups.commit(store, "load", rollups.signed(counts, 1))
+    return rollups.totals(spark, store, ["load", "copies", "tokenizer"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_minhash_tensored": op2_minhash_tensored,
     "op3_imatch": op3_imatch,
     "op4_toxicity_mil": op4_toxicity_mil,
     "op5_pivot_top10": op5_pivot_top10,
+    "op6_streaming_viterbi": op6_streaming_viterbi,
     "op7_hash_tree_shards": op7_hash_tree_shards,
     "op8_tier_packing": op8_tier_packing,
+    "op9_line_chunks": op9_line_chunks,
+    "op10_token_rollups": op10_token_rollups,
 }
 
 ORACLES: dict[str, str] = {
