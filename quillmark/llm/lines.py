@@ -46,7 +46,7 @@ def chunks(text: Column) -> Column:
         def begins(i: Column) -> Column:
             before, here = F.element_at(units, i), F.element_at(units, i + 1)
             hard = (here["long"] & here["first"]) | (before["long"] & ~here["long"])
-            earlier = F.when(i > 1, F.element_at(hashes, F.greatest(i - 1, F.lit(1)))).otherwise(F.lit(0))
+            earlier = F.when(i > 1, F.element_at(hashes, F.greatest(i - 1, F.lit(1)))).otherwise(F.lit(0).cast("long"))
             return hard | (F.pmod(earlier * 31 + F.element_at(hashes, i), F.lit(DIVISOR)) == 0)
 
         inner = F.when(F.size(units) > 1, F.filter(F.sequence(F.lit(1), F.size(units) - 1), begins)).otherwise(F.array().cast("array<int>"))
@@ -62,7 +62,7 @@ def chunks(text: Column) -> Column:
         )
 
     def hashed(units: Column) -> Column:
-        numbers = F.transform(units, lambda x: F.conv(F.substring(F.md5(F.rtrim(F.replace(x["u"], F.lit("\n"), F.lit(" ")))), 1, 6), 16, 10).cast("int"))
+        numbers = F.transform(units, lambda x: F.crc32(content(x["u"])))
         return _bind(F.struct(units.alias("units"), numbers.alias("hashes")), cut)
 
     return F.when(text == "", F.array().cast("array<string>")).otherwise(_bind(_lines(text), hashed))
@@ -70,11 +70,13 @@ def chunks(text: Column) -> Column:
 
 def content(chunk: Column) -> Column:
     """What of a chunk is compared: all but the blanks and line breaks at its end."""
-    return F.regexp_replace(chunk, "[ \n]+\\z", "")
+    return F.rtrim(chunk, F.lit(" \n"))
 
 
 def word_count(chunk: Column) -> Column:
-    return F.size(F.split(F.regexp_replace(chunk, "\\A[ \n]+|[ \n]+\\z", ""), "[ \n]+"))
+    """Blanks and line breaks inside, and one."""
+    inside = content(chunk)
+    return F.length(inside) - F.length(F.translate(inside, " \n", "")) + 1
 
 
 def removed_chunks(texts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
