@@ -46,7 +46,8 @@ def chunks(text: Column) -> Column:
         def begins(i: Column) -> Column:
             before, here = F.element_at(units, i), F.element_at(units, i + 1)
             hard = (here["long"] & here["first"]) | (before["long"] & ~here["long"])
-            earlier = F.when(i > 1, F.element_at(hashes, F.greatest(i - 1, F.lit(1)))).otherwise(F.lit(0).cast("long"))
+            # the window doesn't reach back beyond a long line's start
+            earlier = F.when((i > 1) & ~before["first"], F.element_at(hashes, F.greatest(i - 1, F.lit(1)))).otherwise(F.lit(0).cast("long"))
             return hard | (F.pmod(earlier * 31 + F.element_at(hashes, i), F.lit(DIVISOR)) == 0)
 
         inner = F.when(F.size(units) > 1, F.filter(F.sequence(F.lit(1), F.size(units) - 1), begins)).otherwise(F.array().cast("array<int>"))
