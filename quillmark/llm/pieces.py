@@ -42,7 +42,9 @@ class Pieces:
 
     def __init__(self, texts: list[str], scores: list[float], byte_ids: dict[int, int]):
         self.texts, self.byte_ids = texts, byte_ids
-        self.bytes_of = {i: b for b, i in byte_ids.items()}
+        self.spelling = [t.encode() for t in texts]
+        for byte, i in byte_ids.items():
+            self.spelling[i] = bytes([byte])
         self.trie: dict = {}
         self.longest = 1
         special = set(byte_ids.values())
@@ -141,10 +143,7 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids; word marks are blanks, but for the first."""
-        if any(i in self.bytes_of for i in ids):
-            text = b"".join(bytes([self.bytes_of[i]]) if i in self.bytes_of else self.texts[i].encode() for i in ids).decode("utf-8", "surrogatepass")
-        else:
-            text = "".join(map(self.texts.__getitem__, ids))
+        text = b"".join(map(self.spelling.__getitem__, ids)).decode("utf-8", "surrogatepass")
         return text.removeprefix(MARK).replace(MARK, " ")
 
 
