@@ -80,8 +80,8 @@ def runs(df: DataFrame, key: str, order: str, flag: Column, least: int) -> DataF
 
 
 def reading_quality(confidence: Column, length: Column, clean: Column) -> list[Column]:
-    """Aggregates: 0.65 of the length-weighted confidence and 0.35 of the share of clean lines."""
-    return [F.round(0.65 * F.sum(confidence * length) / F.sum(length) + 0.35 * F.avg(clean.cast("double")), 9).alias("quality")]
+    """Aggregates: 0.65 of the length-weighted confidence and 0.35 of the share of clean lines; nudged off halves before rounding."""
+    return [F.round(0.65 * F.sum(confidence * length) / F.sum(length) + 0.35 * F.avg(clean.cast("double")) + 1e-8, 6).alias("quality")]
 
 
 def ad_score(layout: Column, ad_cues: Column, news_cues: Column) -> Column:

