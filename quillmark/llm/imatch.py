@@ -132,7 +132,7 @@ def _marked(column: str, i: int) -> Column:
 
 
 def with_next(rows: DataFrame, buckets: int) -> DataFrame:
-    """(rk, next_rk, n_chars) in ascending (doc_id, rk), the last followed by the first.
+    """(rk, next_rk, doc_id, n_chars, n) in ascending (doc_id, rk), the last followed by the first.
 
     Rows are range-partitioned; the followers across partitions come from a
     table of one row for each partition.
@@ -141,7 +141,7 @@ def with_next(rows: DataFrame, buckets: int) -> DataFrame:
     inside = ranged.withColumn("next_rk", F.expr("lead(rk) over (partition by bucket order by doc_id, rk)"))
     firsts = ranged.groupBy("bucket").agg(F.min_by("rk", F.struct(F.col("doc_id").isNotNull(), "doc_id", "rk")).alias("first_rk"))
     follow = firsts.select("bucket", F.expr("coalesce(lead(first_rk) over (order by bucket), first_value(first_rk) over (order by bucket))").alias("after"))
-    return inside.join(F.broadcast(follow), "bucket").select("rk", F.coalesce("next_rk", "after").alias("next_rk"), "n_chars", "n")
+    return inside.join(F.broadcast(follow), "bucket").select("rk", F.coalesce("next_rk", "after").alias("next_rk"), "doc_id", "n_chars", "n")
 
 
 def edited_fingerprints(docs: DataFrame, band: Band = Band(), rows_per_bucket: int = 4096, most_buckets: int = 4000) -> DataFrame:
@@ -163,13 +163,17 @@ def edited_fingerprints(docs: DataFrame, band: Band = Band(), rows_per_bucket: i
     words = materialize(lexicon(docs.select(body.alias("text")), band), "lexicon")
     small = words.count() <= band.broadcast_terms
     order = with_next(unique, max(1, min(most_buckets, total // rows_per_bucket)))
-    links = order.select("rk", "next_rk", "n_chars", F.lit(1).cast("long").alias("copies")).union(order.where("n > 1").select("rk", F.col("rk").alias("next_rk"), "n_chars", F.col("n") - 1))
-    links = materialize(links.groupBy("rk", "next_rk", "n_chars").agg(F.sum("copies").alias("copies")), "followers")
-    heads = texts.select(F.col("rk").alias("next_rk"), F.col("text").alias("next_text")).join(links, "next_rk").select("rk", "next_rk", "n_chars", "copies", F.expr("substring(next_text, 1, cast(n_chars div 4 as int))").alias("head"))
-    pairs = texts.join(heads, "rk").withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 4 as int))"), "head"))
-    kept = ["rk", "next_rk"]
+    own = ["rk", "next_rk", "doc_id", "n_chars"]
+    links = order.select(*own, F.lit(1).cast("long").alias("copies")).union(order.where("n > 1").select("rk", F.col("rk").alias("next_rk"), "doc_id", "n_chars", F.col("n") - 1))
+    links = materialize(links.groupBy(*own).agg(F.sum("copies").alias("copies")), "followers")
+    # one exchange of the texts serves both joins: first a text sends its head to the row before it, then it meets the head
+    # of the row after it; terms are grouped where the texts lie, without another exchange
+    bodies = texts.select("rk", "text")
+    before = links.select(F.col("rk").alias("before_rk"), F.col("next_rk").alias("rk"), "doc_id", "n_chars", "copies")
+    heads = bodies.join(before, "rk").select(F.col("before_rk").alias("rk"), F.col("rk").alias("next_rk"), "doc_id", "n_chars", "copies", F.expr("substring(text, 1, cast(n_chars div 4 as int))").alias("head"))
+    pairs = bodies.join(heads, "rk").withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 4 as int))"), "head"))
     pairs = pairs.withColumn("edited_sha256", F.sha2("edited", 256))
-    prints = fingerprints(pairs, [*kept, "doc_id", "n_chars", "copies", "edited_sha256"], {"text": "fingerprint", "edited": "edited_fingerprint"}, words, small)
+    prints = fingerprints(pairs, [*own, "copies", "edited_sha256"], {"text": "fingerprint", "edited": "edited_fingerprint"}, words, small)
     prints = materialize(prints, "fingerprints")
     following = prints.select(F.col("rk").alias("next_rk"), F.col("fingerprint").alias("next_fingerprint")).dropDuplicates(["next_rk"])
     out = prints.join(following, "next_rk").select(

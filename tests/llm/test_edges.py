@@ -142,6 +142,9 @@ def test_imatch(spark):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got.values())
     assert imatch.edited_fingerprints(docs(spark, ODD)).count() == len(ODD)
     assert imatch.edited_fingerprints(docs(spark, [])).count() == 0
+    # a lexicon too large for one value is joined instead, with the same results
+    joined = imatch.edited_fingerprints(docs(spark, ODD), imatch.Band(broadcast_terms=-1))
+    assert sorted(map(repr, joined.collect())) == sorted(map(repr, imatch.edited_fingerprints(docs(spark, ODD)).collect()))
 
 
 def test_pivots_against_brute_force(spark):
