@@ -44,13 +44,16 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(texts: DataFrame, band: Band = Band()) -> DataFrame:
-    """term and draws: for each subset 16 random bits of the term, as a number."""
+    """The terms of the band, as ``term``."""
     n = texts.count()
     counted = texts.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    kept = counted.where((F.col("df") >= F.lit(max(2.0, band.low * n))) & (F.col("df") <= F.lit(max(2.0, band.high * n))))
-    bits = F.concat(F.md5(F.concat(F.lit("a"), "term")), F.md5(F.concat(F.lit("b"), "term")))
-    draws = F.array(*[F.conv(F.substring(bits, 4 * k + 1, 4), 16, 10).cast("int") for k in range(SUBSETS)])
-    return kept.select("term", draws.alias("draws"))
+    return counted.where((F.col("df") >= F.lit(max(2.0, band.low * n))) & (F.col("df") <= F.lit(max(2.0, band.high * n)))).select("term")
+
+
+def draws(term: Column) -> Column:
+    """For each subset 16 random bits of the term, as a number; they follow from the term, so no row carries them."""
+    bits = F.concat(F.md5(F.concat(F.lit("a"), term)), F.md5(F.concat(F.lit("b"), term)))
+    return _bind(bits, lambda b: F.array(*[F.conv(F.substring(b, 4 * k + 1, 4), 16, 10).cast("int") for k in range(SUBSETS)]))
 
 
 def _bind(value: Column, use):
@@ -112,19 +115,23 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprints(texts: DataFrame, keys: list[str], columns: dict[str, str], words: DataFrame, broadcast: bool) -> DataFrame:
-    """``keys`` and a fingerprint for each text column; ``columns`` maps text columns to the names of their fingerprints.
+    """``keys`` and, for each text column, its SHA-256 and a fingerprint; ``columns`` maps text columns to the names of their fingerprints.
 
     ``keys`` must tell rows apart.
     """
     names = list(columns)
-    # a text's terms and, as one entry more, the hash of all of them: computed before rows are multiplied
-    each = F.concat(*[_marked(c, i) for i, c in enumerate(names)], F.array(*[F.struct(F.lit(len(names) + i).alias("of"), F.md5(F.array_join(F.sort_array(terms(F.col(c))), " ")).alias("term")) for i, c in enumerate(names)]))
+    # a text's terms and, as entries more, the hash of all of them and the text's digest: computed before rows are multiplied
+    digests = F.array(*[F.struct(F.lit(2 * len(names) + i).alias("of"), F.sha2(c, 256).alias("term")) for i, c in enumerate(names)])
+    each = F.concat(*[_marked(c, i) for i, c in enumerate(names)], digests, F.array(*[F.struct(F.lit(len(names) + i).alias("of"), F.md5(F.array_join(F.sort_array(terms(F.col(c))), " ")).alias("term")) for i, c in enumerate(names)]))
     rows = texts.select(*keys, F.explode(each).alias("e")).select(*keys, "e.of", "e.term")
-    joined = rows.join(F.broadcast(words) if broadcast else words, "term", "left").where(F.col("draws").isNotNull() | (F.col("of") >= len(names)))
-    found = [F.sort_array(F.collect_list(F.when((F.col("of") == i) & F.col("draws").isNotNull(), F.struct("term", "draws")))).alias(f"found_{i}") for i in range(len(names))]
+    known = words.select("term", F.lit(True).alias("known"))
+    joined = rows.join(F.broadcast(known) if broadcast else known, "term", "left").where(F.col("known") | (F.col("of") >= len(names)))
+    found = [F.sort_array(F.collect_list(F.when(F.col("of") == i, F.col("term")))).alias(f"found_{i}") for i in range(len(names))]
     whole = [F.max(F.when(F.col("of") == len(names) + i, F.col("term"))).alias(f"all_{i}") for i in range(len(names))]
-    grouped = joined.groupBy(*keys).agg(*whole, *found)
-    return grouped.select(*keys, *[_fingerprint(F.col(f"found_{i}"), F.col(f"all_{i}")).alias(columns[c]) for i, c in enumerate(names)])
+    sums = [F.max(F.when(F.col("of") == 2 * len(names) + i, F.col("term"))).alias(f"{c}_sha256") for i, c in enumerate(names)]
+    grouped = joined.groupBy(*keys).agg(*whole, *sums, *found)
+    drawn = lambda i: F.transform(f"found_{i}", lambda t: F.struct(t.alias("term"), draws(t).alias("draws")))
+    return grouped.select(*keys, *[f"{c}_sha256" for c in names], *[_fingerprint(drawn(i), F.col(f"all_{i}")).alias(columns[c]) for i, c in enumerate(names)])
 
 
 def _marked(column: str, i: int) -> Column:
@@ -172,8 +179,7 @@ def edited_fingerprints(docs: DataFrame, band: Band = Band(), rows_per_bucket: i
     before = links.select(F.col("rk").alias("before_rk"), F.col("next_rk").alias("rk"), "doc_id", "n_chars", "copies")
     heads = bodies.join(before, "rk").select(F.col("before_rk").alias("rk"), F.col("rk").alias("next_rk"), "doc_id", "n_chars", "copies", F.expr("substring(text, 1, cast(n_chars div 4 as int))").alias("head"))
     pairs = bodies.join(heads, "rk").withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 4 as int))"), "head"))
-    pairs = pairs.withColumn("edited_sha256", F.sha2("edited", 256))
-    prints = fingerprints(pairs, [*own, "copies", "edited_sha256"], {"text": "fingerprint", "edited": "edited_fingerprint"}, words, small)
+    prints = fingerprints(pairs, [*own, "copies"], {"text": "fingerprint", "edited": "edited_fingerprint"}, words, small)
     prints = materialize(prints, "fingerprints")
     following = prints.select(F.col("rk").alias("next_rk"), F.col("fingerprint").alias("next_fingerprint")).dropDuplicates(["next_rk"])
     out = prints.join(following, "next_rk").select(
