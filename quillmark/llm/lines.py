@@ -1,14 +1,18 @@
-"""Line dedup by content-defined chunks.
-
-A text is cut into lines; a long line counts as the several lines that its
-sentences are.  A rolling hash over the hashes of two neighbouring lines sets
-the chunk boundaries, so they move with the content; a long line also starts
-and ends a chunk.  Chunks that occur before, anywhere in the corpus (by doc_id,
-then place), are removed where a run of them has ``least_words`` words or more.
-A chunk counts as occurring before only if its bytes are equal.
+"""Line dedup by content-defined places of comparison.
+
+A text is read as words, cut at blanks and line breaks.  Of the hashes of all
+short word sequences the smallest in each window is an anchor, so anchors move
+with the content, lie at most a window apart and need no punctuation: any two
+equal passages of ``least_words`` words share one.  Where an anchor occurs more
+than once, the windows of ``least_words`` words around it are compared by
+digest (128 bits of SHA-256), together or one by one, and those that occur
+before, anywhere in the corpus (by doc_id, then place), are removed.  Windows overlap word by word, so
+a passage goes up to its last equal word on both sides; only short lines that
+it covers by half or less stay whole.  Blanks and line breaks between words
+aren't compared.
 
 DataFrame functions only.  Occurrences are counted with partial aggregation;
-only repeated chunks carry their text through a shuffle.
+only windows around repeated anchors go through a shuffle.
 """
 
 from __future__ import annotations
@@ -19,8 +23,8 @@ from pyspark.sql import functions as F
 from quillmark.llm.store import materialize
 
 LONG_LINE = 120
-DIVISOR = 3
 LEAST_WORDS = 25
+BLANKS = " \n"
 
 
 def _bind(value: Column, use):
@@ -28,91 +32,139 @@ def _bind(value: Column, use):
     return F.transform(F.array(value), use)[0]
 
 
-def _lines(text: Column) -> Column:
-    """(u, long, first): the lines of a text with their separators; a long line's sentences each."""
+def _over(values: Column, length: int, f, size: int = 1) -> Column:
+    """At each place ``f`` over the ``length`` values from there, up to eight parts at a time; f may read a value twice."""
+    if size == length:
+        return values
+    parts = min(8, -(-length // size))
+    reached = min(length, parts * size)
+    steps = [min(k * size, reached - size) for k in range(1, parts)]
+    return _over(_bind(values, lambda v: F.transform(v, lambda x, i: f(x, *[F.get(v, i + n) for n in steps]))), length, f, reached)
+
+
+def _words(text: Column) -> Column:
+    return F.split(F.trim(text, F.lit(BLANKS)), f"[{BLANKS}]+")
+
+
+def anchors(text: Column, least_words: int = LEAST_WORDS) -> Column:
+    """(start, stop, h): the windows of ``least_words`` words from start to before stop have the anchor h."""
+    gram = max(1, least_words // 3)
+    reach = least_words - gram + 1
 
-    def parts(line: Column) -> Column:
-        long = F.length(line) >= LONG_LINE
-        sentences = F.transform(F.split(line, "(?<=[.!?] )"), lambda s, j: F.struct(s.alias("u"), F.lit(True).alias("long"), (j == 0).alias("first")))
-        return F.when(long, sentences).otherwise(F.array(F.struct(line.alias("u"), F.lit(False).alias("long"), F.lit(False).alias("first"))))
+    def found(b: Column) -> Column:
+        low, n = b["low"], b["n"]
+        here = lambda i: F.get(low, i)
+        # windows a whole reach apart with one anchor hold two occurrences of it
+        begins = lambda i: (i == 0) | (here(i) != here(i - 1)) | ((i >= reach) & (here(i) == here(i - reach)))
+        starts = F.filter(F.sequence(F.lit(0), n - least_words), lambda i: (i == 0) | F.coalesce(begins(i), F.lit(False)))
+        return _bind(starts, lambda s: F.transform(s, lambda i, k: F.struct(i.alias("start"), F.coalesce(F.get(s, k + 1), n - least_words + 1).alias("stop"), here(i).alias("h"))))
 
-    return F.flatten(F.transform(F.split(text, "(?<=\n)"), parts))
+    def placed(words: Column) -> Column:
+        grams = _over(F.transform(words, lambda w: F.xxhash64(w)), gram, F.xxhash64)
+        low = _over(grams, reach, F.least)
+        return F.when(F.size(words) >= least_words, _bind(F.struct(low.alias("low"), F.size(words).alias("n")), found))
+
+    return _bind(_words(text), placed)
 
 
 def chunks(text: Column) -> Column:
-    """The chunks of a text in order; joined, they are the text."""
+    """The words of a text in order, each with the blanks after it, the first with those before it; joined, they are the text."""
+    before = F.regexp_extract(text, f"^[{BLANKS}]+", 0)
+    cut = F.split(F.ltrim(text, F.lit(BLANKS)), f"(?<=[{BLANKS}])(?=[^{BLANKS}])")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.transform(cut, lambda w, i: F.when(i == 0, F.concat(before, w)).otherwise(w)))
 
-    def starts(units: Column, hashes: Column) -> Column:
-        def begins(i: Column) -> Column:
-            before, here = F.element_at(units, i), F.element_at(units, i + 1)
-            hard = (here["long"] & here["first"]) | (before["long"] & ~here["long"])
-            # the window doesn't reach back beyond a long line's start
-            earlier = F.when((i > 1) & ~before["first"], F.element_at(hashes, F.greatest(i - 1, F.lit(1)))).otherwise(F.lit(0).cast("long"))
-            return hard | (F.pmod(earlier * 31 + F.element_at(hashes, i), F.lit(DIVISOR)) == 0)
 
-        inner = F.when(F.size(units) > 1, F.filter(F.sequence(F.lit(1), F.size(units) - 1), begins)).otherwise(F.array().cast("array<int>"))
-        return F.concat(F.array(F.lit(0)), inner, F.array(F.size(units)))
+def _digest(words: Column, start: Column, stop: Column) -> Column:
+    return F.unhex(F.substring(F.sha2(F.array_join(F.slice(words, start + 1, stop - start), " "), 256), 1, 32))
 
-    def cut(s: Column) -> Column:
-        return _bind(
-            F.struct(s["units"].alias("units"), starts(s["units"], s["hashes"]).alias("at")),
-            lambda b: F.transform(
-                F.sequence(F.lit(1), F.size(b["at"]) - 1),
-                lambda k: F.array_join(F.transform(F.slice(b["units"], F.element_at(b["at"], k) + 1, F.element_at(b["at"], k + 1) - F.element_at(b["at"], k)), lambda x: x["u"]), ""),
-            ),
-        )
 
-    def hashed(units: Column) -> Column:
-        numbers = F.transform(units, lambda x: F.crc32(content(x["u"])))
-        return _bind(F.struct(units.alias("units"), numbers.alias("hashes")), cut)
+def _spans(text: Column, near: Column, least_words: int) -> Column:
+    """``near`` with the digest of all words of its windows."""
+    return _bind(_words(text), lambda words: F.transform(near, lambda e: F.struct(e["start"], e["stop"], e["h"], _digest(words, e["start"], e["stop"] + least_words - 1).alias("digest"))))
 
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(_bind(_lines(text), hashed))
 
+def _windows(text: Column, near: Column, least_words: int) -> Column:
+    """(start, stop, digest) of each window of ``near``."""
+    one = lambda words, p: F.struct(p.alias("start"), (p + 1).alias("stop"), _digest(words, p, p + least_words).alias("digest"))
+    return _bind(_words(text), lambda words: F.flatten(F.transform(near, lambda e: F.transform(F.sequence(e["start"], e["stop"] - 1), lambda p: one(words, p)))))
 
-def content(chunk: Column) -> Column:
-    """What of a chunk is compared: all but the blanks and line breaks at its end."""
-    return F.rtrim(chunk, F.lit(" \n"))
 
+def _with_later(rows: DataFrame, key: list[str], least_words: int) -> tuple[DataFrame, DataFrame]:
+    """The keys with their number and first row; the rows with ``later``, whether they repeat their key's first one."""
+    at = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "rk", "start")
+    first = rows.groupBy(*key).agg(F.min(at).alias("first"), F.count("*").alias("n"))
+    several = first.where("n > 1").select(*key, F.col("first.rk").alias("first_rk"), F.col("first.start").alias("first_start"))
+    # what overlaps its own first occurrence isn't another one
+    later = F.col("first_rk").isNotNull() & ((F.col("rk") != F.col("first_rk")) | (F.col("start") >= F.col("first_start") + least_words))
+    return first, rows.join(several, key, "left").withColumn("later", later)
 
-def word_count(chunk: Column) -> Column:
-    """Blanks and line breaks inside, and one."""
-    inside = content(chunk)
-    return F.length(inside) - F.length(F.translate(inside, " \n", "")) + 1
 
+def repeated_windows(texts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(rk, places): for each row, by its key, the sorted (start, stop) of the windows that occur before.
 
-def removed_chunks(texts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(rk, gone): for each row, by its key, the places of the chunks to remove."""
-    cut = texts.select("rk", "doc_id", F.posexplode(chunks(F.col("text"))).alias("place", "chunk"))
-    listed = cut.select("rk", "doc_id", "place", F.xxhash64(content(F.col("chunk"))).alias("h"), word_count(F.col("chunk")).alias("words")).where(F.col("h") != F.xxhash64(F.lit("")))
-    listed = materialize(listed, "chunks")
+    All occurrences of a window have one anchor.  Where an anchor has the same
+    words around it each time, all its windows are settled at once; otherwise
+    the first of each kind is compared window by window.
+    """
+    listed = materialize(texts.select("rk", F.inline(anchors(F.col("text"), least_words))), "anchors")
     repeated = listed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    suspects = materialize(listed.join(repeated, "h"), "suspects")
-    places = suspects.groupBy("rk").agg(F.collect_set("place").alias("places"))
-    # equal hashes are compared byte by byte: the text itself is the key
-    wanted = texts.join(places, "rk").select("rk", "doc_id", F.explode(F.filter(F.transform(chunks(F.col("text")), lambda c, i: F.struct(i.alias("place"), c.alias("chunk"))), lambda e: F.array_contains("places", e["place"]))).alias("e"))
-    bytes_of = materialize(wanted.select("rk", "doc_id", "e.place", content(F.col("e.chunk")).alias("body"), word_count(F.col("e.chunk")).alias("words")), "bodies")
-    at = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "rk", "place")
-    first = bytes_of.groupBy("body").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select("body", F.col("first.rk").alias("first_rk"), F.col("first.place").alias("first_place"))
-    later = bytes_of.join(first, "body").where((F.col("rk") != F.col("first_rk")) | (F.col("place") != F.col("first_place"))).select("rk", "place", "words")
-    grouped = later.groupBy("rk").agg(F.sort_array(F.collect_list(F.struct("place", "words"))).alias("found"))
-    return grouped.select("rk", _by_run(F.col("found"), least_words).alias("gone")).where("size(gone) > 0")
-
-
-def _by_run(found: Column, least_words: int) -> Column:
-    """Places of the sorted (place, words) in runs of neighbours with enough words, in two passes over the list."""
-    empty = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("words"), F.array().cast("array<int>").alias("run"), F.array().cast("array<int>").alias("kept"))
-
-    def step(acc: Column, e: Column) -> Column:
-        joins = e["place"] == acc["last"] + 1
-        closed = F.when(acc["words"] >= least_words, F.concat(acc["kept"], acc["run"])).otherwise(acc["kept"])
-        return F.struct(
-            e["place"].alias("last"),
-            F.when(joins, acc["words"] + e["words"]).otherwise(e["words"]).alias("words"),
-            F.when(joins, F.concat(acc["run"], F.array(e["place"]))).otherwise(F.array(e["place"])).alias("run"),
-            F.when(joins, acc["kept"]).otherwise(closed).alias("kept"),
-        )
-
-    return F.aggregate(found, empty, step, lambda acc: F.when(acc["words"] >= least_words, F.concat(acc["kept"], acc["run"])).otherwise(acc["kept"]))
+    near = listed.join(repeated, "h").groupBy("rk").agg(F.collect_list(F.struct("start", "stop", "h")).alias("near"))
+    spans = materialize(texts.join(near, "rk").select("rk", "doc_id", F.inline(_spans(F.col("text"), F.col("near"), least_words))), "spans")
+    kinds, spans = _with_later(spans, ["h", "digest"], least_words)
+    mixed = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h", F.lit(True).alias("mixed"))
+    spans = materialize(spans.join(mixed, "h", "left").where("later or mixed").select("rk", "start", "stop", "later"), "settled")
+    open_ = spans.where("not later").groupBy("rk").agg(F.collect_list(F.struct("start", "stop")).alias("near"))
+    windows = materialize(texts.join(open_, "rk").select("rk", "doc_id", F.inline(_windows(F.col("text"), F.col("near"), least_words))), "windows")
+    _, windows = _with_later(windows, ["digest"], least_words)
+    gone = spans.where("later").select("rk", "start", "stop").union(windows.where("later").select("rk", "start", "stop"))
+    return gone.groupBy("rk").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("places"))
+
+
+def _runs(places: Column, least_words: int) -> Column:
+    """(start, stop) in words of the stretches that the windows of the sorted ``places`` cover."""
+    reach = lambda p: p["stop"] + (least_words - 1)
+    starts = F.filter(places, lambda p, i: (i == 0) | (p["start"] > reach(F.get(places, i - 1))))
+    stops = F.filter(places, lambda p, i: (i == F.size(places) - 1) | (F.get(places, i + 1)["start"] > reach(p)))
+    return F.zip_with(starts, stops, lambda a, b: F.struct(a["start"].alias("start"), reach(b).alias("stop")))
+
+
+def _whole_lines(words: Column, runs: Column) -> Column:
+    """``runs`` without the short lines at their edges that they cover by half or less."""
+    breaks = F.filter(F.transform(words, lambda w, i: F.when(w.contains("\n"), i + 1)), lambda i: i.isNotNull())
+
+    def line(ends: Column, place: Column) -> Column:
+        """(from, to, short) of the line with the word at ``place``."""
+        start = F.coalesce(F.array_max(F.filter(ends, lambda e: e <= place)), F.lit(0))
+        stop = F.coalesce(F.array_min(F.filter(ends, lambda e: e > place)), F.size(words))
+        return _bind(F.struct(start.alias("from"), stop.alias("to")), lambda x: F.struct(x["from"], x["to"], (F.length(F.trim(F.array_join(F.slice(words, x["from"] + 1, x["to"] - x["from"]), ""), F.lit(BLANKS))) < LONG_LINE).alias("short")))
+
+    def edges(r: Column, a: Column, b: Column) -> Column:
+        little = lambda x: x["short"] & (2 * (F.least(r["stop"], x["to"]) - F.greatest(r["start"], x["from"])) <= x["to"] - x["from"])
+        return F.struct(F.when(little(a), a["to"]).otherwise(r["start"]).alias("start"), F.when(little(b), b["from"]).otherwise(r["stop"]).alias("stop"))
+
+    trimmed = _bind(breaks, lambda ends: F.transform(runs, lambda r: _bind(F.struct(line(ends, r["start"]).alias("a"), line(ends, r["stop"] - 1).alias("b")), lambda x: edges(r, x["a"], x["b"]))))
+    return F.filter(trimmed, lambda r: r["start"] < r["stop"])
+
+
+def _without(words: Column, runs: Column) -> Column:
+    """The text of ``words`` without those of the runs; a line cut off at its end keeps its line break."""
+
+    def part(r: Column, k: Column) -> Column:
+        start = F.coalesce(F.get(runs, k - 1)["stop"], F.lit(0))
+        kept = F.array_join(F.slice(words, start + 1, r["start"] - start), "")
+        last = F.get(words, r["stop"] - 1)
+        inside = (r["start"] > 0) & ~F.coalesce(F.get(words, r["start"] - 1).contains("\n"), F.lit(False))
+        return F.concat(kept, F.when(inside & last.contains("\n"), F.regexp_extract(last, f"[{BLANKS}]+$", 0)).otherwise(F.lit("")))
+
+    end = F.element_at(runs, -1)["stop"]
+    return F.concat(F.array_join(F.transform(runs, part), ""), F.array_join(F.slice(words, end + 1, F.size(words) - end), ""))
+
+
+def _cleaned(text: Column, places: Column, least_words: int) -> Column:
+    """(text, n): what is left of a text, and how many passages went."""
+    words = lambda use: _bind(chunks(text), use)
+    cut = lambda w, r: F.struct(F.when(F.size(r) > 0, _without(w, r)).otherwise(text).alias("text"), F.size(r).alias("n"))
+    return words(lambda w: _bind(_runs(places, least_words), lambda runs: _bind(_whole_lines(w, runs), lambda r: cut(w, r))))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -122,9 +174,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with ``clean_text`` and ``n_removed`` (chunks) beside its columns.
+    """``docs`` with ``clean_text`` and ``n_removed`` (passages) beside its columns.
 
-    The first occurrence of a chunk stays: smallest doc_id, then row key, then
+    The first occurrence of a passage stays: smallest doc_id, then row key, then
     place; rows without an id come last.  Rows that are equal throughout have
     one key and are treated alike, as one occurrence.  Null texts stay null,
     empty ones empty.  Columns of ``docs`` named clean_text or n_removed are
@@ -134,14 +186,14 @@ def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     texts = keyed.select(F.col("__rk").alias("rk"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     if texts.groupBy("rk").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         texts = texts.dropDuplicates(["rk"])
-    gone = removed_chunks(texts, least_words).withColumnRenamed("rk", "__gone_rk")
+    gone = repeated_windows(texts, least_words).withColumnRenamed("rk", "__gone_rk")
     joined = keyed.join(gone, F.col("__rk") == F.col("__gone_rk"), "left")
-    kept = F.array_join(F.filter(chunks(F.col("text").cast("string")), lambda c, i: ~F.array_contains("gone", i)), "")
-    return joined.withColumns({"clean_text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept), "n_removed": F.coalesce(F.size("gone"), F.lit(0))}).drop("__rk", "__gone_rk", "gone")
+    done = joined.withColumn("__done", F.when(F.col("places").isNotNull(), _cleaned(F.col("text").cast("string"), F.col("places"), least_words)))
+    return done.withColumns({"clean_text": F.when(F.col("places").isNull(), F.col("text")).otherwise(F.col("__done.text")), "n_removed": F.coalesce("__done.n", F.lit(0))}).drop("__rk", "__gone_rk", "places", "__done")
 
 
 def dedup(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with repeated chunks taken out of ``text`` (and ``n_chars`` counted anew); documents of which nothing is left go."""
+    """``docs`` with repeated passages taken out of ``text`` (and ``n_chars`` counted anew); documents of which nothing is left go."""
     columns = docs.columns
     done = without_repeats(docs, least_words)
     done = done.where((F.col("n_removed") == 0) | (F.regexp_replace("clean_text", "[ \n]+", "") != ""))
