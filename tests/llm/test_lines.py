@@ -68,3 +68,11 @@ def test_passages_over_short_lines(spark):
 def test_a_line_break_after_a_passage_stays(spark):
     shared = " ".join(words(random.Random(3), 60))
     assert cleaned(spark, [f"a {shared}\nb", f"c {shared}\n\nd e"])[1].split("\n") == ["c ", "", "d e"]
+
+
+def test_short_paragraphs_between_blank_lines(spark):
+    for seed in range(2):
+        rng = random.Random(seed)
+        shared = [" ".join(words(rng, 20, "paragraph")) for _ in range(3)]
+        texts = ["\n\n".join([f"own start {i}", *shared, f"end {i} of it"]) for i in "ab"]
+        assert cleaned(spark, texts) == [texts[0], "own start b\n\nend b of it"]
