@@ -63,6 +63,11 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(rf"{WORD_CHAR}[\p{{L}}\p{{N}}_'®]*{WORD_CHAR}"), 0)
 
 
+def trigrams(c: Column) -> Column:
+    """All sequences of three characters; shorter texts have none."""
+    return F.when(F.length(c) >= 3, F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+
+
 def cue_count(c: Column, patterns: list[str]) -> Column:
     """How many of the patterns occur."""
     return sum((c.rlike(p).cast("int") for p in patterns), F.lit(0))

@@ -277,8 +277,19 @@ def tfidf_word(spark, sf):
 @query(_tfidf_sql("list_transform(range(1, length(lower(text)) - 1), lambda i: substr(lower(text), i, 3))", "(select item_id as id, text from benchmark)"))
 def tfidf_char(spark, sf):
     rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.lower("text").alias("text"))
-    grams = F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substring(F.col("text"), i, F.lit(3)))
-    return model.tfidf(rows, "id", grams).select("id", "term", F.round("weight", 6).alias("weight"))
+    return model.tfidf(rows, "id", text.trigrams(F.col("text"))).select("id", "term", F.round("weight", 6).alias("weight"))
+
+
+@query()
+def tfidf_word_documents(spark, sf):
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return model.tfidf(rows, "id", text.tokens(F.col("text"))).select("id", "term", F.round("weight", 6).alias("weight"))
+
+
+@query()
+def tfidf_char_documents(spark, sf):
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
+    return model.tfidf(rows, "id", text.trigrams(F.col("text"))).select("id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query("""with c as (select label, i, avg(embedding[i]::double) as m from embeddings, range(1, 65) r(i) group by 1, 2), n as (select label, sqrt(sum(m * m)) as l from c group by 1)
