@@ -65,6 +65,20 @@ from blocks
 """
 
 
+#: The records of OP1 with their headers; the source headers follow from the page whose response a record refers to.
+OP1_RECORDS = f"""
+with sources as (
+  select distinct {_urn("concat_ws('|', 'response', coalesce(page_id::varchar, ''), coalesce(url, ''), sha1(coalesce(html, '')))")} as refers_to,
+    'HTTP/1.1 200 OK' || {_CRLF} || 'Content-Type: text/html; charset=utf-8' || {_CRLF} || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || {_CRLF} as source_headers
+  from pages
+)
+select r.*, source_headers, 'WARC/1.1' || {_CRLF} || concat('WARC-Type: ', record_type) || {_CRLF} || concat('WARC-Record-ID: ', record_id) || {_CRLF} || concat('WARC-Refers-To: ', refers_to) || {_CRLF} ||
+  concat('WARC-Target-URI: ', target_uri) || {_CRLF} || concat('WARC-Date: ', date) || {_CRLF} || concat('WARC-Block-Digest: ', block_digest) || {_CRLF} ||
+  concat('Content-Type: ', content_type) || {_CRLF} || concat('Content-Length: ', content_length) || {_CRLF} as warc_headers
+from ({OP1}) r join sources using (refers_to)
+"""
+
+
 def _crc32(x: str) -> str:
     """CRC-32 of the UTF-8 bytes, by a table that is built from its rule."""
     entries = []

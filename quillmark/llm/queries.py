@@ -19,6 +19,10 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses(table(spark, sf_dir, "pages"))).drop("warc_headers", "source_headers")
 
 
+def op1_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+
+
 def op2_minhash_tensored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_derivatives": op1_warc_derivatives,
+    "op1_warc_records": op1_warc_records,
     "op2_minhash_tensored": op2_minhash_tensored,
     "op3_imatch": op3_imatch,
     "op4_toxicity_mil": op4_toxicity_mil,
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_warc_derivatives": oracles.OP1,
+    "op1_warc_records": oracles.OP1_RECORDS,
     "op2_minhash_tensored": oracles.OP2,
     "op3_imatch": oracles.OP3,
     "op5_pivot_top10": oracles.OP5,
