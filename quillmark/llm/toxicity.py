@@ -89,14 +89,13 @@ class Reader:
         """(start, end, evidence) of each sentence with a known feature; its probability is ``1 - exp(-evidence)``."""
         text = text or ""
         lowered = text.lower()
-        if len(lowered) != len(text):  # places must hold in the text as it is
-            lowered = text
         words = {w for w in set(WORD.findall(lowered)) if self.known[w]}
         if not words:
             return []
         found = []
-        for match in SENTENCE.finditer(lowered):
-            here = words.intersection(WORD.findall(match.group()))
+        # lower-casing may lengthen a text, but its sentences stay the same: places are those in the text as it is
+        for match, lower in zip(SENTENCE.finditer(text), SENTENCE.findall(lowered), strict=True):
+            here = words.intersection(WORD.findall(lower))
             if here:
                 z = self.bias + sum(self.weights[f] for f in sorted(frozenset().union(*(self.known[w] for w in here))))
                 found.append((match.start(), match.end(), float(np.logaddexp(0.0, z))))
