@@ -10,23 +10,23 @@ dropped before any key is formed.
 Steps:
 
 1. equal texts are one text (grouped by digest, combined before the shuffle);
-2. each text is reduced to its shingle count, its collections' hashes and one
-   bit of each minhash;
-3. collections shared by two texts or more are kept; a text's remaining pairs
-   of collections give its keys, and keys held by two texts or more its
-   buckets; of buckets with the same texts one stays;
-4. rounds: each bucket that holds several components names a root, and every
-   text is compared with the root, of another component, whose bits are nearest;
-   what is confirmed on full shingle sets joins components;
-5. texts of buckets that still hold several components form families (what
-   shared buckets connect); a family is dealt into blocks of bounded size, and
-   every two blocks are compared in a task of their own, which yields only links
-   between components, not pairs;
+2. each text is reduced to its shingle count and its collections' hashes;
+3. collections shared by two texts or more are kept, as one row for each text;
+   two texts share a key exactly if they share two collections;
+4. rounds: each collection that holds several components names a root, and every
+   text is compared with the root, of another component, with which it shares
+   most collections, two at least; what is confirmed on full shingle sets joins
+   components, and collections that lie in one component are left out from then on;
+5. the collections left are paired into keys; what keys of several components
+   connect forms families; a family is dealt into blocks of bounded size, and
+   every two blocks are compared in a task of their own, which looks at the pairs
+   that share a key and yields only links between components;
 6. components of all confirmed links.
 
-Rounds are linear in the buckets' rows and join what is near; step 5 then covers
-every pair that shares a key and isn't connected yet, so no link of a candidate
-pair is lost, however large a bucket is.
+Rounds are linear in the texts and join what is near, so that a large group of
+copies is one component before any key of it is formed; step 5 then covers every
+pair that shares a key and isn't connected yet, so no link of a candidate pair is
+lost, however large a bucket is.
 """
 
 from __future__ import annotations
@@ -48,13 +48,8 @@ WIDTH = 4
 SHINGLE = 5
 PERCENT = 75
 ROUNDS = 2
-#: Texts of similarity 0.75 differ in 18 of 144 bits on average, with a deviation of 4; pairs beyond this are no candidates.
-BITS_APART = 42
-#: Rows of a bucket that are looked at together for its smallest text.
-BUCKET_PART = 1000
-#: A family's blocks hold about this many texts, more where that would make over BLOCKS of them, and at most this many shingles (8 bytes each).
-BLOCK_TEXTS = 256
-BLOCKS = 32
+#: A family's blocks hold about this many texts and shingles (8 bytes each).
+BLOCK_TEXTS = 1024
 BLOCK_SHINGLES = 2_000_000
 #: Texts in buckets up to this number (16 MB of digests) are found by broadcast, more by shuffling.
 BROADCAST_TEXTS = 500_000
@@ -65,8 +60,8 @@ def _multipliers(n: int) -> np.ndarray:
     return rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signature(shingles: np.ndarray, collections: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """One hash for each collection, its ``width`` minhashes joined; and a bit of each minhash, 48 a word."""
+def signature(shingles: np.ndarray, collections: int, width: int) -> np.ndarray:
+    """One hash for each collection: its ``width`` minhashes joined."""
     a = _multipliers(collections * width)
     least = np.full(collections * width, np.iinfo(np.uint32).max, np.uint32)
     with np.errstate(over="ignore"):
@@ -78,22 +73,17 @@ def signature(shingles: np.ndarray, collections: int, width: int) -> tuple[np.nd
         for k in range(width):
             joined = (joined ^ least[k::width].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             joined ^= joined >> np.uint64(31)
-        single = (least * np.uint32(0x9E3779B1)) >> np.uint32(31)
-    words = [sum(int(bit) << k for k, bit in enumerate(single[at : at + 48])) for at in range(0, len(single), 48)]
-    return joined.view(np.int64), np.array(words, np.int64)
+    return joined.view(np.int64)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], collections: int, width: int) -> Iterator[pa.RecordBatch]:
-    longs = pa.list_(pa.int64())
     for batch in batches:
-        sizes, hashes, bits = [], [], []
+        sizes, hashes = [], []
         for text in batch["text"].to_pylist():
             shingles = shingle_set(text, SHINGLE)
             sizes.append(len(shingles))
-            halves, words = signature(shingles, collections, width) if len(shingles) else (None, None)
-            hashes.append(halves)
-            bits.append(words)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tid"], pa.array(sizes, pa.int64()), pa.array(hashes, longs), pa.array(bits, longs)], ["doc_id", "tid", "n_shingles", "halves", "bits"])
+            hashes.append(signature(shingles, collections, width) if len(shingles) else None)
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tid"], pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "tid", "n_shingles", "halves"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,23 +116,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(links, "confirmed")
 
 
-def buckets(sketches: DataFrame) -> DataFrame:
-    """(key, sid) for the table keys that two texts or more share, one key for each set of texts."""
-    halves = sketches.where("n_shingles > 0").select("sid", F.posexplode("halves").alias("place", "half"))
-    shared = halves.groupBy("place", "half").agg(F.count("*").alias("n")).where("n > 1").select("place", "half")
-    kept = halves.join(shared, ["place", "half"])
-    own = kept.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("place", "half"))).alias("own")).where("size(own) > 1")
-    pairs = F.expr("flatten(transform(own, (x, i) -> transform(slice(own, i + 2, size(own)), y -> xxhash64(x.place, x.half, y.place, y.half))))")
-    keys = materialize(own.select("sid", F.explode(pairs).alias("key")), "keys")
-    # two digests of its texts tell a bucket from others
-    held = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("y")).where("n > 1")
-    first = held.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.col("n").alias("held_by"))
-    return keys.join(first, "key")
-
-
-def _apart(x: list[str], y: list[str]) -> Column:
-    """How many bits differ."""
-    return sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(x, y, strict=True)), F.lit(0))
+def shared(sketches: DataFrame) -> DataFrame:
+    """(sid, own): the collections of each text that other texts have too, if there are two or more."""
+    halves = sketches.where("n_shingles > 0").select("sid", F.posexplode("halves").alias("place", "half")).select("sid", F.xxhash64("place", "half").alias("c"))
+    held = halves.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c")
+    return halves.join(held, "c").groupBy("sid").agg(F.collect_list("c").alias("own")).where("size(own) > 1")
 
 
 def _sizes_allow(a: str, b: str, percent: int) -> Column:
@@ -153,64 +131,73 @@ def _pair(a: Column, b: Column) -> tuple[Column, Column]:
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def _unsettled(table: DataFrame, links: DataFrame) -> DataFrame:
-    """The buckets of several components, with each text's component and its size under these links."""
-    found = materialize(components(links), "components")
-    sizes = found.groupBy("component").agg(F.count("*").alias("members"))
-    known = found.join(sizes, "component").select(F.col("node").alias("sid"), F.col("component").alias("new"), F.col("members").alias("new_members"))
-    placed = materialize(table.join(known, "sid", "left").withColumns({"component": F.coalesce("new", "sid"), "members": F.coalesce("new_members", F.lit(1))}).drop("new", "new_members"), "placed")
-    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    return placed.join(several, "key")
+def _placed(table: DataFrame, links: DataFrame) -> DataFrame:
+    """``table`` with each text's component under these links."""
+    found = components(links).select(F.col("node").alias("sid"), F.col("component").alias("new"))
+    return table.join(found, "sid", "left").withColumn("component", F.coalesce("new", "component")).drop("new")
+
+
+def _unsettled(table: DataFrame) -> DataFrame:
+    """The texts with those of their collections that lie in several components, if there are two or more."""
+    each = table.select("sid", "n_shingles", "component", F.explode("own").alias("c"))
+    several = each.groupBy("c").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("c")
+    return each.join(several, "c").groupBy("sid", "n_shingles", "component").agg(F.collect_list("c").alias("own")).where("size(own) > 1")
+
 
+def _round(table: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Each text with one text of another component: the root, of a collection, with which it shares most collections, two at least."""
+    each = table.select("sid", "n_shingles", "component", F.explode("own").alias("c"))
+    order = F.struct(F.xxhash64(F.lit(turn), "sid").alias("by"), "sid", "component", "n_shingles")
+    roots = each.groupBy("c").agg(F.min(order).alias("r")).select("c", F.col("r.sid").alias("root"), F.col("r.component").alias("root_component"), F.col("r.n_shingles").alias("root_n"))
+    met = each.join(roots, "c").where((F.col("component") != F.col("root_component")) & _sizes_allow("n_shingles", "root_n", percent))
+    counted = met.groupBy("sid", "root").agg(F.count("*").alias("n")).where("n > 1")
+    nearest = counted.groupBy("sid").agg(F.max(F.struct("n", "root")).alias("m"))
+    return nearest.select(*_pair(F.col("sid"), F.col("m.root"))).distinct()
 
-def classes(table: DataFrame, sets: DataFrame, words: int, percent: int = PERCENT, rounds: int = ROUNDS, apart: int = BITS_APART) -> DataFrame:
+
+def _families(table: DataFrame) -> DataFrame:
+    """(sid, family): what keys of several components connect; a key is a pair of a text's collections."""
+    pairs = F.expr("flatten(transform(array_sort(own), (x, i) -> transform(slice(array_sort(own), i + 2, size(own)), y -> xxhash64(x, y))))")
+    keys = materialize(table.select("sid", "component", F.explode(pairs).alias("key")), "keys")
+    held = keys.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("sid").alias("root")).where("low <> high").select("key", "root")
+    ties = keys.join(held, "key").select("sid", "root").distinct()
+    return components(ties, "sid", "root").select(F.col("node").alias("sid"), F.col("component").alias("family"))
+
+
+def classes(sketches: DataFrame, sets: DataFrame, table: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """(sid, component) of every text that a confirmed link names.
 
-    ``table`` has key, sid, n_shingles and the bits b0.. of each bucket's texts,
-    ``sets`` the shingle set of each of them.
+    ``sketches`` has sid, n_shingles and halves, ``table`` the rows of ``shared``,
+    ``sets`` the shingle set of each text of ``table``.
     """
-    bits = [f"b{k}" for k in range(words)]
+    table = table.join(sketches.select("sid", "n_shingles"), "sid").withColumn("component", F.col("sid"))
     links = None
-    table = table.withColumns({"component": F.col("sid"), "members": F.lit(1)})
     for turn in range(rounds):
-        order = F.struct(F.xxhash64(F.lit(turn), "sid").alias("by"), "sid", "component", "n_shingles", *bits)
-        roots = table.groupBy("key").agg(F.min(order).alias("r")).select("key", F.col("r.sid").alias("root"), F.col("r.component").alias("root_component"), F.col("r.n_shingles").alias("root_n"), *[F.col(f"r.{b}").alias(f"root_{b}") for b in bits])
-        met = table.join(roots, "key").where((F.col("component") != F.col("root_component")) & _sizes_allow("n_shingles", "root_n", percent))
-        met = met.select("sid", "root", _apart(bits, [f"root_{b}" for b in bits]).alias("differ")).where(F.col("differ") <= apart)
-        nearest = met.groupBy("sid").agg(F.min(F.struct("differ", "root")).alias("m"))
-        more = _confirmed(nearest.select(*_pair(F.col("sid"), F.col("m.root"))).distinct(), sets, percent)
+        more = _confirmed(_round(table, turn, percent), sets, percent)
         links = more if links is None else links.union(more)
-        table = _unsettled(table.drop("component", "members"), links)
-    table = materialize(table, "unsettled")
-    # ties to a bucket's smallest text; in large buckets by way of the smallest of each part
-    part = F.when(F.col("held_by") > BUCKET_PART, F.pmod(F.xxhash64("sid"), F.ceil(F.col("held_by") / BUCKET_PART))).otherwise(F.lit(0))
-    parts = table.select("key", "sid", "held_by", part.alias("part")).withColumn("root", F.expr("min(sid) over (partition by key, part)"))
-    large = parts.where(F.col("held_by") > BUCKET_PART).select("key", "root").distinct()
-    tops = large.join(large.groupBy("key").agg(F.min("root").alias("top")), "key").select(F.col("root").alias("sid"), F.col("top").alias("root"))
-    ties = parts.select("sid", "root").distinct().union(tops)
-    families = components(ties.where("sid <> root").distinct(), "sid", "root")
-    nodes = table.select("sid", "n_shingles", "component", *bits).distinct().join(families.withColumnRenamed("node", "sid").withColumnRenamed("component", "family"), "sid")
-    return components(links.union(_across(materialize(nodes, "families"), sets, bits, percent, apart))).select(F.col("node").alias("sid"), "component")
-
-
-def _across(nodes: DataFrame, sets: DataFrame, bits: list[str], percent: int, apart: int) -> DataFrame:
+        table = materialize(_unsettled(_placed(table.drop("component").withColumn("component", F.col("sid")), links)), "unsettled")
+    nodes = table.select("sid", "n_shingles", "component").join(_families(table), "sid").join(sketches.select("sid", "halves"), "sid")
+    return components(links.union(_across(materialize(nodes, "families"), sets, percent))).select(F.col("node").alias("sid"), "component")
+
+
+def _across(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between the components of each family, found block by block."""
     shape = nodes.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    blocks = F.greatest(F.ceil(F.col("s") / BLOCK_SHINGLES), F.least(F.ceil(F.col("n") / BLOCK_TEXTS), F.lit(BLOCKS))).cast("int")
+    blocks = F.greatest(F.ceil(F.col("s") / BLOCK_SHINGLES), F.ceil(F.col("n") / BLOCK_TEXTS)).cast("int")
     dealt = nodes.join(shape.select("family", blocks.alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     full = dealt.join(sets, "sid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    columns = ["block", "sid", "n_shingles", "component", *bits, "shingles"]
+    columns = ["block", "sid", "n_shingles", "component", "halves", "shingles"]
     met = full.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *columns)
-    links = met.groupBy("family", "i", "j").applyInArrow(lambda key, rows: _compare(key, rows, bits, percent, apart), "a long, b long")
+    links = met.groupBy("family", "i", "j").applyInArrow(lambda key, rows: _compare(key, rows, percent), "a long, b long")
     return materialize(links, "across")
 
 
-def _compare(key: tuple, rows: pa.Table, bits: list[str], percent: int, apart: int) -> pa.Table:
-    """Links that join the components of two blocks (or within one), nearest first; those that a link found before implies are left out."""
+def _compare(key: tuple, rows: pa.Table, percent: int) -> pa.Table:
+    """Links that join the components of two blocks (or within one), those of most common collections first; those that a link found before implies are left out."""
     rows = rows.sort_by("sid")
     block, sid, n, component = (rows[c].to_numpy() for c in ("block", "sid", "n_shingles", "component"))
-    words = np.stack([rows[b].to_numpy() for b in bits], 1).view(np.uint64)
-    shingles = rows["shingles"].combine_chunks() if rows.num_rows else []
+    halves = np.stack(rows["halves"].to_numpy())
+    shingles = rows["shingles"].combine_chunks()
     first = np.flatnonzero(block == key[1].as_py())
     second = first if key[1] == key[2] else np.flatnonzero(block == key[2].as_py())
     parent: dict[int, int] = {}
@@ -223,10 +210,12 @@ def _compare(key: tuple, rows: pa.Table, bits: list[str], percent: int, apart: i
     out: tuple[list, list] = ([], [])
     for at in range(0, len(first), 512):
         x = first[at : at + 512]
-        differ = sum(np.bitwise_count(words[x, k][:, None] ^ words[second, k][None, :]).astype(np.int16) for k in range(len(bits)))
-        close = (differ <= apart) & (component[x][:, None] != component[second][None, :]) & (n[x][:, None] * 100 >= n[second][None, :] * percent) & (n[second][None, :] * 100 >= n[x][:, None] * percent)
+        common = np.zeros((len(x), len(second)), np.int16)
+        for k in range(halves.shape[1]):
+            common += halves[x, k][:, None] == halves[second, k][None, :]
+        close = (common > 1) & (component[x][:, None] != component[second][None, :]) & (n[x][:, None] * 100 >= n[second][None, :] * percent) & (n[second][None, :] * 100 >= n[x][:, None] * percent)
         p, q = np.nonzero(close)
-        for k in np.argsort(differ[p, q], kind="stable"):
+        for k in np.argsort(-common[p, q], kind="stable"):
             a, b = x[p[k]], second[q[k]]
             left, right = root(int(component[a])), root(int(component[b]))
             if left != right and _similar(shingles[int(a)], shingles[int(b)], percent):
@@ -251,23 +240,22 @@ def near_duplicates(docs: DataFrame, collections: int = COLLECTIONS, width: int
 def _classified(docs: DataFrame, collections: int, width: int, percent: int) -> DataFrame:
     """As ``near_duplicates``, with the text's digest."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tid", F.unhex(F.md5("text")))
-    schema = "doc_id long, tid binary, n_shingles long, halves array<long>, bits array<long>"
+    schema = "doc_id long, tid binary, n_shingles long, halves array<long>"
     rows = materialize(texts.mapInArrow(lambda batches: _sketch(batches, collections, width), schema), "sketches")
     # each text is looked up in the row of its smallest id
     ids = rows.groupBy("tid", "doc_id", "n_shingles").agg(F.count("*").alias("n")).groupBy("tid", "n_shingles").agg(F.min(F.struct("doc_id", "n")).alias("at"), F.min("doc_id").alias("least"))
     ids = materialize(ids.select("tid", "n_shingles", "least", F.col("at.doc_id").alias("row_id"), "at.n").withColumn("sid", F.monotonically_increasing_id()), "ids")
-    sketches = rows.select("tid", "halves", "bits").where("n_shingles > 0").dropDuplicates(["tid"]).join(ids, "tid")
-    words = -(-collections * width // 48)
-    sketches = materialize(sketches.select("sid", "n_shingles", "halves", *[F.col("bits")[k].alias(f"b{k}") for k in range(words)]), "texts")
-    table = materialize(buckets(sketches).join(sketches.drop("halves"), "sid"), "buckets")
-    named = materialize(ids.join(table.select("sid").distinct(), "sid", "left_semi").select("sid", "tid", "row_id", "n"), "named")
+    sketches = rows.select("tid", "halves").where("n_shingles > 0").dropDuplicates(["tid"]).join(ids, "tid")
+    sketches = materialize(sketches.select("sid", "n_shingles", "halves"), "texts")
+    table = materialize(shared(sketches), "shared")
+    named = materialize(ids.join(table.select("sid"), "sid", "left_semi").select("sid", "tid", "row_id", "n"), "named")
     if named.count() <= BROADCAST_TEXTS:
         named = F.broadcast(named)
     found_in = texts.join(named.withColumnRenamed("tid", "own"), (F.col("tid") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("row_id")))
     sets = found_in.select("sid", "text", "n").mapInArrow(_sets, "sid long, shingles binary")
     if named.where("n > 1").limit(1).count():  # rows that are repeated throughout
         sets = sets.dropDuplicates(["sid"])
-    found = classes(table, materialize(sets, "sets"), words, percent)
+    found = classes(sketches, materialize(sets, "sets"), table, percent)
     known = materialize(ids.join(found, "sid", "left").withColumn("component", F.coalesce("component", "sid")), "known")
     component_ids = known.groupBy("component").agg(F.min("least").alias("component_id"))
     by_text = known.join(component_ids, "component").select("tid", "component_id")
