@@ -75,20 +75,22 @@ def _write(s: Column) -> Column:
     """The fingerprint of (found, level, limit)."""
 
     def below(t: Column) -> Column:
-        entries = F.transform(t["draws"], lambda d, k: F.struct(d.alias("draw"), k.alias("subset"), t["term"].alias("term")))
+        entries = F.transform(draws(t["term"]), lambda d, k: F.struct(d.alias("draw"), k.alias("subset"), t["term"].alias("term")))
         return F.filter(entries, lambda e: e["draw"] < s["limit"])
 
     def both(entries: Column) -> Column:
         thinner = F.filter(entries, lambda e: e["draw"] * 2 < s["limit"])
         return F.concat_ws(";", s["level"].cast("string"), _hashes(entries), _bind(thinner, _hashes))
 
-    return _bind(F.flatten(F.transform(s["found"], below)), both)
+    # most terms are in none of the thinned subsets: their least draw tells
+    some = F.filter(s["found"], lambda t: t["least"] < s["limit"])
+    return _bind(F.flatten(F.transform(some, below)), both)
 
 
 def _fingerprint(found: Column, everything: Column) -> Column:
     """``level;hashes;hashes one level thinner``, or the hash of all terms where the lexicon has none of them.
 
-    ``found`` has (term, draws) of the text's lexicon terms, sorted.
+    ``found`` has (term, least draw) of the text's lexicon terms, sorted.
     """
 
     def levelled(f: Column) -> Column:
@@ -120,22 +122,27 @@ def fingerprints(texts: DataFrame, keys: list[str], columns: dict[str, str], wor
     ``keys`` must tell rows apart.
     """
     names = list(columns)
-    # a text's terms and, as entries more, the hash of all of them and the text's digest: computed before rows are multiplied
+    # a text's terms and, as entries more, the hash of all of them and the text's digest: computed once, before rows are multiplied
     digests = F.array(*[F.struct(F.lit(2 * len(names) + i).alias("of"), F.sha2(c, 256).alias("term")) for i, c in enumerate(names)])
-    each = F.concat(*[_marked(c, i) for i, c in enumerate(names)], digests, F.array(*[F.struct(F.lit(len(names) + i).alias("of"), F.md5(F.array_join(F.sort_array(terms(F.col(c))), " ")).alias("term")) for i, c in enumerate(names)]))
+    each = F.concat(*[_bind(terms(F.col(c)), _entries(i, len(names))) for i, c in enumerate(names)], digests)
     rows = texts.select(*keys, F.explode(each).alias("e")).select(*keys, "e.of", "e.term")
-    known = words.select("term", F.lit(True).alias("known"))
-    joined = rows.join(F.broadcast(known) if broadcast else known, "term", "left").where(F.col("known") | (F.col("of") >= len(names)))
-    found = [F.sort_array(F.collect_list(F.when(F.col("of") == i, F.col("term")))).alias(f"found_{i}") for i in range(len(names))]
+    known = words.select("term", F.array_min(draws(F.col("term"))).alias("least"))
+    joined = rows.join(F.broadcast(known) if broadcast else known, "term", "left").where(F.col("least").isNotNull() | (F.col("of") >= len(names)))
+    found = [F.sort_array(F.collect_list(F.when(F.col("of") == i, F.struct("term", "least")))).alias(f"found_{i}") for i in range(len(names))]
     whole = [F.max(F.when(F.col("of") == len(names) + i, F.col("term"))).alias(f"all_{i}") for i in range(len(names))]
     sums = [F.max(F.when(F.col("of") == 2 * len(names) + i, F.col("term"))).alias(f"{c}_sha256") for i, c in enumerate(names)]
     grouped = joined.groupBy(*keys).agg(*whole, *sums, *found)
-    drawn = lambda i: F.transform(f"found_{i}", lambda t: F.struct(t.alias("term"), draws(t).alias("draws")))
-    return grouped.select(*keys, *[f"{c}_sha256" for c in names], *[_fingerprint(drawn(i), F.col(f"all_{i}")).alias(columns[c]) for i, c in enumerate(names)])
+    return grouped.select(*keys, *[f"{c}_sha256" for c in names], *[_fingerprint(F.col(f"found_{i}"), F.col(f"all_{i}")).alias(columns[c]) for i, c in enumerate(names)])
 
 
-def _marked(column: str, i: int) -> Column:
-    return F.transform(terms(F.col(column)), lambda t: F.struct(F.lit(i).alias("of"), t.alias("term")))
+def _entries(i: int, columns: int):
+    """From the terms found in text column ``i`` to (of, term) of each, and of the hash of all of them."""
+
+    def entries(found: Column) -> Column:
+        everything = F.struct(F.lit(columns + i).alias("of"), F.md5(F.array_join(F.sort_array(found), " ")).alias("term"))
+        return F.concat(F.transform(found, lambda t: F.struct(F.lit(i).alias("of"), t.alias("term"))), F.array(everything))
+
+    return entries
 
 
 def with_next(rows: DataFrame, buckets: int) -> DataFrame:
