@@ -5,66 +5,34 @@ short word sequences the smallest in each window is an anchor, so anchors move
 with the content, lie at most a window apart and need no punctuation: any two
 equal passages of ``least_words`` words share one.  Where an anchor occurs more
 than once, the windows of ``least_words`` words around it are compared by
-digest (128 bits of SHA-256), together or one by one, and those that occur
-before, anywhere in the corpus (by doc_id, then place), are removed.  Windows overlap word by word, so
-a passage goes up to its last equal word on both sides; only short lines that
-it covers by half or less stay whole.  Blanks and line breaks between words
-aren't compared.
-
-DataFrame functions only.  Occurrences are counted with partial aggregation;
-only windows around repeated anchors go through a shuffle.
+128 bits of hashes, together or one by one, and those that occur before,
+anywhere in the corpus (by doc_id, then place), are removed.  Windows overlap
+word by word, so a passage goes up to its last equal word on both sides; only
+short lines that it covers by half or less stay whole.  Blanks and line breaks
+between words aren't compared.
+
+Words are hashed with numpy in Arrow batches; everything between texts is
+DataFrame joins and partial aggregation.  In DataFrame functions alone the same
+windows took more than the allowed time (README).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.store import materialize
+from quillmark.llm import passages
+from quillmark.llm.store import join_facts, materialize
 
-LONG_LINE = 120
 LEAST_WORDS = 25
 BLANKS = " \n"
-
-
-def _bind(value: Column, use):
-    """``use(value)`` with the value computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
-def _over(values: Column, length: int, f, size: int = 1) -> Column:
-    """At each place ``f`` over the ``length`` values from there, up to eight parts at a time; f may read a value twice."""
-    if size == length:
-        return values
-    parts = min(8, -(-length // size))
-    reached = min(length, parts * size)
-    steps = [min(k * size, reached - size) for k in range(1, parts)]
-    return _over(_bind(values, lambda v: F.transform(v, lambda x, i: f(x, *[F.get(v, i + n) for n in steps]))), length, f, reached)
-
-
-def _words(text: Column) -> Column:
-    return F.split(F.trim(text, F.lit(BLANKS)), f"[{BLANKS}]+")
-
-
-def anchors(text: Column, least_words: int = LEAST_WORDS) -> Column:
-    """(start, stop, h): the windows of ``least_words`` words from start to before stop have the anchor h."""
-    gram = max(1, least_words // 3)
-    reach = least_words - gram + 1
-
-    def found(b: Column) -> Column:
-        low, n = b["low"], b["n"]
-        here = lambda i: F.get(low, i)
-        # windows a whole reach apart with one anchor hold two occurrences of it
-        begins = lambda i: (i == 0) | (here(i) != here(i - 1)) | ((i >= reach) & (here(i) == here(i - reach)))
-        starts = F.filter(F.sequence(F.lit(0), n - least_words), lambda i: (i == 0) | F.coalesce(begins(i), F.lit(False)))
-        return _bind(starts, lambda s: F.transform(s, lambda i, k: F.struct(i.alias("start"), F.coalesce(F.get(s, k + 1), n - least_words + 1).alias("stop"), here(i).alias("h"))))
-
-    def placed(words: Column) -> Column:
-        grams = _over(F.transform(words, lambda w: F.xxhash64(w)), gram, F.xxhash64)
-        low = _over(grams, reach, F.least)
-        return F.when(F.size(words) >= least_words, _bind(F.struct(low.alias("low"), F.size(words).alias("n")), found))
-
-    return _bind(_words(text), placed)
+#: Stands for the id of rows without one; they come last.
+NAMELESS = 2**63 - 1
+WINDOWS = "id long, xk long, start int, stop int, h long, d long, own boolean"
 
 
 def chunks(text: Column) -> Column:
@@ -74,122 +42,86 @@ def chunks(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.transform(cut, lambda w, i: F.when(i == 0, F.concat(before, w)).otherwise(w)))
 
 
-def _digest(words: Column, start: Column, stop: Column) -> Column:
-    return F.unhex(F.substring(F.sha2(F.array_join(F.slice(words, start + 1, stop - start), " "), 256), 1, 32))
+def _listed(batches: Iterator[pa.RecordBatch], find) -> Iterator[pa.RecordBatch]:
+    """Rows of WINDOWS for rows of (id, xk, text, ..); ``find(rows)`` gives text, start, stop, h, d and own."""
+    for batch in batches:
+        texts = batch["text"].to_pylist()
+        for a, b in passages.groups(texts):
+            rows = batch.slice(a, b - a)
+            text, start, stop, h, d, own = find(texts[a:b], rows)
+            keys = [rows[c].take(pa.array(text)) for c in ("id", "xk")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(h), pa.array(d), pa.array(own)], ["id", "xk", "start", "stop", "h", "d", "own"])
 
 
-def _spans(text: Column, near: Column, least_words: int) -> Column:
-    """``near`` with the digest of all words of its windows."""
-    return _bind(_words(text), lambda words: F.transform(near, lambda e: F.struct(e["start"], e["stop"], e["h"], _digest(words, e["start"], e["stop"] + least_words - 1).alias("digest"))))
+def _later(rows: DataFrame, ids_repeat: bool) -> DataFrame:
+    """``rows`` of WINDOWS with ``later``, whether they repeat an earlier row of the same h and d, and ``n``, how many rows those have."""
+    key = ["h", "d"]
+    first = rows.groupBy(*key).agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
+    known = join_facts(rows, materialize(first, "kinds"), key, "n", rows.count()).withColumn("later", F.col("own") | (F.col("id") > F.col("first_id")))
+    if not ids_repeat:
+        return known
+    texts = known.where("n > 1 and id = first_id").groupBy(*key).agg(F.min("xk").alias("first_xk"))
+    return known.join(texts, key, "left").withColumn("later", F.col("later") | F.coalesce(F.col("xk") > F.col("first_xk"), F.lit(False)))
 
 
-def _windows(text: Column, near: Column, least_words: int) -> Column:
-    """(start, stop, digest) of each window of ``near``."""
-    one = lambda words, p: F.struct(p.alias("start"), (p + 1).alias("stop"), _digest(words, p, p + least_words).alias("digest"))
-    return _bind(_words(text), lambda words: F.flatten(F.transform(near, lambda e: F.transform(F.sequence(e["start"], e["stop"] - 1), lambda p: one(words, p)))))
+def repeated_windows(texts: DataFrame, least_words: int = LEAST_WORDS, ids_repeat: bool = True) -> DataFrame:
+    """(id, xk, starts, stops): for each row (id, xk, text) the windows that occur before.
 
-
-def _with_later(rows: DataFrame, key: list[str], least_words: int) -> tuple[DataFrame, DataFrame]:
-    """The keys with their number and first row; the rows with ``later``, whether they repeat their key's first one."""
-    at = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "rk", "start")
-    first = rows.groupBy(*key).agg(F.min(at).alias("first"), F.count("*").alias("n"))
-    several = first.where("n > 1").select(*key, F.col("first.rk").alias("first_rk"), F.col("first.start").alias("first_start"))
-    # what overlaps its own first occurrence isn't another one
-    later = F.col("first_rk").isNotNull() & ((F.col("rk") != F.col("first_rk")) | (F.col("start") >= F.col("first_start") + least_words))
-    return first, rows.join(several, key, "left").withColumn("later", later)
-
-
-def repeated_windows(texts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(rk, places): for each row, by its key, the sorted (start, stop) of the windows that occur before.
+    Pass ``ids_repeat`` as false only if no two rows have one id.
 
     All occurrences of a window have one anchor.  Where an anchor has the same
     words around it each time, all its windows are settled at once; otherwise
     the first of each kind is compared window by window.
     """
-    listed = materialize(texts.select("rk", F.inline(anchors(F.col("text"), least_words))), "anchors")
-    repeated = listed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    near = listed.join(repeated, "h").groupBy("rk").agg(F.collect_list(F.struct("start", "stop", "h")).alias("near"))
-    spans = materialize(texts.join(near, "rk").select("rk", "doc_id", F.inline(_spans(F.col("text"), F.col("near"), least_words))), "spans")
-    kinds, spans = _with_later(spans, ["h", "digest"], least_words)
-    mixed = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h", F.lit(True).alias("mixed"))
-    spans = materialize(spans.join(mixed, "h", "left").where("later or mixed").select("rk", "start", "stop", "later"), "settled")
-    open_ = spans.where("not later").groupBy("rk").agg(F.collect_list(F.struct("start", "stop")).alias("near"))
-    windows = materialize(texts.join(open_, "rk").select("rk", "doc_id", F.inline(_windows(F.col("text"), F.col("near"), least_words))), "windows")
-    _, windows = _with_later(windows, ["digest"], least_words)
-    gone = spans.where("later").select("rk", "start", "stop").union(windows.where("later").select("rk", "start", "stop"))
-    return gone.groupBy("rk").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("places"))
-
-
-def _runs(places: Column, least_words: int) -> Column:
-    """(start, stop) in words of the stretches that the windows of the sorted ``places`` cover."""
-    reach = lambda p: p["stop"] + (least_words - 1)
-    starts = F.filter(places, lambda p, i: (i == 0) | (p["start"] > reach(F.get(places, i - 1))))
-    stops = F.filter(places, lambda p, i: (i == F.size(places) - 1) | (F.get(places, i + 1)["start"] > reach(p)))
-    return F.zip_with(starts, stops, lambda a, b: F.struct(a["start"].alias("start"), reach(b).alias("stop")))
-
-
-def _whole_lines(words: Column, runs: Column) -> Column:
-    """``runs`` without the short lines at their edges that they cover by half or less."""
-    breaks = F.filter(F.transform(words, lambda w, i: F.when(w.contains("\n"), i + 1)), lambda i: i.isNotNull())
-
-    def line(ends: Column, place: Column) -> Column:
-        """(from, to, short) of the line with the word at ``place``."""
-        start = F.coalesce(F.array_max(F.filter(ends, lambda e: e <= place)), F.lit(0))
-        stop = F.coalesce(F.array_min(F.filter(ends, lambda e: e > place)), F.size(words))
-        return _bind(F.struct(start.alias("from"), stop.alias("to")), lambda x: F.struct(x["from"], x["to"], (F.length(F.trim(F.array_join(F.slice(words, x["from"] + 1, x["to"] - x["from"]), ""), F.lit(BLANKS))) < LONG_LINE).alias("short")))
-
-    def edges(r: Column, a: Column, b: Column) -> Column:
-        little = lambda x: x["short"] & (2 * (F.least(r["stop"], x["to"]) - F.greatest(r["start"], x["from"])) <= x["to"] - x["from"])
-        return F.struct(F.when(little(a), a["to"]).otherwise(r["start"]).alias("start"), F.when(little(b), b["from"]).otherwise(r["stop"]).alias("stop"))
-
-    trimmed = _bind(breaks, lambda ends: F.transform(runs, lambda r: _bind(F.struct(line(ends, r["start"]).alias("a"), line(ends, r["stop"] - 1).alias("b")), lambda x: edges(r, x["a"], x["b"]))))
-    return F.filter(trimmed, lambda r: r["start"] < r["stop"])
-
-
-def _without(words: Column, runs: Column) -> Column:
-    """The text of ``words`` without those of the runs; a line cut off at its end keeps its line break."""
-
-    def part(r: Column, k: Column) -> Column:
-        start = F.coalesce(F.get(runs, k - 1)["stop"], F.lit(0))
-        kept = F.array_join(F.slice(words, start + 1, r["start"] - start), "")
-        last = F.get(words, r["stop"] - 1)
-        inside = (r["start"] > 0) & ~F.coalesce(F.get(words, r["start"] - 1).contains("\n"), F.lit(False))
-        return F.concat(kept, F.when(inside & last.contains("\n"), F.regexp_extract(last, f"[{BLANKS}]+$", 0)).otherwise(F.lit("")))
-
-    end = F.element_at(runs, -1)["stop"]
-    return F.concat(F.array_join(F.transform(runs, part), ""), F.array_join(F.slice(words, end + 1, F.size(words) - end), ""))
-
-
-def _cleaned(text: Column, places: Column, least_words: int) -> Column:
-    """(text, n): what is left of a text, and how many passages went."""
-    words = lambda use: _bind(chunks(text), use)
-    cut = lambda w, r: F.struct(F.when(F.size(r) > 0, _without(w, r)).otherwise(text).alias("text"), F.size(r).alias("n"))
-    return words(lambda w: _bind(_runs(places, least_words), lambda runs: _bind(_whole_lines(w, runs), lambda r: cut(w, r))))
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a row key: the digest of id and text."""
-    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("__rk", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), body))))
+    listed = texts.mapInArrow(lambda batches: _listed(batches, lambda texts, _: passages.anchors(texts, least_words)), WINDOWS)
+    listed = materialize(listed, "anchors")
+    repeated = materialize(listed.groupBy("h").agg(F.count("*").alias("held")).where("held > 1"), "held")
+    spans = _later(materialize(join_facts(listed, repeated, ["h"], "held", listed.count()), "repeated"), ids_repeat)
+    # an anchor of several kinds of windows: some kind has fewer rows than the anchor
+    spans = materialize(spans.where("later or n < held").select("id", "xk", "start", "stop", "later"), "settled")
+    open_ = spans.where("not later").groupBy("id", "xk").agg(F.collect_list(F.struct("start", "stop")).alias("near"))
+    near = texts.join(open_, ["id", "xk"]).select("id", "xk", "text", "near")
+    single = near.mapInArrow(lambda batches: _listed(batches, lambda texts, rows: passages.windows(texts, rows["near"].to_pylist(), least_words)), WINDOWS)
+    single = _later(materialize(single, "windows"), ids_repeat)
+    gone = spans.where("later").select("id", "xk", "start", "stop").union(single.where("later").select("id", "xk", "start", "stop"))
+    return gone.groupBy("id", "xk").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+
+
+def _cleaner(least_words: int):
+    @F.arrow_udf("struct<text string, n int>")
+    def cleaned(texts: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
+        rows = zip(texts.to_pylist(), starts, stops, strict=True)
+        out = [None if t is None or not a.is_valid else passages.without(t, a.values.to_numpy(), b.values.to_numpy(), least_words) for t, a, b in rows]
+        parts = [pa.array([None if o is None else o[i] for o in out], k) for i, k in enumerate((pa.string(), pa.int32()))]
+        return pa.StructArray.from_arrays(parts, ["text", "n"], mask=pa.array([o is None for o in out]))
+
+    return cleaned
 
 
 def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with ``clean_text`` and ``n_removed`` (passages) beside its columns.
 
-    The first occurrence of a passage stays: smallest doc_id, then row key, then
-    place; rows without an id come last.  Rows that are equal throughout have
-    one key and are treated alike, as one occurrence.  Null texts stay null,
-    empty ones empty.  Columns of ``docs`` named clean_text or n_removed are
-    replaced.  No rows give no rows.
+    The first occurrence of a passage stays: smallest doc_id, then a hash of
+    the row, then place; rows without an id come last.  Rows that are equal
+    throughout have one key and are treated alike, as one occurrence.  Null
+    texts stay null, empty ones empty.  Columns of ``docs`` named clean_text or
+    n_removed are replaced.  No rows give no rows.
     """
-    keyed = _keyed(docs.drop("clean_text", "n_removed"))
-    texts = keyed.select(F.col("__rk").alias("rk"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    if texts.groupBy("rk").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-        texts = texts.dropDuplicates(["rk"])
-    gone = repeated_windows(texts, least_words).withColumnRenamed("rk", "__gone_rk")
-    joined = keyed.join(gone, F.col("__rk") == F.col("__gone_rk"), "left")
-    done = joined.withColumn("__done", F.when(F.col("places").isNotNull(), _cleaned(F.col("text").cast("string"), F.col("places"), least_words)))
-    return done.withColumns({"clean_text": F.when(F.col("places").isNull(), F.col("text")).otherwise(F.col("__done.text")), "n_removed": F.coalesce("__done.n", F.lit(0))}).drop("__rk", "__gone_rk", "places", "__done")
+    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.drop("clean_text", "n_removed").withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NAMELESS)), "__xk": F.xxhash64("doc_id", body)})
+    texts = keyed.select(F.col("__id").alias("id"), F.col("__xk").alias("xk"), body.alias("text"))
+    ids = texts.groupBy("id").agg(F.count("*").alias("n"), F.min("xk").alias("low"), F.max("xk").alias("high"))
+    rows = ids.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.coalesce(F.bool_or(F.col("low") != F.col("high")), F.lit(False)).alias("ids_repeat")).first()
+    if rows["most"] > 1:
+        texts = texts.dropDuplicates(["id", "xk"])
+    else:  # ids alone tell rows apart
+        keyed, texts = keyed.withColumn("__xk", F.lit(0).cast("long")), texts.withColumn("xk", F.lit(0).cast("long"))
+    gone = repeated_windows(texts, least_words, rows["ids_repeat"]).withColumnsRenamed({"id": "__gone_id", "xk": "__gone_xk", "starts": "__starts", "stops": "__stops"})
+    joined = keyed.join(gone, (F.col("__id") == F.col("__gone_id")) & (F.col("__xk") == F.col("__gone_xk")), "left")
+    # texts that stay as they are don't go to Python
+    cut = F.when(F.col("__starts").isNotNull(), F.col("text").cast("string"))
+    done = joined.withColumn("__done", _cleaner(least_words)(cut, F.col("__starts"), F.col("__stops")))
+    return done.withColumns({"clean_text": F.when(F.col("__starts").isNull(), F.col("text")).otherwise(F.col("__done.text")), "n_removed": F.coalesce("__done.n", F.lit(0))}).drop("__id", "__xk", "__gone_id", "__gone_xk", "__starts", "__stops", "__done")
 
 
 def dedup(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:

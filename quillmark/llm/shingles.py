@@ -36,24 +36,44 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _Tables.up, _Tables.down
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word of the text, A-Z as a-z; words are what lies between ASCII white space."""
-    data = text.encode("utf-8", "surrogatepass").lower()
-    codes = np.frombuffer(data, np.uint8)
+def hashed_words(codes: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash of each run of codes that aren't blank, and where the runs start and end."""
     if not len(codes):
-        return np.empty(0, _U)
-    blank = (codes == 32) | ((codes >= 9) & (codes <= 13))
+        return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
     inside = np.concatenate(([True], blank, [True]))
     starts = np.flatnonzero(inside[:-2] & ~inside[1:-1])
     ends = np.flatnonzero(~inside[1:-1] & inside[2:]) + 1
-    if not len(starts):
-        return np.empty(0, _U)
     up, down = _tables(len(codes) + 1)
     with np.errstate(over="ignore"):
         # the sum of code * base**place over a word, divided by base**start
         sums = np.zeros(len(codes) + 1, _U)
         np.cumsum((codes.astype(_U) + _U(1)) * up[: len(codes)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U)), starts, ends
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word of the text, A-Z as a-z; words are what lies between ASCII white space."""
+    codes = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+    return hashed_words(codes, (codes == 32) | ((codes >= 9) & (codes <= 13)))[0]
+
+
+def grams(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each ``width`` words in a row."""
+    n = len(words) - width + 1
+    with np.errstate(over="ignore"):
+        total = np.full(max(0, n), width, _U)
+        for k in range(width):
+            total = mix(total * _U(_GOLDEN) + words[k : k + n])
+    return total
+
+
+def stretches(words: np.ndarray, starts: np.ndarray, stops: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A hash of the words of each stretch from start to before stop, whatever its place."""
+    up, down = _tables(len(words) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(words) + 1, _U)
+        np.cumsum(mix(words + _U(salt)) * up[: len(words)], out=sums[1:])
+        return mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(_U))
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
@@ -61,10 +81,4 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     words = word_hashes(text or "")
     if not len(words):
         return words
-    width = min(width, len(words))
-    n = len(words) - width + 1
-    with np.errstate(over="ignore"):
-        total = np.full(n, width, _U)
-        for k in range(width):
-            total = mix(total * _U(_GOLDEN) + words[k : k + n])
-    return np.unique(total)
+    return np.unique(grams(words, min(width, len(words))))
