@@ -16,7 +16,7 @@ def clean(c: Column) -> Column:
 
 def clean_advertiser(c: Column) -> Column:
     """Without the suffix that search networks append."""
-    return F.regexp_replace(clean(c), r"(?i) ?\| ?(search ads|sponsored).*$", "")
+    return F.regexp_replace(clean(c), r"(?i)[\s\p{Z}]*\|[\s\p{Z}]*(search[\s\p{Z}]*ads?|sponsored).*$", "")
 
 
 def ad_id(title: Column, advertiser: Column, domain: Column) -> Column:
@@ -80,13 +80,30 @@ def keyword_pattern(keyword: str) -> str:
     return rf"(?i)(?:^|{edge}){quoted}" + (rf"(?:$|{edge})" if keyword.isascii() else "")
 
 
-def keyword_scores(c: Column, lexicon: dict[str, list[str]]) -> Column:
-    """For each category of the lexicon its share of the score; a keyword counts 1, and half more for each further word."""
-    raw = [sum((F.when(c.rlike(keyword_pattern(k)), 1 + 0.5 * (len(k.split()) - 1)).otherwise(0.0) for k in ks), F.lit(0.0)) for ks in lexicon.values()]
-    total = sum(raw, F.lit(0.0))
-    return F.array(*[F.when(total == 0, 0.0).otherwise(r / total) for r in raw])
-
-
 def is_junk(title: Column, domain: Column, generic: tuple[str, ...]) -> Column:
     t = F.lower(clean(title))
     return (t == "") | t.isin(*generic) | (t == F.lower(F.coalesce(domain, F.lit("")))) | (F.length(t) < 4)
+
+
+def name_in_domain(name: Column, domain: Column) -> Column:
+    """Whether a name, reduced to a-z and 0-9, is part of the domain so reduced; an empty name isn't."""
+    bare = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]", "")
+    return (bare(name) != "") & F.contains(bare(domain), bare(name))
+
+
+def character_counts(c: Column) -> list[Column]:
+    """Letters, digits, and the signs of money and shares."""
+    body = F.coalesce(c, F.lit(""))
+    return [F.regexp_count(body, F.lit(p)).alias(n) for n, p in (("letters", r"\p{L}"), ("digits", r"\p{Nd}"), ("signs", "[₹%]"))]
+
+
+def readable(c: Column, confidence: Column) -> Column:
+    """A read line worth keeping: confident, with words or long numbers, and little else."""
+    body = F.regexp_replace(F.coalesce(c, F.lit("")), " ", "")
+    letters, digits, signs = character_counts(body)
+    return (confidence >= 0.3) & ((letters >= 2) | (digits >= 6)) & (letters + digits + signs >= 0.6 * F.greatest(F.length(body), F.lit(1)))
+
+
+def snapshot_key(section: Column) -> Column:
+    """A section's path as one word; ``home`` for the front page."""
+    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.coalesce(section, F.lit("")), "^/+|/+$", ""), "/", "-"), F.lit("")), F.lit("home"))

@@ -17,11 +17,12 @@ def seen_between(ts: Column, first: str | None, last: str | None) -> Column:
 
 
 def matches(columns: list[str], query: str) -> Column:
-    """Case-blind substring search over several columns; ``%`` and ``_`` of the query are wildcards, a backslash is itself."""
-    pattern = "%" + query.replace("\\", "\\\\") + "%"
+    """Substring search over several columns, blind to the case of A-Z alone; ``%`` and ``_`` of the query are wildcards, a backslash is itself."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    pattern = "%" + query.replace("\\", "\\\\").translate(str.maketrans(upper, lower)) + "%"
     found = F.lit(False)
     for c in columns:
-        found = found | F.coalesce(F.col(c).ilike(pattern), F.lit(False))
+        found = found | F.coalesce(F.translate(c, upper, lower).like(pattern), F.lit(False))
     return found
 
 
@@ -36,6 +37,29 @@ def share_of_total(df: DataFrame, key: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(whole)).select(key, "n", F.round(F.col("n") / F.col("whole"), 6).alias("share"), F.round(F.col("n") / F.col("most"), 6).alias("share_of_most"))  # one row
 
 
+def one_last(df: DataFrame, last: Column, order: list[Column]) -> DataFrame:
+    """An ordering with the rows that meet ``last`` behind all others, each part in that order."""
+    return df.orderBy(last, *order)
+
+
+def strength(confidence: Column) -> Column:
+    return F.when(confidence >= 0.75, "strong").when(confidence >= 0.5, "good").otherwise("possible")
+
+
+def reading(quality: Column) -> Column:
+    return F.when(quality >= 0.75, "Good").when(quality >= 0.5, "Partial").otherwise("Poor")
+
+
+def preset_start(today: Column) -> dict[str, Column]:
+    """The first day of each preset; all end today, which counts."""
+    return {name: F.date_sub(today, days - 1) for name, days in (("today", 1), ("week", 7), ("month", 30))}
+
+
+def fresh(at: Column, now: Column, seconds: int) -> Column:
+    """Whether something is younger than so many seconds."""
+    return F.coalesce(F.timestamp_diff("SECOND", at, now) < seconds, F.lit(False))
+
+
 def page_of(df: DataFrame, order: list[Column], page: int, size: int = 24) -> DataFrame:
     """One page of an ordering, the page number held within what there is; a top-k, not a sort of the whole."""
     pages = max(1, -(-df.count() // size))

@@ -24,6 +24,19 @@ def candidates(found: DataFrame, answers: DataFrame, least_iou: float = 0.3) ->
     return left.join(right, "page").where((score >= least_iou) | inside).select("page", "det", "ans", F.round(score, 6).alias("iou"))
 
 
+def centres_inside(found: DataFrame, areas: DataFrame) -> DataFrame:
+    """page, det and ans of the boxes whose centre lies in an area of their page."""
+    right = areas.select("page", "ans", *[F.col(s).alias(f"a_{s}") for s in SIDES])
+    cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
+    inside = cx.between(F.col("a_x1"), F.col("a_x2")) & cy.between(F.col("a_y1"), F.col("a_y2"))
+    return found.join(right, "page").where(inside).select("page", "det", "ans")
+
+
+def placed(spots: DataFrame, least: int, height: int) -> DataFrame:
+    """Spots (w, h, y) that are large enough and end within a capture's height."""
+    return spots.where((F.col("w") >= least) & (F.col("h") >= least) & (F.col("y") + F.col("h") <= height))
+
+
 def _page_by_page(df: DataFrame, order: list[Column], schema, start, take) -> DataFrame:
     """Rows of each page in order, with a state that starts anew at each page; ``take(state, row)`` says whether a row stays."""
     columns = df.columns
@@ -44,7 +57,7 @@ def _page_by_page(df: DataFrame, order: list[Column], schema, start, take) -> Da
 
 
 def assigned(pairs: DataFrame) -> DataFrame:
-    """One detection for each answer and the other way round, in the order of answers, greedily."""
+    """One detection for each answer and the other way round: answers in their order, each takes the first free detection in the order of listing."""
 
     def take(state: tuple[set, set], row) -> bool:
         answers, used = state
@@ -54,24 +67,59 @@ def assigned(pairs: DataFrame) -> DataFrame:
         used.add(row.det)
         return True
 
-    return _page_by_page(pairs, [F.col("ans"), F.desc("iou"), F.col("det")], pairs.schema, lambda: (set(), set()), take)
+    return _page_by_page(pairs, [F.col("ans"), F.col("det")], pairs.schema, lambda: (set(), set()), take)
 
 
-def without_nested(found: DataFrame) -> DataFrame:
-    """Boxes not 70 % inside a larger one that stays, by falling area; page by page."""
+def _by_area(found: DataFrame, covered) -> DataFrame:
+    """Boxes by falling area, page by page, without those that ``covered(shared, own, kept's area)`` by one that stays."""
 
     def take(kept: list, box) -> bool:
         own = (box.x2 - box.x1) * (box.y2 - box.y1)
-        for k in kept:
-            if max(0, min(box.x2, k.x2) - max(box.x1, k.x1)) * max(0, min(box.y2, k.y2) - max(box.y1, k.y1)) >= 0.7 * own:
+        for k, area in kept:
+            shared = max(0, min(box.x2, k.x2) - max(box.x1, k.x1)) * max(0, min(box.y2, k.y2) - max(box.y1, k.y1))
+            if covered(shared, own, area):
                 return False
-        kept.append(box)
+        kept.append((box, own))
         return True
 
     size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     return _page_by_page(found, [size.desc(), F.col("det")], found.schema, list, take)
 
 
+def without_nested(found: DataFrame, page_area: float | None = None) -> DataFrame:
+    """Boxes not 70 % inside a larger one that stays, nor half inside one of 60 % of the page (if its area is given)."""
+
+    def covered(shared, own, area) -> bool:
+        own = max(1, own)
+        return shared >= 0.7 * own or (page_area is not None and area >= 0.6 * page_area and shared >= 0.5 * own)
+
+    return _by_area(found, covered)
+
+
+def without_duplicates(found: DataFrame) -> DataFrame:
+    """Of boxes that are the same region (80 % of the smaller, 60 % of the larger) the larger one."""
+    return _by_area(found, lambda shared, own, area: shared >= 0.8 * own and shared >= 0.6 * area)
+
+
+def evaluation(found: DataFrame, answers: DataFrame, optional: DataFrame) -> DataFrame:
+    """One row of totals against an answer key.
+
+    ``found`` has page, det, the box, category, quality and confidence;
+    ``answers`` page, ans, the box, category and also_ok; ``optional`` page, ans
+    and the box.  A detection that is used by no answer and matches neither an
+    answer nor an optional box is a false positive.
+    """
+    pairs = candidates(found, answers)
+    used = assigned(pairs).select("page", "det", "ans")
+    near = pairs.select("page", "det").union(candidates(found, optional).select("page", "det")).distinct()
+    wrong = found.join(near, ["page", "det"], "left_anti").agg(F.count("*").alias("false_positives"))
+    key = answers.select("page", "ans", F.col("category").alias("right"), "also_ok")
+    met = used.join(found.select("page", "det", "category", "quality", "confidence"), ["page", "det"]).join(key, ["page", "ans"])
+    fits = (F.col("category") == F.col("right")) | F.coalesce(F.array_contains("also_ok", F.col("category")), F.lit(False))
+    totals = met.agg(F.count("*").alias("found"), F.count_if(fits).alias("category_ok"), F.round(F.coalesce(F.avg("quality"), F.lit(0.0)), 2).alias("quality"), F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 2).alias("confidence"))
+    return totals.crossJoin(F.broadcast(wrong)).crossJoin(F.broadcast(answers.agg(F.count("*").alias("of"))))  # one row each
+
+
 def runs(df: DataFrame, key: str, order: str, flag: Column, least: int) -> DataFrame:
     """Maximal runs of rows with the flag, at least this long: first, last and length."""
     marked = df.select(key, order, flag.cast("int").alias("on"))
@@ -86,13 +134,3 @@ def reading_quality(confidence: Column, length: Column, clean: Column) -> list[C
 
 def ad_score(layout: Column, ad_cues: Column, news_cues: Column) -> Column:
     return F.least(F.greatest(layout + 0.08 * F.least(ad_cues, F.lit(3)) - 0.15 * F.least(news_cues, F.lit(3)), F.lit(0.0)), F.lit(0.99))
-
-
-def decoded_images(files: DataFrame, extract) -> DataFrame:
-    """Rows of ``extract(path, bytes)`` (path, kind, value) for binary files, in Arrow batches; ``extract`` brings its own decoder."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([row for path, content in zip(batch["path"], batch["content"], strict=True) for row in extract(path, content)], columns=["path", "kind", "value"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, kind string, value double")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.functions import boxes, text, urls
+from quillmark.functions import boxes, keywords, text, urls
 from quillmark.operators import library, model, reports, spatial
 from quillmark.sources.readers import cards, links, table
 
@@ -240,7 +240,7 @@ def _rules_sql() -> str:
 
 @query(_rules_sql())
 def keyword_rules(spark, sf):
-    scored = table(spark, sf, "documents").select("doc_id", text.keyword_scores(F.col("text"), LEXICON).alias("s"))
+    scored = table(spark, sf, "documents").select("doc_id", keywords.rule_scores(keywords.keyword_hits(F.col("text"), LEXICON), len(LEXICON)).alias("s"))
     return scored.select("doc_id", *[F.round(F.col("s")[i], 6).alias(n) for i, n in enumerate(LEXICON)])
 
 
