@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import passages
+from quillmark.llm.batches import small, values
 from quillmark.llm.store import join_facts, materialize
 
 LEAST_WORDS = 25
@@ -44,7 +45,7 @@ def chunks(text: Column) -> Column:
 
 def _listed(batches: Iterator[pa.RecordBatch], find) -> Iterator[pa.RecordBatch]:
     """Rows of WINDOWS for rows of (id, xk, text, ..); ``find(rows)`` gives text, start, stop, h, d and own."""
-    for batch in batches:
+    for batch in small(batches):
         texts = batch["text"].to_pylist()
         for a, b in passages.groups(texts):
             rows = batch.slice(a, b - a)
@@ -90,7 +91,7 @@ def repeated_windows(texts: DataFrame, least_words: int = LEAST_WORDS, ids_repea
 def _cleaner(least_words: int):
     @F.arrow_udf("struct<text string, n int>")
     def cleaned(texts: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
-        rows = zip(texts.to_pylist(), starts, stops, strict=True)
+        rows = zip(values(texts), starts, stops, strict=True)
         out = [None if t is None or not a.is_valid else passages.without(t, a.values.to_numpy(), b.values.to_numpy(), least_words) for t, a, b in rows]
         parts = [pa.array([None if o is None else o[i] for o in out], k) for i, k in enumerate((pa.string(), pa.int32()))]
         return pa.StructArray.from_arrays(parts, ["text", "n"], mask=pa.array([o is None for o in out]))

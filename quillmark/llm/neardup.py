@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.llm.batches import small
 from quillmark.llm.components import components
 from quillmark.llm.shingles import shingle_set
 from quillmark.llm.store import materialize
@@ -77,7 +78,7 @@ def signature(shingles: np.ndarray, collections: int, width: int) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], collections: int, width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         sizes, hashes = [], []
         for text in batch["text"].to_pylist():
             shingles = shingle_set(text, SHINGLE)
@@ -87,7 +88,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], collections: int, width: int) ->
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         packed = [shingle_set(t, SHINGLE).tobytes() for t in batch["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays([batch["sid"], pa.array(packed, pa.binary())], ["sid", "shingles"])
 

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import tokens
+from quillmark.llm.batches import small
 from quillmark.llm.store import materialize
 
 TIERS = (256, 512, 1024, 2048)
@@ -36,7 +37,7 @@ PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 def _cut(batches: Iterator[pa.RecordBatch], window: int, path: str | None, ranks: str | None) -> Iterator[pa.RecordBatch]:
     encoder = tokens.byte_pair(path, ranks)
     end = END_ID.to_bytes(4, "little")
-    for batch in batches:
+    for batch in small(batches):
         out: tuple[list, ...] = ([], [], [], [], [])
         for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
             ids = memoryview(encoder.encode(text or "") + end)

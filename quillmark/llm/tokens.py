@@ -17,7 +17,7 @@ import os
 import re
 
 #: Parts remembered by one Python worker; beyond it the memory starts anew.
-MEMORY = 1_000_000
+MEMORY = 400_000
 #: Longer parts are encoded each time.
 LONGEST_PART = 64
 #: White space other than spaces and line breaks.

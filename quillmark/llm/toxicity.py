@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.llm.batches import release, small, values
 from quillmark.llm.store import materialize
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
@@ -54,10 +55,13 @@ class Settings:
     smallest_weight: float = 0.25
 
 
+NONE: frozenset[str] = frozenset()
+
+
 class Known(dict):
     """The weighted features of a word, found when first asked for."""
 
-    limit = 500_000
+    limit = 200_000
 
     def __init__(self, weights: dict[str, float]):
         super().__init__()
@@ -66,7 +70,8 @@ class Known(dict):
     def __missing__(self, word: str) -> frozenset[str]:
         if len(self) >= self.limit:
             self.clear()
-        self[word] = found = frozenset(features({word}) & self.weights.keys())
+        # most words have none; they share one empty set
+        self[word] = found = frozenset(features({word}) & self.weights.keys()) or NONE
         return found
 
 
@@ -179,6 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         sample = sample.sort_values(["text", "toxic"], kind="stable")
         toxic = sample["toxic"].to_numpy().astype(np.int64)
         model = fit_weights(sample["text"].tolist(), toxic, share, settings) if 0 < toxic.sum() < len(toxic) else Model(-10.0, {})
+        del parts, sample, toxic
+        release()
         yield pd.DataFrame({"word": ["", *model.weights], "weight": [model.bias, *model.weights.values()]})
 
     # one task by design: the sample is bounded
@@ -192,7 +199,7 @@ SCORED = "score double, predicted int, n_offending int, worst_start int, worst_e
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model, keep: list[str]) -> Iterator[pa.RecordBatch]:
     reader = model.reader()
-    for batch in batches:
+    for batch in small(batches):
         columns: list[list] = [[] for _ in range(6)]
         for text in batch["text"].to_pylist():
             found = reader.sentences(text)
@@ -237,10 +244,12 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     """The rows of ``docs`` that score below ``threshold``, with all their columns."""
     hidden = "__toxicity"
 
-    def mark(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def mark(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         reader = model.reader()
         for part in texts:
-            yield pd.Series([-math.expm1(-sum(e for _, _, e in reader.sentences(t))) for t in part], dtype="float64")
+            yield pa.array([-math.expm1(-sum(e for _, _, e in reader.sentences(t))) for t in values(part)], pa.float64())
+        del reader
+        release()
 
-    marked = docs.withColumn(hidden, F.pandas_udf(mark, "double")(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    marked = docs.withColumn(hidden, F.arrow_udf(mark, "double")(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     return marked.where(F.col(hidden) < threshold).drop(hidden)
