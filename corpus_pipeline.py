@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillmark.llm import lines, neardup, packing, toxicity
 from quillmark.llm.store import materialize, table
 
-#: Models and tokenizers can't be written in SQL; the tests hold run() against the stages' brute-force versions.
+#: Models and tokenizers can't be written in SQL; the tests hold each stage against fixtures and plain versions.
 ORACLE_SQL = None
 
 

@@ -63,11 +63,11 @@ def quality(lines: DataFrame, key: str) -> DataFrame:
     return lines.groupBy(key).agg(F.round(0.65 * F.sum(F.col("conf") * size) / whole + 0.35 * F.sum(kept) / whole, 3).alias("quality"))
 
 
-def cluster_summary(lines: DataFrame, keys: list[str]) -> DataFrame:
+def cluster_summary(lines: DataFrame, keys: list[str], digits: int = 3) -> DataFrame:
     """For each cluster of read lines (line, text, conf, x1, y1, x2, y2): headline, description, mean confidence and bounding box, from the top."""
     said = lines.where((F.col("conf") > 0.15) & (F.trim("text") != ""))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(((F.col("y1") + F.col("y2")) / 2).alias("at"), "line", text.clean(F.col("text")).alias("text")))), lambda e: e["text"])
-    found = said.groupBy(*keys).agg(ordered.alias("lines"), F.round(F.avg("conf"), 3).alias("confidence"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+    found = said.groupBy(*keys).agg(ordered.alias("lines"), F.round(F.avg("conf"), digits).alias("confidence"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
     return found.select(*keys, F.get("lines", F.lit(0)).alias("headline"), F.array_join(F.slice("lines", 2, 10**6), " ").alias("description"), F.array_join("lines", "\n").alias("full_text"), "confidence", "x1", "y1", (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
 
 

@@ -54,10 +54,10 @@ def headline_compose(spark, sf):
     return pages.composed(_read(spark, sf), "block")
 
 
-@query(f"""select block, line % 2 as cluster, count(*) as n, round(avg(conf), 3) as confidence, min(x)::double as x1, min(y)::double as y1, max(x + h) - min(x) as w, max(y + h) - min(y) as h, arg_min({_CLEAN.format('text')}, (y + h / 2, line, text)) as headline from (select * from {_READ}) where conf > 0.15 group by 1, 2""")
+@query(f"""select block, line % 2 as cluster, count(*) as n, round(avg(conf), 9) as confidence, min(x)::double as x1, min(y)::double as y1, max(x + h) - min(x) as w, max(y + h) - min(y) as h, arg_min({_CLEAN.format('text')}, (y + h / 2, line, text)) as headline from (select * from {_READ}) where conf > 0.15 group by 1, 2""")
 def cluster_summary(spark, sf):
     lines = _read(spark, sf).select("block", (F.col("line") % 2).alias("cluster"), "line", "text", "conf", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("h")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"))
-    found = pages.cluster_summary(lines, ["block", "cluster"])
+    found = pages.cluster_summary(lines, ["block", "cluster"], digits=9)
     return found.select("block", "cluster", F.size(F.split("full_text", "\n")).cast("long").alias("n"), "confidence", "x1", "y1", "w", "h", "headline")
 
 
