@@ -15,6 +15,7 @@ import array
 import base64
 import os
 import re
+from functools import cached_property
 
 #: Parts remembered by one Python worker; beyond it the memory starts anew.
 MEMORY = 400_000
@@ -49,14 +50,20 @@ class BytePairIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(ranks, "rb") as lines:
             by_bytes = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=by_bytes, special_tokens={})
         self.known = Memory(self.encode_part)
 
+    @cached_property
+    def tokenizer(self):
+        """The tokenizer itself; most workers never meet a special token and don't load it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode_part(self, part: str) -> bytes:
         ids = self.tokenizer.encode(part, add_special_tokens=False).ids if SPECIAL in part else self.plain.encode_ordinary(part)
         return array.array("I", ids).tobytes()
