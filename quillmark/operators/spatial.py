@@ -16,12 +16,16 @@ SIDES = ["x1", "y1", "x2", "y2"]
 def candidates(found: DataFrame, answers: DataFrame, least_iou: float = 0.3) -> DataFrame:
     """page, det, ans and iou of the pairs on a page that overlap enough, or whose centre lies inside and whose area is a quarter."""
     d, a = [F.col(f"d_{s}") for s in SIDES], [F.col(f"a_{s}") for s in SIDES]
-    left = found.select("page", "det", *[F.col(s).alias(f"d_{s}") for s in SIDES])
-    right = answers.select("page", "ans", *[F.col(s).alias(f"a_{s}") for s in SIDES])
+    left = found.select("page", "det", *[F.col(s).alias(f"d_{s}") for s in SIDES], boxes.area(*map(F.col, SIDES)).alias("d_area"))
+    right = answers.select("page", "ans", *[F.col(s).alias(f"a_{s}") for s in SIDES], boxes.area(*map(F.col, SIDES)).alias("a_area"))
+    # whatever overlaps or has its centre inside touches on both axes
+    touching = (d[0] <= a[2]) & (a[0] <= d[2]) & (d[1] <= a[3]) & (a[1] <= d[3])
     cx, cy = (d[0] + d[2]) / 2, (d[1] + d[3]) / 2
-    inside = (cx >= a[0]) & (cx <= a[2]) & (cy >= a[1]) & (cy <= a[3]) & (boxes.area(*d) >= 0.25 * boxes.area(*a))
-    score = boxes.iou(d, a)
-    return left.join(right, "page").where((score >= least_iou) | inside).select("page", "det", "ans", F.round(score, 6).alias("iou"))
+    inside = (cx >= a[0]) & (cx <= a[2]) & (cy >= a[1]) & (cy <= a[3]) & (F.col("d_area") >= 0.25 * F.col("a_area"))
+    shared = boxes.overlap(d, a)
+    both = F.col("d_area") + F.col("a_area") - shared
+    score = F.when(both > 0, shared / F.nullif(both, F.lit(0))).otherwise(0.0)
+    return left.join(right, "page").where(touching).where((score >= least_iou) | inside).select("page", "det", "ans", F.round(score, 6).alias("iou"))
 
 
 def centres_inside(found: DataFrame, areas: DataFrame) -> DataFrame:
