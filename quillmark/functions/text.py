@@ -68,6 +68,20 @@ def trigrams(c: Column) -> Column:
     return F.when(F.length(c) >= 3, F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
 
 
+def word_grams(c: Column) -> Column:
+    """Words, and pairs of neighbouring words with a blank between them."""
+    pairs = lambda t: F.when(F.size(t) > 1, F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.array(tokens(c)), lambda t: F.concat(t, pairs(t)))[0]
+
+
+def char_grams(c: Column, low: int = 2, high: int = 5) -> Column:
+    """Sequences of ``low`` to ``high`` characters inside the words, each word with a blank before and behind it."""
+    words = F.filter(F.split(clean(F.lower(c)), " "), lambda w: w != "")
+    padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    of_size = lambda w, n: F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, n))
+    return F.flatten(F.transform(padded, lambda w: F.flatten(F.transform(F.sequence(F.lit(low), F.least(F.lit(high), F.length(w))), lambda n: of_size(w, n)))))
+
+
 def cue_count(c: Column, patterns: list[str]) -> Column:
     """How many of the patterns occur."""
     return sum((c.rlike(p).cast("int") for p in patterns), F.lit(0))

@@ -69,12 +69,16 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(whole)).select(label, "n", F.round(F.col("rows") / (F.col("classes") * F.col("n")), 6).alias("weight"))  # one row
 
 
+def balanced_fit(rows: DataFrame, c: float, tolerance: float = 1e-9, rounds: int = 200) -> LogisticRegressionModel:
+    """Multinomial regression of features and label, classes weighted alike, with penalty ``|w|**2 / (2 c)``."""
+    weighted = rows.join(F.broadcast(class_weights(rows, "label").select("label", "weight")), "label")  # a row for each class
+    whole = weighted.agg(F.sum("weight")).first()[0]
+    return LogisticRegression(family="multinomial", weightCol="weight", regParam=1 / (c * whole), elasticNetParam=0.0, standardization=False, maxIter=rounds, tol=tolerance).fit(weighted)
+
+
 def softmax_fit(df: DataFrame, vector: str, label: str, c: float) -> LogisticRegressionModel:
-    """Balanced multinomial regression with penalty ``|w|**2 / (2 c)``."""
-    weights = class_weights(df, label).select(label, "weight")
-    rows = df.join(F.broadcast(weights), label).select(array_to_vector(vector).alias("features"), F.col(label).cast("double").alias("label"), "weight")  # a row for each class
-    whole = rows.agg(F.sum("weight")).first()[0]
-    return LogisticRegression(family="multinomial", weightCol="weight", regParam=1 / (c * whole), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9).fit(rows)
+    """``balanced_fit`` on a column of arrays."""
+    return balanced_fit(df.select(array_to_vector(vector).alias("features"), F.col(label).cast("double").alias("label")), c)
 
 
 def softmax_scores(model: LogisticRegressionModel, df: DataFrame, vector: str) -> DataFrame:

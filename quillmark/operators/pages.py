@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmark.functions import text
 
@@ -71,6 +74,33 @@ def cluster_summary(lines: DataFrame, keys: list[str], digits: int = 3) -> DataF
     return found.select(*keys, F.get("lines", F.lit(0)).alias("headline"), F.array_join(F.slice("lines", 2, 10**6), " ").alias("description"), F.array_join("lines", "\n").alias("full_text"), "confidence", "x1", "y1", (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
 
 
+def line_clusters(lines: DataFrame) -> DataFrame:
+    """Read lines (page, line, x1, y1, x2, y2, height of the page) with the cluster of their page, from 0.
+
+    From the top, a line joins the earliest cluster with a line close above it
+    (centres within 2.5 times 2 % of the height, 30 pixels at least) that it
+    overlaps or nearly overlaps sideways.  Lines without width open clusters of
+    their own.  A page's lines are one group: as many as one page holds.
+    """
+    wanted = T.StructType([*lines.schema.fields, T.StructField("cluster", T.IntegerType())])
+
+    def grouped(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.assign(_cy=(page["y1"] + page["y2"]) / 2).sort_values(["_cy", "line"], kind="stable")
+        cy, left, right = (page[c].to_numpy(float) for c in ("_cy", "x1", "x2"))
+        reach = 2.5 * max(0.02 * float(page["height"].max()), 30.0)
+        cluster, opened = np.zeros(len(page), np.int32), 0
+        for i in range(len(page)):
+            first = int(np.searchsorted(cy, cy[i] - reach, "left"))  # lines are sorted: none before is near
+            narrow = np.minimum(right[first:i] - left[first:i], right[i] - left[i])
+            shared = np.minimum(right[first:i], right[i]) - np.maximum(left[first:i], left[i])
+            near = cluster[first:i][(narrow > 0) & (shared > -0.3 * narrow)]
+            cluster[i] = near.min() if len(near) else opened
+            opened += not len(near)
+        return page.drop(columns="_cy").assign(cluster=cluster)
+
+    return lines.groupBy("page").applyInPandas(grouped, wanted)
+
+
 def reindexed(ads: DataFrame, page: str, *ties: str) -> DataFrame:
     """Ads numbered from 0 on each page, in bands of 40 pixels from the top, then from the left."""
     order = Window.partitionBy(page).orderBy(F.floor(F.col("y1") / 40), "x1", "y1", *ties)

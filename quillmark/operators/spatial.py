@@ -138,3 +138,30 @@ def reading_quality(confidence: Column, length: Column, clean: Column) -> list[C
 
 def ad_score(layout: Column, ad_cues: Column, news_cues: Column) -> Column:
     return F.least(F.greatest(layout + 0.08 * F.least(ad_cues, F.lit(3)) - 0.15 * F.least(news_cues, F.lit(3)), F.lit(0.0)), F.lit(0.99))
+
+
+def decided(blocks: DataFrame) -> DataFrame:
+    """Blocks of a page (layout, ads, news, headline, full_text, page_share) with score, is_ad and likelihood.
+
+    News wording without signs of ads and a missing headline on an unclear layout
+    count against a block; a small one without text isn't an ad at all.
+    """
+    raw = F.col("layout") + 0.08 * F.least("ads", F.lit(3)) - 0.15 * F.least("news", F.lit(3))
+    worded = F.when((F.col("news") >= 2) & (F.col("ads") == 0), 0.3).otherwise(0.0)
+    silent = F.when((F.col("headline") == "") & (F.col("layout") < 0.7), 0.3).otherwise(0.0)
+    empty = (F.length(F.replace("full_text", F.lit(" "), F.lit(""))) < 4) & (F.col("page_share") < 0.08)
+    scored = blocks.withColumn("score", F.when(empty, 0.0).otherwise(raw - worded - silent))
+    return scored.withColumns({"is_ad": F.col("score") >= 0.5, "likelihood": F.round(F.least(F.lit(0.99), F.greatest(F.lit(0.5), "score")), 3)})
+
+
+def cell_labels(cells: DataFrame, answers: DataFrame, optional: DataFrame) -> DataFrame:
+    """Cells (page, cell, cx, cy) with label 1 inside an answer's box, and weight 0 inside an optional one alone."""
+    areas = answers.select("page", *SIDES, F.lit(True).alias("sure")).unionByName(optional.select("page", *SIDES, F.lit(False).alias("sure"))).withColumnRenamed("page", "a_page")
+    inside = (F.col("page") == F.col("a_page")) & F.col("cx").between(F.col("x1"), F.col("x2")) & F.col("cy").between(F.col("y1"), F.col("y2"))
+    met = cells.join(areas, inside, "left").groupBy("page", "cell").agg(F.coalesce(F.bool_or("sure"), F.lit(False)).alias("sure"), F.count("sure").alias("n"))
+    return met.select("page", "cell", F.col("sure").cast("int").alias("label"), F.when(~F.col("sure") & (F.col("n") > 0), 0.0).otherwise(1.0).alias("weight"))
+
+
+def training_cells(labelled: DataFrame, most: int = 40_000) -> DataFrame:
+    """The cells that count, at most ``most`` of them, drawn by a hash."""
+    return labelled.where("weight > 0").orderBy(F.xxhash64("page", "cell"), "page", "cell").limit(most)

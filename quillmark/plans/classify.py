@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillmark.functions import keywords
+from quillmark.functions import keywords, text
 from quillmark.operators import model, predict as classifier
-from quillmark.plans.catalogue import query
+from quillmark.plans.catalogue import W, query
 from quillmark.sources.readers import table
 
 SYLLABLES = "an er in on re th ti ed nd ha en ou es st at he or sh ing ea ble ly al it".split()
@@ -103,3 +103,21 @@ select (row_number() over (order by round(coalesce(2.0 * hit / nullif(s + g, 0),
 def weakest_classes(spark, sf):
     rows = table(spark, sf, "embeddings").select((F.col("label") % 3).alias("a"), (F.col("vec_id") % 7 % 3).cast("int").alias("p"))
     return model.confusion_metrics(rows, "a", "p").selectExpr("cast(row_number() over (order by f1, class) as int) as place", "class")
+
+
+_WORDS = f"regexp_extract_all(lower(text), '{W}[\\p{{L}}\\p{{N}}_''®]*{W}')"
+
+
+@query(f"""with t as (select doc_id, {_WORDS} as t from documents), g as (select doc_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) as term from t)
+select term, count(*) as n, count(distinct doc_id) as documents from g group by 1""")
+def word_grams(spark, sf):
+    each = table(spark, sf, "documents").select("doc_id", F.explode(text.word_grams(F.col("text"))).alias("term"))
+    return each.groupBy("term", "doc_id").agg(F.count("*").alias("k")).groupBy("term").agg(F.sum("k").alias("n"), F.count("*").alias("documents"))
+
+
+@query("""with w as (select conv_id, turn, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '[\\s\\p{Z}]+'), lambda x: x <> '')) || ' ' as w from conversations),
+g as (select substr(w, i, n) as term from w, unnest([2, 3, 4, 5]) s(n), unnest(range(1, greatest(length(w) - n + 2, 1))) q(i))
+select term, count(*) as n from g group by 1""")
+def char_grams(spark, sf):
+    each = table(spark, sf, "conversations").select(F.explode(text.char_grams(F.col("text"))).alias("term"))
+    return each.groupBy("term").agg(F.count("*").alias("n"))

@@ -122,3 +122,47 @@ def placements(spark, sf):
     rows = table(spark, sf, "events").select("event_id", "user_id", "value", F.lit(100).alias("w"), F.col("value").alias("h"), (F.col("event_id") % 1000).alias("y"))
     known = table(spark, sf, "documents").select(F.col("doc_id").alias("user_id"))
     return spatial.placed(rows, 20, 900).join(known, "user_id").select("event_id", "user_id", "value")
+
+
+_BLOCKS = "(select l_orderkey as block, l_linenumber as line, (l_partkey % 10) / 10.0::double as layout, (l_suppkey % 5)::int as ads, (l_partkey % 4)::int as news, case when l_linenumber % 3 = 0 then '' else l_shipmode end as headline, case when l_linenumber % 3 = 0 then 'a b' else 'long text' end as full_text, (l_quantity / 100)::double as page_share from (select *, l_returnflag || l_linestatus as l_shipmode from lineitem))"
+
+
+@query(f"""with r as (select *, case when length(replace(full_text, ' ', '')) < 4 and page_share < 0.08 then 0 else layout + 0.08 * least(ads, 3) - 0.15 * least(news, 3) - case when news >= 2 and ads = 0 then 0.3 else 0 end - case when headline = '' and layout < 0.7 then 0.3 else 0 end end as raw from {_BLOCKS})
+select block, line, round(raw, 9) as score, round(raw, 6) > 0.5 as sure, round(least(0.99, greatest(0.5, raw)) + 1e-9, 3) as likelihood from r""")
+def scan_decision(spark, sf):
+    n = F.col("l_linenumber")
+    blocks = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("block"), n.alias("line"), (F.col("l_partkey") % 10 / 10).alias("layout"), (F.col("l_suppkey") % 5).cast("int").alias("ads"), (F.col("l_partkey") % 4).cast("int").alias("news"),
+        F.when(n % 3 == 0, "").otherwise(F.concat("l_returnflag", "l_linestatus")).alias("headline"), F.when(n % 3 == 0, "a b").otherwise("long text").alias("full_text"), (F.col("l_quantity") / 100).cast("double").alias("page_share"),
+    )
+    return spatial.decided(blocks).select("block", "line", F.round("score", 9).alias("score"), (F.round("score", 6) > 0.5).alias("sure"), F.col("likelihood"))
+
+
+_CELLS = "(select l_orderkey as page, cell, (cell % 20) * 24 + 12.0::double as cx, (cell // 20) * 24 + 12.0::double as cy from (select distinct l_orderkey from lineitem), range(400) c(cell))"
+
+
+@query(f"""with a as ({_BOXES.format(3, 'ans')}), o as ({_BOXES.format(7, 'ans')}),
+m as (select c.page, c.cell, coalesce(bool_or(a.ans is not null), false) as sure from {_CELLS} c left join a on a.page = c.page and cx between x1 and x2 and cy between y1 and y2 group by 1, 2),
+p as (select c.page, c.cell, coalesce(bool_or(o.ans is not null), false) as maybe from {_CELLS} c left join o on o.page = c.page and cx between x1 and x2 and cy between y1 and y2 group by 1, 2)
+select page, sum(sure::int)::bigint as positive, sum((maybe and not sure)::int)::bigint as ignored from m join p using (page, cell) group by 1""")
+def cell_labels(spark, sf):
+    boxes = _boxes(spark, sf, 3, "ans")
+    cell = F.col("cell")
+    cells = boxes.select("page").distinct().withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(399)))).select("page", "cell", (cell % 20 * 24 + 12.0).alias("cx"), (F.floor(cell / 20) * 24 + 12.0).alias("cy"))
+    found = spatial.cell_labels(cells, boxes, _boxes(spark, sf, 7, "ans"))
+    return found.groupBy("page").agg(F.sum("label").alias("positive"), F.count_if(F.col("weight") == 0).alias("ignored"))
+
+
+@query()
+def line_clusters(spark, sf):
+    """Read lines of each page in clusters; plain Python is the check."""
+    lines = _boxes(spark, sf, 1, "line").withColumns({"height": F.lit(800), "y2": F.col("y1") + 12})
+    return pages.line_clusters(lines).select("page", "line", "cluster")
+
+
+@query()
+def scanned_ads(spark, sf):
+    """Clusters of read lines that are advertisements, numbered in reading order."""
+    said = _read(spark, sf).select(F.col("block").alias("page"), "line", "text", "conf", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 100).alias("x2"), (F.col("y") + F.col("h")).alias("y2"), F.lit(800).alias("height"))
+    found = pages.cluster_summary(pages.line_clusters(said), ["page", "cluster"])
+    return pages.reindexed(found.where(pages.is_ad(F.col("full_text"))), "page", "cluster")
