@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,25 +81,32 @@ def line_clusters(lines: DataFrame) -> DataFrame:
     From the top, a line joins the earliest cluster with a line close above it
     (centres within 2.5 times 2 % of the height, 30 pixels at least) that it
     overlaps or nearly overlaps sideways.  Lines without width open clusters of
-    their own.  A page's lines are one group: as many as one page holds.
+    their own; rows without a page go.  A task holds the lines within reach alone.
     """
     wanted = T.StructType([*lines.schema.fields, T.StructField("cluster", T.IntegerType())])
-
-    def grouped(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.assign(_cy=(page["y1"] + page["y2"]) / 2).sort_values(["_cy", "line"], kind="stable")
-        cy, left, right = (page[c].to_numpy(float) for c in ("_cy", "x1", "x2"))
-        reach = 2.5 * max(0.02 * float(page["height"].max()), 30.0)
-        cluster, opened = np.zeros(len(page), np.int32), 0
-        for i in range(len(page)):
-            first = int(np.searchsorted(cy, cy[i] - reach, "left"))  # lines are sorted: none before is near
-            narrow = np.minimum(right[first:i] - left[first:i], right[i] - left[i])
-            shared = np.minimum(right[first:i], right[i]) - np.maximum(left[first:i], left[i])
-            near = cluster[first:i][(narrow > 0) & (shared > -0.3 * narrow)]
-            cluster[i] = near.min() if len(near) else opened
-            opened += not len(near)
-        return page.drop(columns="_cy").assign(cluster=cluster)
-
-    return lines.groupBy("page").applyInPandas(grouped, wanted)
+    columns = lines.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        page, above, opened = None, [], 0
+        for batch in batches:
+            found = []
+            for here, top, bottom, left, right, height in zip(*(batch[c].tolist() for c in ("page", "y1", "y2", "x1", "x2", "height")), strict=True):
+                if here != page:
+                    page, above, opened = here, [], 0
+                middle, reach = (top + bottom) / 2, 2.5 * max(0.02 * height, 30)
+                above = [line for line in above if line[0] >= middle - reach]  # rows come from the top
+                joined = opened
+                for _, a, b, cluster in above:
+                    narrow = min(b - a, right - left)
+                    if narrow > 0 and min(b, right) - max(a, left) > -0.3 * narrow:
+                        joined = min(joined, cluster)
+                opened += joined == opened
+                above.append((middle, left, right, joined))
+                found.append(joined)
+            yield batch[columns].assign(cluster=found)
+
+    dealt = lines.where("page is not null").repartition("page").sortWithinPartitions("page", (F.col("y1") + F.col("y2")) / 2, "line")
+    return dealt.mapInPandas(run, wanted)
 
 
 def reindexed(ads: DataFrame, page: str, *ties: str) -> DataFrame:

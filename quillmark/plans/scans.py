@@ -128,7 +128,7 @@ _BLOCKS = "(select l_orderkey as block, l_linenumber as line, (l_partkey % 10) /
 
 
 @query(f"""with r as (select *, case when length(replace(full_text, ' ', '')) < 4 and page_share < 0.08 then 0 else layout + 0.08 * least(ads, 3) - 0.15 * least(news, 3) - case when news >= 2 and ads = 0 then 0.3 else 0 end - case when headline = '' and layout < 0.7 then 0.3 else 0 end end as raw from {_BLOCKS})
-select block, line, round(raw, 9) as score, round(raw, 6) > 0.5 as sure, round(least(0.99, greatest(0.5, raw)) + 1e-9, 3) as likelihood from r""")
+select block, line, round(raw, 9) as score, round(raw, 6) > 0.5 as sure, round(least(0.99, greatest(0.5, raw)), 3) as likelihood from r""")
 def scan_decision(spark, sf):
     n = F.col("l_linenumber")
     blocks = table(spark, sf, "lineitem").select(
