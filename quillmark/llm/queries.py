@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import align, imatch, lines, neardup, oracles, packing, pieces, pivots, rollups, sharding, toxicity, warc
+from quillmark.llm import align, imatch, lines, neardup, oracles, packing, pieces, pivots, rollups, runs, sharding, toxicity, warc
 from quillmark.llm.store import fresh_path, materialize, table
 
 
@@ -74,6 +74,11 @@ def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.totals(spark, store, ["load", "copies", "tokenizer"])
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return runs.digests(runs.find(docs.select("doc_id", runs.with_cycles(F.col("text"), F.col("doc_id")).alias("text"))))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.digests(table(spark, sf_dir, "documents"))
 
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tier_packing": op8_tier_packing,
     "op9_line_chunks": op9_line_chunks,
     "op10_token_rollups": op10_token_rollups,
+    "op11_word_runs": op11_word_runs,
     "op13_token_alignment": op13_token_alignment,
 }
 
