@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import align, imatch, lines, neardup, oracles, packing, pieces, pivots, rollups, runs, sharding, toxicity, warc
+from quillmark.llm import align, imatch, langid, lines, neardup, oracles, packing, pieces, pivots, rollups, runs, sharding, toxicity, warc
 from quillmark.llm.store import fresh_path, materialize, table
 
 
@@ -79,6 +79,13 @@ def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.find(docs.select("doc_id", runs.with_cycles(F.col("text"), F.col("doc_id")).alias("text"))))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.held_out(F.col("doc_id"))
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs, model).withColumn("held_out", held_out)
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.digests(table(spark, sf_dir, "documents"))
 
@@ -96,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_chunks": op9_line_chunks,
     "op10_token_rollups": op10_token_rollups,
     "op11_word_runs": op11_word_runs,
+    "op12_language_id": op12_language_id,
     "op13_token_alignment": op13_token_alignment,
 }
 
