@@ -21,5 +21,5 @@ def iou(a: list[Column], b: list[Column]) -> Column:
 
 
 def rescale(v: Column, side: Column, limit: int = 1000) -> Column:
-    """A coordinate of 0..limit in pixels of a side."""
-    return F.floor(F.least(F.greatest(v, F.lit(0)), F.lit(limit)) * side / limit).cast("int")
+    """A coordinate of 0..limit in pixels of a side, halves to the even pixel."""
+    return F.bround(F.least(F.greatest(v, F.lit(0)), F.lit(limit)) * side / limit).cast("int")

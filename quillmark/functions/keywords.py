@@ -58,9 +58,12 @@ def keyword_hits(c: Column, lexicon: dict[str, list[str]]) -> Column:
 def rule_scores(hits: Column, categories: int) -> Column:
     """For each category its share of the weights of all hits; zeros if there are none."""
     weight = lambda kept: F.aggregate(kept, F.lit(0.0), lambda s, e: s + e["weight"])
-    total = weight(hits)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(categories - 1)), lambda i: weight(F.filter(hits, lambda e: e["category"] == i)))
-    return F.transform(F.array(F.struct(raw.alias("raw"), total.alias("total"))), lambda b: F.transform(b["raw"], lambda r: F.when(b["total"] == 0, 0.0).otherwise(r / b["total"])))[0]
+
+    def shares(found: Column) -> Column:
+        raw = F.transform(F.sequence(F.lit(0), F.lit(categories - 1)), lambda i: weight(F.filter(found, lambda e: e["category"] == i)))
+        return F.transform(F.array(weight(found)), lambda total: F.transform(raw, lambda r: F.when(total == 0, 0.0).otherwise(r / total)))[0]
+
+    return F.transform(F.array(hits), shares)[0]  # the search behind ``hits`` runs once
 
 
 def _of(category: int):

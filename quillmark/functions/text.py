@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,9 +84,28 @@ def char_grams(c: Column, low: int = 2, high: int = 5) -> Column:
     return F.flatten(F.transform(padded, lambda w: F.flatten(F.transform(F.sequence(F.lit(low), F.least(F.lit(high), F.length(w))), lambda n: of_size(w, n)))))
 
 
-def cue_count(c: Column, patterns: list[str]) -> Column:
-    """How many of the patterns occur."""
-    return sum((c.rlike(p).cast("int") for p in patterns), F.lit(0))
+#: What ``\\d``, ``\\s`` and ``\\w`` stand for in any script, as parts of a class.
+_CLASSES = {"d": r"\p{Nd}", "s": r"\s\x1c-\x1f\x85\p{Z}", "w": WORD_CHAR[1:-1]}
+
+
+def unicode_pattern(pattern: str) -> str:
+    """A pattern whose digits, blanks, words and word edges are those of all scripts; combining marks are no word characters."""
+
+    def read(m: re.Match) -> str:
+        code = m[1] or m[2]
+        if code == "b":
+            return f"(?:(?<={WORD_CHAR})(?!{WORD_CHAR})|(?<!{WORD_CHAR})(?={WORD_CHAR}))"
+        return _CLASSES[code] if m[1] else f"[{_CLASSES[code]}]"
+
+    def bare(m: re.Match) -> str:  # a class as a whole, or one character outside
+        return re.sub(r"\\([dsw])", read, m[0]) if m[0].startswith("[") else re.sub(r"()\\([bdsw])", read, m[0])
+
+    return re.sub(r"\[(?:\\.|[^\]\\])*\]|\\.|[^\[\\]", bare, pattern)
+
+
+def cue_count(c: Column, patterns: list[str], by_line: bool = False) -> Column:
+    """How many of the patterns occur; ``^`` and ``$`` stand for the ends of lines if ``by_line``."""
+    return sum((c.rlike(("(?md)" if by_line else "") + unicode_pattern(p)).cast("int") for p in patterns), F.lit(0))
 
 
 def keyword_pattern(keyword: str) -> str:

@@ -86,8 +86,9 @@ def softmax_scores(model: LogisticRegressionModel, df: DataFrame, vector: str) -
 
 
 def calibration_features(top: Column, second: Column, eps: float = 1e-4) -> list[Column]:
-    logit = lambda p: F.log(F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps)) / (1 - F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))))
-    return [logit(top), logit(top) - logit(second), top - second]
+    """The log odds of the best score, its lead over the second in log odds, and in score."""
+    odds = lambda p: F.log((p + eps) / (1 - p + eps))
+    return [odds(top), odds(top) - odds(second), top - second]
 
 
 def calibrated(features: list[Column], mean: list[float], deviation: list[float], weights: list[float], intercept: float) -> Column:

@@ -39,6 +39,12 @@ def is_ad(c: Column) -> Column:
     return F.transform(F.array(counted), lambda n: ~(((n["news"] > n["ads"]) & (n["ads"] <= 1)) | ((n["news"] >= 3) & (n["ads"] <= 2))))[0]
 
 
+def evidence(c: Column) -> Column:
+    """(ads, news): how many signs of advertisements and of news a read block's text has."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.struct(text.cue_count(low, AD_CUES, by_line=True).alias("ads"), text.cue_count(low, NEWS_CUES, by_line=True).alias("news"))
+
+
 def composed(lines: DataFrame, key: str) -> DataFrame:
     """For each block (key) of read lines (line, text, conf, x, y, h) its headline, description and full text; blocks without readable lines have empty ones.
 
@@ -59,12 +65,12 @@ def composed(lines: DataFrame, key: str) -> DataFrame:
     return every.select(key, *[F.coalesce(c, F.lit("")).alias(c) for c in ("headline", "description", "full_text")])
 
 
-def quality(lines: DataFrame, key: str) -> DataFrame:
+def quality(lines: DataFrame, key: str, digits: int = 3) -> DataFrame:
     """How surely each block was read, by length of text: confidence, and the share of readable lines."""
     size = F.length("text")
     kept = F.when(text.readable(F.col("text"), F.col("conf")), size).otherwise(0)
     whole = F.greatest(F.sum(size), F.lit(1))
-    return lines.groupBy(key).agg(F.round(0.65 * F.sum(F.col("conf") * size) / whole + 0.35 * F.sum(kept) / whole, 3).alias("quality"))
+    return lines.groupBy(key).agg(F.round(0.65 * F.sum(F.col("conf") * size) / whole + 0.35 * F.sum(kept) / whole, digits).alias("quality"))
 
 
 def cluster_summary(lines: DataFrame, keys: list[str], digits: int = 3) -> DataFrame:

@@ -9,7 +9,6 @@ from quillmark.functions import keywords, text
 from quillmark.operators import model
 
 REVIEW_BELOW = 0.35
-ANSWER = "category string, confidence double, method string, needs_review boolean, alternatives array<struct<category:string,score:double>>, matched_keywords array<string>, certainty double"
 
 
 def memory_shares(rows: DataFrame, key: str, label: str, categories: list[str]) -> DataFrame:
@@ -42,10 +41,10 @@ def answer(body: Column, lexical: Column, semantic: Column, hits: Column, rememb
         top = best[0]["score"]
         second = F.coalesce(F.get(best, 1)["score"], F.lit(0.0))
         return F.struct(
-            F.get(names, best[0]["index"]).alias("category"), F.round(top, digits).alias("confidence"), method.alias("method"), (top < REVIEW_BELOW).alias("needs_review"),
-            F.transform(best, lambda b: F.struct(F.get(names, b["index"]).alias("category"), F.round(b["score"], digits).alias("score"))).alias("alternatives"),
+            F.get(names, best[0]["index"]).alias("category"), F.bround(top, digits).alias("confidence"), method.alias("method"), (top < REVIEW_BELOW).alias("needs_review"),
+            F.transform(best, lambda b: F.struct(F.get(names, b["index"]).alias("category"), F.bround(b["score"], digits).alias("score"))).alias("alternatives"),
             F.transform(F.filter(hits, lambda e: e["category"] == best[0]["index"]), lambda e: e["keyword"]).alias("matched_keywords"),
-            F.round(certainty(top, second) if certainty else top, digits).alias("certainty"),
+            F.bround(certainty(top, second) if certainty else top, digits).alias("certainty"),
         ).cast(f"struct<{_fields()}>")
 
     full = F.transform(F.array(model.ranked(scores, 3)), told)[0]
@@ -85,8 +84,12 @@ def accuracy_and_f1(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return share.crossJoin(F.broadcast(macro)).select(F.round("accuracy", 3).alias("accuracy"), F.round("macro_f1", 3).alias("macro_f1"))  # one row each
 
 
-def fit_calibration(rows: DataFrame, top: str, second: str, right: str, least: int = 50):
-    """A function of the best two scores to the probability of being right, by logistic regression; null if rows are few or all alike."""
+def fit_calibration(rows: DataFrame, top: str, second: str, right: str, least: int = 50, balanced: bool = True):
+    """A function of the best two scores to the probability of being right, by logistic regression; null if rows are few or all alike.
+
+    Right and wrong answers weigh the same in all.  That moves the certainty by
+    the log odds of being right; without ``balanced`` it is the share of right answers.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
@@ -94,18 +97,15 @@ def fit_calibration(rows: DataFrame, top: str, second: str, right: str, least: i
     if seen["n"] < least or seen["kinds"] < 2:
         return None
     features = [f"f{i}" for i in range(3)]
-    raw = rows.select(F.col(right).cast("double").alias("label"), *[f.alias(n) for f, n in zip(logits(F.col(top), F.col(second)), features, strict=True)])
+    raw = rows.select(F.col(right).cast("double").alias("label"), *[f.alias(n) for f, n in zip(model.calibration_features(F.col(top), F.col(second)), features, strict=True)])
+    rights = raw.agg(F.sum("label")).first()[0]
+    weight = F.when(F.col("label") == 1, seen["n"] / (2 * rights)).otherwise(seen["n"] / (2 * (seen["n"] - rights))) if balanced else F.lit(1.0)
     moments = raw.agg(*[F.avg(f).alias(f) for f in features], *[(F.stddev_pop(f) + 1e-6).alias(f"d{f}") for f in features]).first()
     mean, deviation = [moments[f] for f in features], [moments[f"d{f}"] for f in features]
-    scaled = raw.select("label", array_to_vector(F.array(*[(F.col(f) - m) / d for f, m, d in zip(features, mean, deviation, strict=True)])).alias("features"))
-    fit = LogisticRegression(regParam=1 / (2 * seen["n"]), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9).fit(scaled)
+    scaled = raw.select("label", weight.alias("weight"), array_to_vector(F.array(*[(F.col(f) - m) / d for f, m, d in zip(features, mean, deviation, strict=True)])).alias("features"))
+    fit = LogisticRegression(weightCol="weight", regParam=1 / (2 * seen["n"]), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9).fit(scaled)
     weights, intercept = [float(w) for w in fit.coefficients], float(fit.intercept)
-    return lambda a, b: model.calibrated(logits(a, b), mean, deviation, weights, intercept)
-
-
-def logits(top: Column, second: Column, eps: float = 1e-4) -> list[Column]:
-    odds = lambda p: F.log((p + eps) / (1 - p + eps))
-    return [odds(top), odds(top) - odds(second), top - second]
+    return lambda a, b: model.calibrated(model.calibration_features(a, b), mean, deviation, weights, intercept)
 
 
 def save(memory: DataFrame, path: str) -> None:

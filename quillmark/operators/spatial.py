@@ -131,11 +131,6 @@ def runs(df: DataFrame, key: str, order: str, flag: Column, least: int) -> DataF
     return spans.where("on = 1").groupBy(key, "island").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("length")).where(F.col("length") >= least).drop("island")
 
 
-def reading_quality(confidence: Column, length: Column, clean: Column) -> list[Column]:
-    """Aggregates: 0.65 of the length-weighted confidence and 0.35 of the share of clean lines; nudged off halves before rounding."""
-    return [F.round(0.65 * F.sum(confidence * length) / F.sum(length) + 0.35 * F.avg(clean.cast("double")) + 1e-8, 6).alias("quality")]
-
-
 def ad_score(layout: Column, ad_cues: Column, news_cues: Column) -> Column:
     return F.least(F.greatest(layout + 0.08 * F.least(ad_cues, F.lit(3)) - 0.15 * F.least(news_cues, F.lit(3)), F.lit(0.0)), F.lit(0.99))
 

@@ -335,7 +335,7 @@ def softmax_train(spark, sf):
     return scored.select("vec_id", "label", model.ranked(F.col("scores"), 1)[0]["index"].alias("predicted"), F.round(F.array_max("scores"), 4).alias("confidence"))
 
 
-_LOGIT = "ln(least(greatest({0}, 1e-4), 1 - 1e-4) / (1 - least(greatest({0}, 1e-4), 1 - 1e-4)))"
+_LOGIT = "ln(({0} + 1e-4) / (1 - {0} + 1e-4))"
 
 
 @query(f"select event_id, round(1 / (1 + exp(-(0.5 + ({_LOGIT.format('p')} - 0.1) / 1.5 * 0.8 + ({_LOGIT.format('p')} - {_LOGIT.format('q')} - 0.2) / 2.0 * 0.4 + (p - q - 0.3) / 0.5 * 0.2))), 6) as probability from (select event_id, abs(value) % 1 as p, (abs(value) % 1) / 2 as q from events)")
@@ -385,19 +385,6 @@ def separator_runs(spark, sf):
     return spatial.runs(table(spark, sf, "events"), "user_id", "event_id", F.col("value") > 0, 2)
 
 
-@query("select l_orderkey, round(0.65 * sum(l_discount * 5 * l_quantity) / sum(l_quantity) + 0.35 * avg((l_tax < 0.05)::int) + 1e-8, 6) as quality from lineitem group by 1")
-def reading_quality(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(*spatial.reading_quality(F.col("l_discount") * 5, F.col("l_quantity"), F.col("l_tax") < 0.05))
-
-
-@query("""with c as (select doc_id, n_chars % 100 / 100.0::double as layout, regexp_matches(text, 'the')::int + regexp_matches(text, '[0-9]')::int + regexp_matches(text, '!')::int as ads, regexp_matches(text, ' was ')::int + regexp_matches(text, 'said')::int as news from documents)
-select doc_id, ads, news, round(least(greatest(layout + 0.08 * least(ads, 3) - 0.15 * least(news, 3), 0), 0.99), 6) as score from c""")
-def text_evidence(spark, sf):
-    ads, news = text.cue_count(F.col("text"), ["the", "[0-9]", "!"]), text.cue_count(F.col("text"), [" was ", "said"])
-    rows = table(spark, sf, "documents").select("doc_id", (F.col("n_chars") % 100 / 100).alias("layout"), ads.alias("ads"), news.alias("news"))
-    return rows.select("doc_id", "ads", "news", F.round(spatial.ad_score(F.col("layout"), F.col("ads"), F.col("news")), 6).alias("score"))
-
-
 @query("select user_id, count(*) as n, string_agg(event_id::varchar, ' ' order by event_id) as spots from events group by 1")
 def spots_per_ad(spark, sf):
     grouped = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("event_id")).alias("s"))
@@ -409,6 +396,6 @@ def fusion(spark, sf):
     return table(spark, sf, "events").select("event_id", F.round(model.agreed(F.abs("value") % 1, F.abs("value") * 3 % 1, F.col("event_type") == "view"), 6).alias("certainty"))
 
 
-@query("select page, (floor(least(greatest(x1, 0), 1000) * 600 / 1000))::int as left_px from (" + _BOXES.format(1, "det") + ")")
+@query("select page, round_even(least(greatest(x1, 0), 1000) * 600 / 1000.0::double, 0)::int as left_px from (" + _BOXES.format(1, "det") + ")")
 def box_rescale(spark, sf):
     return _boxes(spark, sf, 1, "det").select("page", boxes.rescale(F.col("x1"), F.lit(600)).alias("left_px"))

@@ -40,7 +40,7 @@ def advertiser_memory(spark, sf):
     return _memory(spark, sf).select("memory_key", F.round(F.col("remembered")[0], 6).alias("low"), F.round(F.col("remembered")[1], 6).alias("middle"))
 
 
-@query(f"select key as memory_key, case when key in ('src1', 'src3') then 0 else round(a / w, 6) end as low, case when key = 'src1' then 1.0 when key = 'src3' then 0 else round(b / w, 6) end as middle from ({_MEMORY}) where key in ('src1', 'src3') or true")
+@query(f"select key as memory_key, case when key in ('src1', 'src3') then 0 else round(a / w, 6) end as low, case when key = 'src1' then 1.0 when key = 'src3' then 0 else round(b / w, 6) end as middle from ({_MEMORY})")
 def remember_correction(spark, sf):
     fixes = spark.createDataFrame([("src1", "low", 1), ("src1", "middle", 2), ("src3", "high", 1)], "memory_key string, category string, ts long")
     known = _memory(spark, sf)

@@ -54,6 +54,11 @@ def headline_compose(spark, sf):
     return pages.composed(_read(spark, sf), "block")
 
 
+@query(f"""select block, round(0.65 * sum(conf * length(text)) / sum(length(text)) + 0.35 * sum(case when {_GOOD} then length(text) else 0 end) / sum(length(text)), 9) as quality from {_READ} group by 1""")
+def reading_quality(spark, sf):
+    return pages.quality(_read(spark, sf), "block", digits=9)
+
+
 @query(f"""select block, line % 2 as cluster, count(*) as n, round(avg(conf), 9) as confidence, min(x)::double as x1, min(y)::double as y1, max(x + h) - min(x) as w, max(y + h) - min(y) as h, arg_min({_CLEAN.format('text')}, (y + h / 2, line, text)) as headline from (select * from {_READ}) where conf > 0.15 group by 1, 2""")
 def cluster_summary(spark, sf):
     lines = _read(spark, sf).select("block", (F.col("line") % 2).alias("cluster"), "line", "text", "conf", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("h")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"))
@@ -61,18 +66,98 @@ def cluster_summary(spark, sf):
     return found.select("block", "cluster", F.size(F.split("full_text", "\n")).cast("long").alias("n"), "confidence", "x1", "y1", "w", "h", "headline")
 
 
-def _is_ad_sql() -> str:
-    cased = lambda ps: " + ".join(f"regexp_matches(t, '{p}')::int" for p in ps)
-    ads = ["\\b\\d{10}\\b", "\\b\\d{5}\\s\\d{5}\\b", "\\bph[:\\.]?\\s*\\d+", "\\bmob[:\\.]?\\s*\\d+", "contact\\s*(us|at)?[:\\.]?", "\\bwanted\\b", "\\brequired\\b", "\\bfor sale\\b", "\\bto let\\b", "\\brent\\b", "\\bbhk\\b", "\\boffers?\\b", "\\bdiscount\\b", "\\b₹\\d+", "rs\\.?\\s*\\d+", "\\bwalk-in\\b", "\\bvacancy\\b", "\\bsituation vacant\\b", "\\bmatrimonial\\b", "\\bbride\\b", "\\bgroom\\b", "\\bname change\\b", "\\bpublic notice\\b", "\\btender\\b", "\\badmission\\b", "\\bapply now\\b", "\\blakhs?\\b", "\\bcrores?\\b", "www\\.", "\\.com\\b", "@"]
-    news = ["\\b[a-z\\s]+(correspondent|reporter)\\b", "\\b(said|told|added|announced|according to)\\b", "\\b(police|government|minister|chief minister|pm|president)\\b", "\\bnew delhi[:\\s]", "\\bmumbai[:\\s]", "\\bpune[:\\s]", "\\bnagpur[:\\s]", "\\bpti\\b", "\\bpress trust\\b", "\\bnews network\\b", "\\beditorial\\b"]
-    return f"select conv_id, turn, not ((n > a and a <= 1) or (n >= 3 and a <= 2)) as is_ad from (select conv_id, turn, {cased(ads)} as a, {cased(news)} as n from (select *, lower(text) as t from conversations))"
-
-
-@query(_is_ad_sql())
+#: Edges of words (``<`` before, ``>`` behind) and white space in any script, as RE2 reads them.
+_RE2 = {"<": r"(?:^|[^\p{L}\p{N}_])", ">": r"(?:$|[^\p{L}\p{N}_])", "~": r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]", "#": r"\p{Nd}"}
+
+
+def _counted(patterns: str) -> str:
+    """SQL that counts which of the patterns, one a line, occur in ``t``."""
+    found = ["".join(_RE2.get(ch, ch) for ch in p) for p in patterns.strip().split("\n")]
+    return " + ".join(f"regexp_matches(t, '(?m){p}')::int" for p in found)
+
+
+_CLASSIFIED = _counted(r"""
+<#{10}>
+<#{5}~#{5}>
+<ph[:.]?~*#+
+<mob[:.]?~*#+
+contact
+<wanted>
+<required>
+<for sale>
+<to let>
+<rent>
+<bhk>
+<offers?>
+<discount>
+[\p{L}\p{N}_]₹#+
+rs\.?~*#+
+<walk-in>
+<vacancy>
+<situation vacant>
+<matrimonial>
+<bride>
+<groom>
+<name change>
+<public notice>
+<tender>
+<admission>
+<apply now>
+<lakhs?>
+<crores?>
+www\.
+\.com>
+@
+""")
+_REPORTING = _counted(r"""
+(?:<[a-z]|[\p{L}\p{N}_]~)(?:[a-z]|~)*(?:correspondent|reporter)>
+<(?:said|told|added|announced|according to)>
+<(?:police|government|minister|chief minister|pm|president)>
+<new delhi(?::|~)
+<mumbai(?::|~)
+<pune(?::|~)
+<nagpur(?::|~)
+<pti>
+<press trust>
+<news network>
+<editorial>
+""")
+_AD_SIGNS = _counted(r"""
+<#{10}>
+<#{5}~?#{5}>
+<1800(?:~|-)?#{3}
+www\.|https?://|\.(?:com|in|org)>
+@[\p{L}\p{N}_]
+₹~?#
+<rs\.?~?#
+<#+~?%~?(?:off|सूट|सवलत)
+<(?:offer|sale|discount|book now|call|contact|visit|apply|admissions?|enrol|register|toll[- ]free|helpline|limited period|emi|interest|scheme|launch)>
+संपर्क|सवलत|ऑफर|बुकिंग|नोंदणी|प्रवेश|योजना|व्याज|ठेव|आजच|फोन|कॉल|खरेदी|विक्री|उपलब्ध|मोफत|सेल
+public notice|tender|e-auction|auction|notice is hereby|सूचना|निविदा|लिलाव|जाहीर
+""")
+_NEWS_SIGNS = _counted(r"""
+लोकमत न्यूज नेटवर्क
+(?:प्रतिनिधी|वृत्तसंस्था|वार्ताहर)~*[:/]
+<(?:pti|ani|ians)>
+^(?:new delhi|mumbai|pune|nagpur|kolkata|chennai|bengaluru|hyderabad|thiruvananthapuram|washington)~*[:,]
+<(?:said|told reporters|according to|officials said|the minister)>
+(?:नवी दिल्ली|मुंबई|पुणे|नागपूर)~*:
+म्हणाले|सांगितले|असे ते म्हणाले|यांनी सांगितले
+""")
+
+
+@query(f"select conv_id, turn, not ((n > a and a <= 1) or (n >= 3 and a <= 2)) as is_ad from (select conv_id, turn, {_CLASSIFIED} as a, {_REPORTING} as n from (select *, lower(text) as t from conversations))")
 def classified_or_news(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", pages.is_ad(F.col("text")).alias("is_ad"))
 
 
+@query(f"""with c as (select doc_id, n_chars % 100 / 100.0::double as layout, {_AD_SIGNS} as ads, {_NEWS_SIGNS} as news from (select *, lower(text) as t from documents))
+select doc_id, ads, news, round(least(greatest(layout + 0.08::double * least(ads, 3) - 0.15::double * least(news, 3), 0), 0.99::double), 6) as score from c""")
+def text_evidence(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", (F.col("n_chars") % 100 / 100).alias("layout"), pages.evidence(F.col("text")).alias("e")).select("doc_id", "layout", "e.*")
+    return rows.select("doc_id", "ads", "news", F.round(spatial.ad_score(F.col("layout"), F.col("ads"), F.col("news")), 6).alias("score"))
+
+
 @query(f"""select page, (row_number() over (partition by page order by floor(y1 / 40), x1, y1, det) - 1)::int as ad_index, det from ({_BOXES.format(1, 'det')})""")
 def ads_reindexed(spark, sf):
     found = _boxes(spark, sf, 1, "det")
@@ -127,15 +212,15 @@ def placements(spark, sf):
 _BLOCKS = "(select l_orderkey as block, l_linenumber as line, (l_partkey % 10) / 10.0::double as layout, (l_suppkey % 5)::int as ads, (l_partkey % 4)::int as news, case when l_linenumber % 3 = 0 then '' else l_shipmode end as headline, case when l_linenumber % 3 = 0 then 'a b' else 'long text' end as full_text, (l_quantity / 100)::double as page_share from (select *, l_returnflag || l_linestatus as l_shipmode from lineitem))"
 
 
-@query(f"""with r as (select *, case when length(replace(full_text, ' ', '')) < 4 and page_share < 0.08 then 0 else layout + 0.08 * least(ads, 3) - 0.15 * least(news, 3) - case when news >= 2 and ads = 0 then 0.3 else 0 end - case when headline = '' and layout < 0.7 then 0.3 else 0 end end as raw from {_BLOCKS})
-select block, line, round(raw, 9) as score, round(raw, 6) > 0.5 as sure, round(least(0.99, greatest(0.5, raw)), 3) as likelihood from r""")
+@query(f"""with r as (select *, case when length(replace(full_text, ' ', '')) < 4 and page_share < 0.08 then 0 else layout + 0.08::double * least(ads, 3) - 0.15::double * least(news, 3) - case when news >= 2 and ads = 0 then 0.3::double else 0 end - case when headline = '' and layout < 0.7 then 0.3::double else 0 end end as raw from {_BLOCKS})
+select block, line, round(raw, 9) as score, raw >= 0.5 as is_ad, round(least(0.99, greatest(0.5, raw)), 3) as likelihood from r""")
 def scan_decision(spark, sf):
     n = F.col("l_linenumber")
     blocks = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("block"), n.alias("line"), (F.col("l_partkey") % 10 / 10).alias("layout"), (F.col("l_suppkey") % 5).cast("int").alias("ads"), (F.col("l_partkey") % 4).cast("int").alias("news"),
         F.when(n % 3 == 0, "").otherwise(F.concat("l_returnflag", "l_linestatus")).alias("headline"), F.when(n % 3 == 0, "a b").otherwise("long text").alias("full_text"), (F.col("l_quantity") / 100).cast("double").alias("page_share"),
     )
-    return spatial.decided(blocks).select("block", "line", F.round("score", 9).alias("score"), (F.round("score", 6) > 0.5).alias("sure"), F.col("likelihood"))
+    return spatial.decided(blocks).select("block", "line", F.round("score", 9).alias("score"), "is_ad", "likelihood")
 
 
 _CELLS = "(select l_orderkey as page, cell, (cell % 20) * 24 + 12.0::double as cx, (cell // 20) * 24 + 12.0::double as cy from (select distinct l_orderkey from lineitem), range(400) c(cell))"

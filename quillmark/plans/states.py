@@ -10,7 +10,7 @@ from quillmark.plans.catalogue import query
 from quillmark.sources import creatives
 from quillmark.sources.readers import table
 
-_LIB = """(select doc_id as id, substr(text, 1, 40) as title, '' as description, source as advertiser, lang || '.example' as domain, 'http://' || lang || '.example/?utm_a=1&p=' || doc_id as landing_url,
+_LIB = """(select doc_id as id, substr(text, 1, 40) as title, '' as description, case when doc_id % 11 = 0 then '' else source end as advertiser, lang || '.example' as domain, 'http://' || lang || '.example/?utm_a=1&p=' || doc_id as landing_url,
 case when quality = 0 then 'low' else 'fine' end as category, (n_chars % 100) / 100.0::double as confidence, 'lexical' as method, coalesce(toxic, 0) as needs_review, (doc_id % 7 = 0)::int as manual_label,
 '2024-01-' || lpad((doc_id % 28 + 1)::varchar, 2, '0') || 'T10:00:00' as first_seen, '2024-02-' || lpad((doc_id % 20 + 1)::varchar, 2, '0') || 'T10:00:00' as last_seen, (doc_id % 5 + 1)::bigint as times_seen
 from documents left join labels using (doc_id))"""
@@ -20,7 +20,7 @@ def _library(spark, sf):
     day = lambda month, days: F.concat(F.lit(f"2024-{month}-"), F.lpad((F.col("doc_id") % days + 1).cast("string"), 2, "0"), F.lit("T10:00:00"))
     rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
     return rows.select(
-        F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("title"), F.lit("").alias("description"), F.col("source").alias("advertiser"), F.concat("lang", F.lit(".example")).alias("domain"),
+        F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("title"), F.lit("").alias("description"), F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.col("source")).alias("advertiser"), F.concat("lang", F.lit(".example")).alias("domain"),
         F.concat(F.lit("http://"), "lang", F.lit(".example/?utm_a=1&p="), "doc_id").alias("landing_url"), F.when(F.col("quality") == 0, "low").otherwise("fine").alias("category"), (F.col("n_chars") % 100 / 100).alias("confidence"),
         F.lit("lexical").alias("method"), F.coalesce("toxic", F.lit(0)).alias("needs_review"), (F.col("doc_id") % 7 == 0).cast("int").alias("manual_label"), day("01", 28).alias("first_seen"), day("02", 20).alias("last_seen"), (F.col("doc_id") % 5 + 1).alias("times_seen"),
     )
@@ -81,8 +81,8 @@ def collection_due(spark, sf):
     return found.withColumn("hours", F.round("hours", 6))
 
 
-@query(f"""select category as "Category", title as "Headline", description as "Description", case when advertiser = '' then host else advertiser end as "Advertiser", host as "Website",
-'http://' || domain || '/?p=' || id as "Link", substr(first_seen, 1, 10) as "First seen", substr(last_seen, 1, 10) as "Last seen" from (select *, case when domain = 'en.example' then '' else domain end as host from {_LIB})""")
+@query(f"""select category as "Category", title as "Headline", description as "Description", case when advertiser = '' then domain else advertiser end as "Advertiser", case when network then '' else domain end as "Website",
+case when network then '' else 'http://' || domain || '/?p=' || id end as "Link", substr(first_seen, 1, 10) as "First seen", substr(last_seen, 1, 10) as "Last seen" from (select *, domain = 'en.example' as network from {_LIB})""")
 def report_rows(spark, sf):
     return creatives.report_rows(creatives.public_ads(_library(spark, sf), ["en.example"]))
 

@@ -63,10 +63,15 @@ def parsed_frames(frames: DataFrame, network: str, now: Column, not_in_domain: s
 
 
 def public_ads(library: DataFrame, networks: list[str]) -> DataFrame:
-    """What customers see: no domain of search networks, no tracking, the advertiser's own name or else the domain."""
-    hidden = F.when(F.col("domain").isin(*networks), "").otherwise(F.col("domain"))
-    name = text.clean_advertiser(F.col("advertiser"))
-    return library.select("id", "title", "description", _or(name, hidden).alias("advertiser"), hidden.alias("domain"), urls.landing_page(F.col("landing_url")).alias("landing_url"), "category", "first_seen", "last_seen")
+    """What customers see: the advertiser's name or else its domain, and links without tracking.
+
+    A search network's link leads to a page of results and not to the
+    advertiser, so its ads show neither domain nor link.
+    """
+    hidden = F.coalesce(F.col("domain").isin(*networks), F.lit(False))
+    shown = lambda c: F.when(hidden, "").otherwise(c)
+    name = _or(text.clean_advertiser(F.col("advertiser")), F.coalesce("domain", F.lit("")))
+    return library.select("id", "title", "description", name.alias("advertiser"), shown(F.col("domain")).alias("domain"), shown(urls.landing_page(F.col("landing_url"))).alias("landing_url"), "category", "first_seen", "last_seen")
 
 
 def report_rows(public: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 import datetime
 import itertools
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +55,25 @@ def test_calibration_separates(spark):
     assert predict.fit_calibration(df.limit(10), "a", "b", "r") is None and predict.fit_calibration(df.where("r = 1"), "a", "b", "r") is None
 
 
+def test_calibration_is_the_balanced_regression(spark):
+    """Against Newton's steps on the weighted likelihood with the penalty of a two-class softmax."""
+    rng = random.Random(2)
+    rows = [((t := 0.3 + 0.7 * rng.random()), t * rng.random(), int(rng.random() < 0.91)) for _ in range(600)]
+    x = np.array([[np.log((t + 1e-4) / (1 - t + 1e-4)), np.log((t + 1e-4) / (1 - t + 1e-4)) - np.log((s + 1e-4) / (1 - s + 1e-4)), t - s] for t, s, _ in rows])
+    y = np.array([r for _, _, r in rows])
+    x = np.column_stack([(x - x.mean(0)) / (x.std(0) + 1e-6), np.ones(len(x))])
+    w, penalty = np.where(y == 1, 300 / y.sum(), 300 / (600 - y.sum())), np.diag([0.5, 0.5, 0.5, 0])
+    theta = np.zeros(4)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ theta))
+        theta -= np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (w * (p - y)) + penalty @ theta)
+    df = spark.createDataFrame(rows, "a double, b double, r int")
+    got = [r[0] for r in df.select(predict.fit_calibration(df, "a", "b", "r")(F.col("a"), F.col("b"))).collect()]
+    assert np.allclose(got, 1 / (1 + np.exp(-x @ theta)), atol=1e-4) and 0.4 < np.mean(got) < 0.65
+    plain = [r[0] for r in df.select(predict.fit_calibration(df, "a", "b", "r", balanced=False)(F.col("a"), F.col("b"))).collect()]
+    assert abs(np.mean(plain) - y.mean()) < 0.01
+
+
 def test_library_keeps_all_columns(spark):
     schema = "id long, first_seen timestamp_ntz, last_seen timestamp_ntz, times_seen long, title string, category string, confidence double, method string, needs_review int, manual_label int"
     before = spark.createDataFrame([(1, DAY(1), DAY(2), 3, "old", "x", 1.0, "manual", 0, 1)], schema)
@@ -103,6 +124,20 @@ def test_report(spark, tmp_path):
     assert body[0] == "﻿Category,Headline,Description,Advertiser,Website,Link,First seen,Last seen" and body[1].startswith('c,"T, ""q""",') and ",Co," in body[1] and "2024-01-02" in body[1]
 
 
+def test_networks_show_neither_domain_nor_link(spark):
+    schema = "id string, title string, description string, advertiser string, domain string, landing_url string, category string, first_seen string, last_seen string"
+    rows = [("a", "t", "", "", "net.com", "https://net.com/?q=1", "c", "", ""), ("b", "t", "", None, "shop.in", "https://shop.in/?utm_a=1&p=2", "c", "", ""), ("c", "t", "", "Co", None, None, "c", "", "")]
+    got = {r.id: (r.advertiser, r.domain, r.landing_url) for r in creatives.public_ads(spark.createDataFrame(rows, schema), ["net.com"]).collect()}
+    assert got == {"a": ("net.com", "", ""), "b": ("shop.in", "shop.in", "https://shop.in/?p=2"), "c": ("Co", None, "")}
+
+
+@pytest.mark.parametrize("said", ["ph: १२ rs ५००", "९८७६५ ४३२१० said", "x said y", "संपर्क 98765 43210 www.a.in ₹ 500", "नवी दिल्ली : म्हणाले", "pune: x\nmumbai: y", "call\u00a0now 20 % off", "का said", "saidका", "a.in b", "@क", "1800\u2009123", ""])
+def test_cues_are_those_of_all_scripts(spark, said):
+    row = spark.createDataFrame([(said,)], "c string").select(pages.evidence(F.col("c")).alias("e"), text.cue_count(F.lower("c"), pages.CLASSIFIED).alias("a"), text.cue_count(F.lower("c"), pages.REPORTING).alias("n")).first()
+    count = lambda ps, flags=0: sum(bool(re.search(p, said.lower(), flags)) for p in ps)
+    assert (row.e.ads, row.e.news, row.a, row.n) == (count(pages.AD_CUES, re.M), count(pages.NEWS_CUES, re.M), count(pages.CLASSIFIED), count(pages.REPORTING))
+
+
 def test_composed_text(spark):
     lines = spark.createDataFrame([(1, 1, "small first", 0.9, 0.0, 0.0, 10.0), (1, 2, "BIG SALE", 0.9, 5.0, 20.0, 40.0), (1, 3, "--- ...", 0.2, 0.0, 70.0, 10.0), (1, 4, "98765 43210", 0.8, 0.0, 90.0, 10.0), (2, 1, ".", 0.9, 0.0, 0.0, 9.0)], "b long, line int, text string, conf double, x double, y double, h double")
     got = {r.b: r for r in pages.composed(lines, "b").collect()}
