@@ -6,10 +6,10 @@ so the union of both arrays of end offsets cuts a text into elementary
 intervals: each has one owner in A and one in B (found by ``searchsorted``) and
 is one link.  An end that both have closes a group.
 
-Neither tokenizer joins bytes across a single space between two visible
-characters, so texts are cut there and each part is aligned once: parts recur,
-and most come from a memory of bounded size.  All new parts of a batch are
-aligned at once, as if they were one text.
+Neither tokenizer joins bytes across a single space or line break between two
+visible characters and what is before it, so texts are cut there and each part
+is aligned once: parts recur, and most come from a memory of bounded size.  All
+new parts of a batch are aligned at once, as if they were one text.
 
 How often a pair of ids is linked in the whole corpus is counted by grouping.
 Pairs with a large share of all links (at most ``hot_pairs``, since no more can
@@ -35,10 +35,12 @@ from quillmark.llm.batches import release, small
 from quillmark.llm.store import materialize
 
 #: The memory of parts starts anew beyond this size; a part counts as its characters and this many bytes.
-MEMORY_BYTES, PART_BYTES = 64_000_000, 320
+MEMORY_BYTES, PART_BYTES = 100_000_000, 320
 #: At most so many pairs are looked up in place.
 HOT_PAIRS = 1 << 18
-CUT = re.compile(r"(?<=\S) (?=\S)")
+CUT, CUT_BLANKS = re.compile(r"(?<=\S)(?=[ \n]\S)"), re.compile(r"(?<=\S)(?= \S)")
+#: Blanks that aren't single ones between visible characters.
+UNEVEN = ("  ", " \n", "\n ", "\n\n", "\0")
 #: White space other than spaces and line breaks.
 ODD_SPACE = re.compile(r"[^\S \n]")
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -46,13 +48,6 @@ BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 _loaded: dict[tuple[str, str], "Tokenizers"] = {}
 
 
-def parts_of(text: str) -> list[str]:
-    """The text cut at single spaces between visible characters; each part has such a space (or the added one) before it."""
-    if "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " " or ODD_SPACE.search(text):
-        return CUT.split(text)
-    return text.split(" ")
-
-
 class Tokenizers:
     """Ids of both tokenizers, and the bytes of each id."""
 
@@ -74,9 +69,22 @@ class Tokenizers:
         self.a_length = np.array([len(x) for x in self.a_bytes])
         self.b_length = np.array([len(x) for x in self.b_bytes])
 
+        #: Whether line breaks are tokens of their own in B, as they are in A.
+        self.lines_apart = not any("\n" in p for p in pieces)
+
+    def parts(self, text: str) -> list[str]:
+        """A space and the text, cut before single spaces and line breaks between visible characters."""
+        spaced = " " + text
+        if not self.lines_apart:
+            return CUT_BLANKS.split(spaced)
+        if text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, UNEVEN)) or ODD_SPACE.search(text):
+            return CUT.split(spaced)
+        return spaced.replace(" ", "\0 ").replace("\n", "\0\n")[1:].split("\0")
+
     def ids(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """A's ids of a space and each part, B's of each part."""
-        return [self.a.encode_ordinary(" " + p) for p in parts], self.b.encode(parts, num_threads=1)
+        """Both tokenizers' ids of each part.  B adds a space: where a part has none, its token goes."""
+        b = self.b.encode([p[1:] if p[0] == " " else p for p in parts], num_threads=1)
+        return list(map(self.a.encode_ordinary, parts)), [x if p[0] == " " else x[1:] for p, x in zip(parts, b, strict=True)]
 
 
 def tokenizers(ranks: str | None = None, model: str | None = None) -> Tokenizers:
@@ -120,17 +128,36 @@ def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 
 
 class Column:
-    """Slices of growing arrays, by part."""
+    """Slices of growing arrays, by part; room is doubled when it runs out."""
 
     def __init__(self, kind):
-        self.values, self.starts, self.lengths = np.empty(0, kind), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.room, self.at = np.empty(1024, kind), np.empty((2, 1024), np.int64)
+        self.used = self.parts = 0
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.room[: self.used]
+
+    @property
+    def starts(self) -> np.ndarray:
+        return self.at[0, : self.parts]
+
+    @property
+    def lengths(self) -> np.ndarray:
+        return self.at[1, : self.parts]
 
     def add(self, values: np.ndarray, bounds: np.ndarray) -> None:
         """New slices: ``bounds`` are their ends in ``values``."""
+        used, parts = self.used + len(values), self.parts + len(bounds)
+        if used > len(self.room):
+            self.room = np.concatenate([self.values, np.empty(2 * used - self.used, self.room.dtype)])
+        if parts > self.at.shape[1]:
+            self.at = np.concatenate([self.at[:, : self.parts], np.empty((2, 2 * parts - self.parts), np.int64)], axis=1)
         lengths = np.diff(bounds, prepend=0)
-        self.starts = np.concatenate([self.starts, len(self.values) + bounds - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.values = np.concatenate([self.values, values.astype(self.values.dtype)])
+        self.room[self.used : used] = values
+        self.at[0, self.parts : parts] = self.used + bounds - lengths
+        self.at[1, self.parts : parts] = lengths
+        self.used, self.parts = used, parts
 
     def take(self, parts: np.ndarray) -> np.ndarray:
         return ragged(self.values, self.starts[parts], self.lengths[parts])
@@ -162,10 +189,12 @@ class Aligner:
         """Aligns parts that aren't known, all as one text, and returns the numbers they get."""
         both = self.both
         a_lists, b_lists = both.ids(parts)
-        wanted = [b" " + p.encode() for p in parts]
-        intact = np.array([b"".join(map(both.a_bytes.__getitem__, x)) == w == b"".join(map(both.b_bytes.__getitem__, y)) for w, x, y in zip(wanted, a_lists, b_lists, strict=True)], bool)
-        a_lists = [x if ok else [] for x, ok in zip(a_lists, intact, strict=True)]
-        b_lists = [x if ok else [] for x, ok in zip(b_lists, intact, strict=True)]
+        wanted = [p.encode() for p in parts]
+        spell = lambda lists, of: [b"".join(map(of.__getitem__, x)) for x in lists]
+        intact = np.array([x == w == y for w, x, y in zip(wanted, spell(a_lists, both.a_bytes), spell(b_lists, both.b_bytes), strict=True)], bool)
+        if not intact.all():
+            a_lists = [x if ok else [] for x, ok in zip(a_lists, intact, strict=True)]
+            b_lists = [x if ok else [] for x, ok in zip(b_lists, intact, strict=True)]
         a = np.fromiter(chain.from_iterable(a_lists), np.int64)
         b = np.fromiter(chain.from_iterable(b_lists), np.int64)
         a_bounds = np.cumsum([len(x) for x in a_lists], dtype=np.int64)
@@ -189,7 +218,7 @@ class Aligner:
             a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
             groups, x, y = [], 0, 0
             for i, j in zip(found.group_a.tolist(), found.group_b.tolist(), strict=True):
-                groups.append(",".join(a_text[x:i]) + "|" + ",".join(b_text[y:j]))
+                groups.append(f"{a_text[x]}|{b_text[y]}" if i == x + 1 and j == y + 1 else ",".join(a_text[x:i]) + "|" + ",".join(b_text[y:j]))
                 x, y = i, j
             at = 0
             for end in group_bounds.tolist():
@@ -200,7 +229,7 @@ class Aligner:
 
     def read(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """The parts of each text by number; None where it has no tokens."""
-        cut = [parts_of(t) if t else [] for t in texts]
+        cut = [self.both.parts(t) if t else [] for t in texts]
         new = sorted(set(chain.from_iterable(cut)).difference(self.known))
         if new:
             self.known.update(zip(new, self.learn(new).tolist(), strict=True))
@@ -208,7 +237,7 @@ class Aligner:
         for text, parts in zip(texts, cut, strict=True):
             numbers = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
             if not self.intact[numbers].all():  # the whole text decides
-                numbers = self.learn([text])
+                numbers = self.learn([" " + text])
             found.append(numbers if len(parts) and self.intact[numbers].all() else None)
         return found
 
