@@ -14,7 +14,8 @@ ANSWERED = ("category", "confidence", "method", "needs_review")
 def summarised(batch: DataFrame) -> DataFrame:
     """One row for each id of a batch (id, seq, ts, ..): first and last by arrival, how often, and the first one's other columns."""
     others = [c for c in batch.columns if c not in ("id", "seq", "ts")]
-    return batch.groupBy("id").agg(F.min_by("ts", "seq").alias("first_ts"), F.max_by("ts", "seq").alias("last_ts"), *[F.min_by(c, "seq").alias(c) for c in others], F.count("*").alias("seen"))
+    first = F.min_by(F.struct(F.col("ts").alias("first_ts"), *others), "seq").alias("first")  # of one row, also if two have one seq
+    return batch.groupBy("id").agg(first, F.max_by("ts", "seq").alias("last_ts"), F.count("*").alias("seen")).select("id", "first.first_ts", "last_ts", *[F.col(f"first.{c}").alias(c) for c in others], "seen")
 
 
 def merge(library: DataFrame, batch: DataFrame) -> DataFrame:

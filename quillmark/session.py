@@ -2,8 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
+_local: list[str] = []
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names; without that setting a local session uses a folder of its own."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="quillmark-"))
+        named = _local[0]
+    return f"{named.rstrip('/')}/quillmark/{label}-{uuid.uuid4().hex}"
+
 
 def session(name: str = "quillmark", master: str | None = None, **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution; further settings by name, dots written as ``__``."""

@@ -1,12 +1,9 @@
-"""Sightings as a stream, merged into the library batch by batch."""
+"""Sightings as a stream."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from quillmark.operators import library
 
 LIBRARY = "id long, first_seen timestamp_ntz, last_seen timestamp_ntz, times_seen long, category string"
 
@@ -15,22 +12,6 @@ def read_events(spark: SparkSession, folder: str, schema, files_per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def merge_into(stream: DataFrame, store: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Runs ``library.merge`` for each micro-batch (id, seq, ts, category).
-
-    Every batch writes a library of its own, named by its id and made from the
-    one before, so that a batch that is run again gives the same.
-    """
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.schema(LIBRARY).parquet(f"{store}/v={batch_id - 1}") if batch_id else spark.createDataFrame([], LIBRARY)
-        library.merge(before, batch).write.mode("overwrite").parquet(f"{store}/v={batch_id}")
-
-    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="15 minutes")).start()
-
-
 def windowed_counts(stream: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Sightings of each category in event-time windows; later rows than the watermark are dropped."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", width), "category").agg(F.count("*").alias("n"))

@@ -19,16 +19,3 @@ def test_labels_stick(spark):
     lib = spark.createDataFrame([(1, DAY(1), DAY(1), 1, "a")], sightings.LIBRARY)
     done = library.labelled(lib, spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "id long, category string, ts long"))
     assert [(r.category, r.manual_label) for r in done.collect()] == [("y", 1)]
-
-
-def test_stream_equals_batches(spark, tmp_path):
-    parts = [[(1, 1, DAY(1), "a"), (2, 2, DAY(2), "b")], [(1, 3, DAY(5), "c"), (3, 4, DAY(6), "d")]]
-    expected = spark.createDataFrame([], sightings.LIBRARY)
-    for part in parts:
-        df = spark.createDataFrame(part, BATCH)
-        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        expected = library.merge(expected, df)
-    stream = sightings.read_events(spark, str(tmp_path / "in"), BATCH)
-    sightings.merge_into(stream, str(tmp_path / "lib"), str(tmp_path / "check")).awaitTermination(120)
-    got = spark.read.parquet(str(tmp_path / "lib" / "v=1"))
-    assert sorted((r.id, r.times_seen) for r in got.collect()) == sorted((r.id, r.times_seen) for r in expected.collect())
