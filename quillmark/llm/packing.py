@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import tokens
-from quillmark.llm.batches import small
+from quillmark.llm.batches import release, small
 from quillmark.llm.store import materialize
 
 TIERS = (256, 512, 1024, 2048)
@@ -48,6 +48,9 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int, path: str | None, ranks
                     column.append(value)
         types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        del batch, out
+    encoder.known.clear()  # the worker lives on and serves other stages
+    release()
 
 
 def cut_documents(docs: DataFrame, window: int, path: str | None = None, ranks: str | None = None) -> DataFrame:

@@ -1,9 +1,9 @@
 """Token ids of public tokenizers inside tasks, remembered by word.
 
 A byte-level BPE never merges across its pre-tokens, and a single space
-between two visible characters always starts one.  A text can so be cut before
-such spaces and each part encoded alone; parts recur, so most come from a
-bounded memory.  Texts with other white space around spaces are encoded whole.
+between two visible characters always starts one, as does a single line break.
+A text can so be cut there and each part encoded alone; parts recur, so most
+come from a bounded memory.  Texts with other white space around spaces are encoded whole.
 The ids are those of the tokenizer's own ``encode``: parts go to the rank file
 of the same vocabulary, whose library is faster on single words, and texts that
 hold what may be a special token go to the tokenizer itself.
@@ -17,8 +17,10 @@ import os
 import re
 from functools import cached_property
 
-#: Parts remembered by one Python worker; beyond it the memory starts anew.
-MEMORY = 400_000
+#: Bytes of parts and ids remembered by one Python worker; beyond it the memory starts anew.
+MEMORY_BYTES = 40_000_000
+#: What a part takes besides its characters and ids.
+PART_BYTES = 220
 #: Longer parts are encoded each time.
 LONGEST_PART = 64
 #: White space other than spaces and line breaks.
@@ -34,14 +36,19 @@ class Memory(dict):
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.size = encode, 0
 
     def __missing__(self, part: str) -> bytes:
         ids = self.encode(part)
         if len(part) <= LONGEST_PART:
             self[part] = ids
+            self.size += len(part) + len(ids) + PART_BYTES
         return ids
 
+    def clear(self) -> None:
+        super().clear()
+        self.size = 0
+
 
 class BytePairIds:
     """Ids as little-endian unsigned 32-bit bytes."""
@@ -73,9 +80,12 @@ class BytePairIds:
             return b""
         if "  " in text or "\n " in text or " \n" in text or text[0] == " " or SPECIAL in text or "\0" in text or ODD_SPACE.search(text):
             return self.encode_part(text)
-        if len(self.known) > MEMORY:
+        if self.known.size > MEMORY_BYTES:
             self.known.clear()
-        return b"".join(map(self.known.__getitem__, text.replace(" ", "\0 ").split("\0")))
+        marked = text.replace(" ", "\0 ")
+        if "\n\n" not in text:
+            marked = marked.replace("\n", "\0\n")
+        return b"".join(map(self.known.__getitem__, marked.split("\0")))
 
 
 def byte_pair(path: str | None = None, ranks: str | None = None) -> BytePairIds:

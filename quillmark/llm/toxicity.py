@@ -61,15 +61,18 @@ NONE: frozenset[str] = frozenset()
 class Known(dict):
     """The weighted features of a word, found when first asked for."""
 
-    limit = 200_000
+    #: Bytes of words held; a word takes about this much besides its characters.
+    limit, entry = 24_000_000, 160
 
     def __init__(self, weights: dict[str, float]):
         super().__init__()
-        self.weights = weights
+        self.weights, self.size = weights, 0
 
     def __missing__(self, word: str) -> frozenset[str]:
-        if len(self) >= self.limit:
+        self.size += self.entry + len(word)
+        if self.size > self.limit:
             self.clear()
+            self.size = self.entry + len(word)
         # most words have none; they share one empty set
         self[word] = found = frozenset(features({word}) & self.weights.keys()) or NONE
         return found
