@@ -7,13 +7,13 @@ is no piece itself may also be spelled in byte pieces.
 
 Two characters that no piece holds side by side are parted in every
 segmentation, so the sum is a product over the parts between such places.  Words
-recur; their likelihoods come from a memory of bounded size, and the forward
-pass runs over all new words of a batch at once.
+and parts recur; their likelihoods come from a memory of bounded size, and the
+forward pass runs over all new parts of a batch at once.
 
 The probabilities are fitted by expectation and maximisation on every training
-text: units (a word with the blanks before it, a line break) are counted by
-language in the tasks, then by a grouping; each round spreads the counts over
-the pieces of all segmentations by a forward and a backward pass.  The driver
+text: parts are counted by language in the tasks, then by a grouping; each round
+spreads the counts over the pieces of all segmentations by a forward and a
+backward pass.  The driver
 holds a number for each language and piece, whatever the size of the corpus.
 """
 
@@ -39,10 +39,10 @@ UNKNOWN = "und"
 MOST_LANGUAGES = 1000
 #: A word with the blanks before it, a line break, or blanks alone.
 UNIT = re.compile(r" *[^ \n]+|\n| +")
-#: Longer units are cut into parts where they are counted, and not remembered.
+#: Longer units and parts aren't remembered.
 LONGEST_UNIT = 64
-#: Units held by a task: counted before they are written, or remembered with their likelihoods.
-COUNTED, REMEMBERED = 150_000, 150_000
+#: Units held by a task while they are counted; units and parts remembered with their likelihoods.
+COUNTED, REMEMBERED = 150_000, 400_000
 #: Characters of units that one forward pass covers at a time.
 PASS_CHARS = 1 << 17
 
@@ -66,16 +66,19 @@ class Lattice:
         """Log sums of paths from the ``known`` boundaries (0) to all others, by ``distance`` from them."""
         sums = np.full((int(self.last[-1]) + 1 if len(self.last) else 0, weights.shape[1]), -np.inf)
         sums[known] = 0.0
-        order = np.lexsort((target, distance))
+        most = int(distance.max(initial=0))
+        distance = distance.astype(np.int16 if most < 2**15 else np.int64)
+        order = np.argsort(target, kind="stable")  # a few sorted runs, merged
+        order = order[np.argsort(distance[order], kind="stable")]
         source, target, weights = source[order], target[order], weights[order]
-        bounds = np.searchsorted(distance[order], np.arange(1, int(distance.max(initial=0)) + 2))
+        bounds = np.searchsorted(distance[order], np.arange(1, most + 2))
         for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             values = sums[source[low:high]] + weights[low:high]
             new = np.concatenate([[True], np.diff(target[low:high]) > 0])
             groups = np.flatnonzero(new)
-            most = np.maximum.reduceat(values, groups, axis=0)
-            total = np.add.reduceat(np.exp(values - most[np.cumsum(new) - 1]), groups, axis=0)
-            sums[target[low:high][groups]] = most + np.log(total)
+            peak = np.maximum.reduceat(values, groups, axis=0)
+            total = np.add.reduceat(np.exp(values - peak[np.cumsum(new) - 1]), groups, axis=0)
+            sums[target[low:high][groups]] = peak + np.log(total)
         return sums
 
     def forward(self, weights: np.ndarray) -> np.ndarray:
@@ -164,9 +167,12 @@ class Vocabulary:
         begins = np.flatnonzero(starts)
         return c, begins, np.searchsorted(bounds, begins, "right") - 1
 
-    def parts(self, unit: str) -> list[str]:
-        begins = self.chars([unit])[1].tolist()
-        return [unit[a:b] for a, b in zip(begins, [*begins[1:], len(unit)], strict=True)]
+    def parts(self, units: list[str]) -> tuple[list[str], np.ndarray]:
+        """The parts of all units in order, and the unit of each."""
+        text = "".join(units)
+        _, begins, unit = self.chars(units)
+        at = begins.tolist()
+        return [text[a:b] for a, b in zip(at, [*at[1:], len(text)], strict=True)], unit
 
     def lattice(self, units: list[str]) -> Lattice:
         c, begins, unit = self.chars(units)
@@ -235,8 +241,8 @@ def _passes(units: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(units)
 
 
-def unit_counts(docs: DataFrame, text: str, lang: str, path: str | None = None) -> DataFrame:
-    """lang, unit, n over all rows; counted in each task first."""
+def part_counts(docs: DataFrame, text: str, lang: str, path: str | None = None) -> DataFrame:
+    """lang, part, n over all rows; counted in each task first, by units that are then cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
@@ -244,15 +250,17 @@ def unit_counts(docs: DataFrame, text: str, lang: str, path: str | None = None)
 
         def summed() -> Iterator[pa.RecordBatch]:
             for name, counter in counts.items():
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(counter), pa.string()), pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())], ["lang", "unit", "n"])
+                units, times = list(counter), list(counter.values())
+                for a, b in _passes(units):
+                    parts, unit = words.parts(units[a:b])
+                    total: dict[str, int] = {}
+                    for part, k in zip(parts, unit.tolist(), strict=True):
+                        total[part] = total.get(part, 0) + times[a + k]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(total), pa.string()), pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["lang", "part", "n"])
 
         for batch in small(batches):
             for name, content in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                counter = counts.setdefault(name, Counter())
-                units = words.units(content)
-                if max(map(len, units)) > LONGEST_UNIT:
-                    units = [p for u in units for p in ([u] if len(u) <= LONGEST_UNIT else words.parts(u))]
-                counter.update(units)
+                counts.setdefault(name, Counter()).update(words.units(content))
             if sum(map(len, counts.values())) > COUNTED:
                 yield from summed()
                 counts = {}
@@ -261,12 +269,12 @@ def unit_counts(docs: DataFrame, text: str, lang: str, path: str | None = None)
         release()
 
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null")
-    return rows.mapInArrow(run, "lang string, unit string, n long").groupBy("lang", "unit").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "lang string, part string, n long").groupBy("lang", "part").agg(F.sum("n").alias("n"))
 
 
-def expected_counts(units: DataFrame, languages: list[str], log_probs: np.ndarray, path: str | None = None) -> np.ndarray:
+def expected_counts(parts: DataFrame, languages: list[str], log_probs: np.ndarray, path: str | None = None) -> np.ndarray:
     """Expected numbers of pieces (rows) by language (columns)."""
-    spark = units.sparkSession
+    spark = parts.sparkSession
     shared = spark.sparkContext.broadcast(log_probs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +283,7 @@ def expected_counts(units: DataFrame, languages: list[str], log_probs: np.ndarra
         total = np.zeros(probs.shape)
         for batch in small(batches, 1 << 15):
             column = np.array([place[x] for x in batch["lang"].to_pylist()])
-            texts, times = batch["unit"].to_pylist(), batch["n"].to_numpy()
+            texts, times = batch["part"].to_pylist(), batch["n"].to_numpy()
             for a, b in _passes(texts):
                 total += words.lattice(texts[a:b]).expected(probs, column[a:b], times[a:b])
         piece, language = np.nonzero(total)
@@ -283,7 +291,7 @@ def expected_counts(units: DataFrame, languages: list[str], log_probs: np.ndarra
         del total
         release()
 
-    rows = units.mapInArrow(run, "piece long, language long, expected double").groupBy("piece", "language").agg(F.sum("expected").alias("expected")).toArrow()
+    rows = parts.mapInArrow(run, "piece long, language long, expected double").groupBy("piece", "language").agg(F.sum("expected").alias("expected")).toArrow()
     shared.destroy()
     out = np.zeros(log_probs.shape)
     out[rows["piece"].to_numpy(), rows["language"].to_numpy()] = rows["expected"].to_numpy()
@@ -301,9 +309,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", settings: Setti
     probs = np.repeat(words.prior[:, None], max(1, len(languages)), axis=1)
     if not languages:
         return Model([], np.zeros(0), np.log(probs))
-    units = materialize(unit_counts(labelled, text, lang, path), "units")
+    parts = materialize(part_counts(labelled, text, lang, path), "parts")
     for _ in range(settings.rounds):
-        counts = expected_counts(units, languages, np.log(probs), path)
+        counts = expected_counts(parts, languages, np.log(probs), path)
         pooled = (counts / np.maximum(counts.sum(axis=0), 1e-9)).mean(axis=1)
         pooled = 0.9 * pooled + 0.1 * words.prior
         probs = counts + settings.smoothing * pooled[:, None]
@@ -313,7 +321,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", settings: Setti
 
 
 class Scorer:
-    """Likelihoods of texts; remembers those of units."""
+    """Likelihoods of texts; remembers those of units and of their parts."""
 
     def __init__(self, words: Vocabulary, log_probs: np.ndarray):
         self.words, self.log_probs = words, log_probs
@@ -321,19 +329,31 @@ class Scorer:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.rows = np.empty((0, self.log_probs.shape[1]))
+        self.known_parts: dict[str, int] = {}
+        self.rows = self.part_rows = np.empty((0, self.log_probs.shape[1]))
+
+    def _learn(self, units: list[str]) -> np.ndarray:
+        """Log-likelihoods of units: the sums over their parts, of which only new ones are computed."""
+        parts, owner = self.words.parts(units)
+        new = sorted(set(parts).difference(self.known_parts))
+        found = [self.words.lattice(new[a:b]).likelihoods(self.log_probs, b - a) for a, b in _passes(new)]
+        self.known_parts.update((p, len(self.part_rows) + k) for k, p in enumerate(new))
+        self.part_rows = np.concatenate([self.part_rows, *found])
+        rows = self.part_rows[np.fromiter(map(self.known_parts.__getitem__, parts), np.int64, len(parts))]
+        for part in new:
+            if len(part) > LONGEST_UNIT:
+                del self.known_parts[part]
+        return np.add.reduceat(rows, np.flatnonzero(np.diff(owner, prepend=-1)), axis=0)
 
     def read(self, texts: list[str]) -> np.ndarray:
         """Log-likelihoods of each text under each language."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) + len(self.known_parts) > REMEMBERED:
             self.forget()
         cut = [self.words.units(t) for t in texts]
         new = sorted(set().union(*cut).difference(self.known)) if cut else []
-        parts = [np.empty((0, self.rows.shape[1]))]
-        for a, b in _passes(new):
-            parts.append(self.words.lattice(new[a:b]).likelihoods(self.log_probs, b - a))
+        rows = [self._learn(new)] if new else []
         self.known.update((u, len(self.rows) + k) for k, u in enumerate(new))
-        self.rows = np.concatenate([self.rows, *parts])
+        self.rows = np.concatenate([self.rows, *rows])
         out = np.stack([self.rows[np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))].sum(axis=0) for units in cut])
         for unit in new:
             if len(unit) > LONGEST_UNIT:

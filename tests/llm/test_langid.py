@@ -96,11 +96,11 @@ def test_odd_texts(spark):
     assert langid.predict(docs.limit(0), model).collect() == []
 
 
-def test_units_are_counted_alike_in_any_number_of_flushes(spark, monkeypatch):
+def test_parts_are_counted_alike_in_any_number_of_flushes(spark, monkeypatch):
     docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string").coalesce(1)
-    once = sorted(map(tuple, langid.unit_counts(docs, "text", "lang").collect()))
+    once = sorted(map(tuple, langid.part_counts(docs, "text", "lang").collect()))
     monkeypatch.setattr(langid, "COUNTED", 0)
-    assert sorted(map(tuple, langid.unit_counts(docs, "text", "lang").collect())) == once
+    assert sorted(map(tuple, langid.part_counts(docs, "text", "lang").collect())) == once
 
 
 def test_held_out_rows_of_the_whole_table(spark):
