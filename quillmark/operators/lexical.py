@@ -1,95 +1,331 @@
 """The lexical model: TF-IDF of words and characters, balanced regression, and its cross-validation.
 
-Terms are hashed to a fixed number of slots, so the model's size doesn't grow
-with the corpus; inverse document frequencies stay a table and are joined.
+Terms are hashed to a fixed number of slots, words in one half and characters in
+the other, so a model's size doesn't grow with the corpus.  A row's terms become
+(slot, times) lists where the row lies; weights depend on the model and are made
+in the tasks that use them.
+
+Several models are fitted at once, each on the rows that aren't held out from
+it: every round is one job, in which each task adds up the gradients of all
+models and the blocks of slots are then summed by number.  Ten folds so cost
+about as many jobs as one fit.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegressionModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmark.functions import text
 from quillmark.operators import model, predict
+from quillmark.session import scratch
 
 SLOTS = 2**17
+#: Slots of a gradient that travel together.
+BLOCK = 4096
+#: Corrections that a model's search direction remembers.
+MEMORY = 8
+
+
+def _slots(body: Column, slots: int) -> list[Column]:
+    """Slots of the words and of the characters of a text, as often as they occur."""
+    hashed = lambda grams, kind: F.transform(grams, lambda t: (F.pmod(F.xxhash64(t), F.lit(slots)) + kind * slots).cast("int"))
+    said = F.coalesce(body, F.lit(""))
+    return [hashed(text.word_grams(said), 0).alias("words"), hashed(text.char_grams(said), 1).alias("chars")]
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column and how many each row has; null lists are empty."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.nan_to_num(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+
 
+def _counted(words: pa.Array, chars: pa.Array, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, slot, times) of each slot of each row."""
+    parts = [_lists(words), _lists(chars)]
+    rows = np.concatenate([np.repeat(np.arange(len(words)), lengths) for _, lengths in parts])
+    keys, times = np.unique(rows * (2 * slots) + np.concatenate([v.astype(np.int64) for v, _ in parts]), return_counts=True)
+    return keys // (2 * slots), keys % (2 * slots), times
 
-def _counted(rows: DataFrame, key: str, body: Column) -> DataFrame:
-    """key, kind (0: words, 1: characters), term and how often it occurs."""
-    said = rows.select(key, body.alias("body"))
-    parts = [said.select(key, F.lit(kind).alias("kind"), F.explode(grams(F.col("body"))).alias("term")) for kind, grams in enumerate((text.word_grams, text.char_grams))]
-    each = parts[0].unionByName(parts[1])
-    return each.groupBy(key, "kind", "term").agg(F.count("*").alias("tf"))
 
+def _weighted(row: np.ndarray, slot: np.ndarray, times: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
+    """``(1 + ln times) * idf``, each half of a row of unit length; slots without idf weigh nothing."""
+    raw = (1 + np.log(times)) * idf[slot]
+    half = 2 * row + (slot >= len(idf) // 2)
+    length = np.sqrt(np.bincount(half, raw * raw, 2 * n))
+    return raw / np.where(length > 0, length, 1)[half]
 
-def _rarity(counted: DataFrame, n: int) -> DataFrame:
-    return counted.groupBy("kind", "term").agg((F.log((1 + F.lit(n)) / (1 + F.count("*"))) + 1).alias("idf"))
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
 
-def _vectors(rows: DataFrame, counted: DataFrame, rarity: DataFrame, key: str, slots: int) -> DataFrame:
-    """``rows`` with a sparse vector ``features``: each kind of unit length in its own half; unknown terms go."""
-    raw = counted.join(rarity, ["kind", "term"]).select(key, "kind", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    unit = raw.withColumn("w", F.expr(f"w / sqrt(sum(w * w) over (partition by `{key}`, kind))"))
-    slot = F.col("kind") * slots + F.pmod(F.xxhash64("term"), F.lit(slots)).cast("int")
-    entries = unit.groupBy(key, slot.alias("slot")).agg(F.sum("w").alias("w")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("slot", "w"))).alias("entries"))
-    sparse = F.udf(lambda e: Vectors.sparse(2 * slots, [(x["slot"], x["w"]) for x in e or []]), VectorUDT())
-    return rows.join(entries, key, "left").withColumn("features", sparse("entries")).drop("entries")
+
+def _margins(row: np.ndarray, slot: np.ndarray, values: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """Scores (rows, classes); the last column of ``weights`` holds the intercepts."""
+    return np.stack([np.bincount(row, w[slot] * values, n) + w[-1] for w in weights], axis=1)
 
 
 @dataclass(frozen=True)
 class Lexical:
-    rarity: DataFrame
-    regression: LogisticRegressionModel
+    """Labels, inverse document frequencies by slot and weights (label, slot, the intercept last)."""
+
     labels: list[str]
-    slots: int
+    idf: np.ndarray
+    weights: np.ndarray
+
+    @property
+    def slots(self) -> int:
+        return len(self.idf) // 2
 
     def scores(self, rows: DataFrame, key: str, body: Column, categories: list[str]) -> DataFrame:
         """``rows`` with ``lexical``: the probability of each category in this order, 0 for those that training never saw."""
-        found = self.regression.transform(_vectors(rows, _counted(rows, key, body), self.rarity, key, self.slots))
-        at = vector_to_array("probability")
-        dense = F.array(*[at[self.labels.index(c)] if c in self.labels else F.lit(0.0) for c in categories])
-        return found.withColumn("lexical", dense).select(*rows.columns, "lexical")
+        return scored(rows, [self], F.array(F.lit(0)), body, categories).withColumn("lexical", F.col("lexical")[0])
 
 
-def fit(rows: DataFrame, key: str, body: Column, label: str, slots: int = SLOTS, c: float = 8.0, rounds: int = 200) -> Lexical:
-    """The model of ``rows`` with a unique key, a text and a label; rows without a label are left out."""
+def scored(rows: DataFrame, models: list[Lexical], which: Column, body: Column, categories: list[str]) -> DataFrame:
+    """``rows`` with ``lexical``: for each of the models that ``which`` (an array of numbers) asks, its probabilities in the order of the categories."""
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+    order = [[m.labels.index(c) if c in m.labels else -1 for c in categories] for m in models]
+    columns = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = shared.value
+        for batch in batches:
+            n = len(batch)
+            asked, lengths = _lists(batch["__which"])
+            owner = np.repeat(np.arange(n), lengths)
+            out = np.zeros((len(asked), len(categories)))
+            row, slot, times = _counted(batch["__words"], batch["__chars"], found[0].slots)
+            for k, m in enumerate(found):
+                mine = np.flatnonzero(asked == k)
+                if len(mine):
+                    here = np.isin(row, owner[mine])
+                    values = _weighted(row[here], slot[here], times[here], m.idf, n)
+                    p = _softmax(_margins(row[here], slot[here], values, m.weights, n))[owner[mine]]
+                    out[mine] = np.column_stack([p, np.zeros(len(mine))])[:, order[k]]
+            inner = pa.ListArray.from_arrays(pa.array(np.arange(len(asked) + 1, dtype=np.int32) * len(categories)), pa.array(out.ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), inner)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), lists], [*columns, "lexical"])
+
+    words, chars = _slots(body, models[0].slots)
+    asked = rows.withColumns({"__which": which, "__words": words, "__chars": chars})
+    return asked.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("lexical", T.ArrayType(T.ArrayType(T.DoubleType())))]))
+
+
+def _prepared(rows: DataFrame, body: Column, number: Column, held: Column, slots: int) -> DataFrame:
+    """label, held, slots and times of each row, written once."""
+    asked = rows.select(number.cast("int").alias("label"), held.cast("array<int>").alias("held"), *_slots(body, slots))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, slot, times = _counted(batch["words"], batch["chars"], slots)
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(batch)))]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (slot, times)]
+            yield pa.RecordBatch.from_arrays([batch["label"], batch["held"], *lists], ["label", "held", "slot", "times"])
+
+    schema = "label int, held array<int>, slot array<int>, times array<int>"
+    path = scratch(rows.sparkSession, "terms")
+    asked.mapInArrow(run, schema).write.parquet(path)
+    return rows.sparkSession.read.schema(schema).parquet(path)
+
+
+def _kept(held: pa.Array, n: int, models: int) -> np.ndarray:
+    """(model, row): whether the row trains the model."""
+    values, lengths = _lists(held)
+    kept = np.ones((models, n), bool)
+    kept[values, np.repeat(np.arange(n), lengths)] = False
+    return kept
+
+
+def _summed(blocks: DataFrame) -> dict[int, np.ndarray]:
+    """Blocks (block, v) added up by number, in the tasks first."""
+    total = blocks.groupBy("block").agg(Summarizer.sum(array_to_vector("v")).alias("v")).select("block", vector_to_array("v").alias("v"))
+    return {b: np.array(v) for b, v in zip(*(c.to_pylist() for c in total.toArrow().columns), strict=True)}
+
+
+def _in_blocks(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    for k in range(0, len(values), BLOCK):
+        part = values[k : k + BLOCK]
+        if part.any():
+            yield k // BLOCK, np.pad(part, (0, BLOCK - len(part)))
+
+
+def _whole(blocks: dict[int, np.ndarray], size: int) -> np.ndarray:
+    out = np.zeros(-(-size // BLOCK) * BLOCK)
+    for k, v in blocks.items():
+        out[k * BLOCK : (k + 1) * BLOCK] = v
+    return out[:size]
+
+
+def _reduced(terms: DataFrame, size: int, add) -> np.ndarray:
+    """``add(total, batch)`` over all rows, where ``total`` has ``size`` numbers; one job."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            add(total, batch)
+        found = list(_in_blocks(total))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([v for _, v in found], pa.list_(pa.float64()))], ["block", "v"])
+
+    return _whole(_summed(terms.mapInArrow(run, "block int, v array<double>")), size)
+
+
+class _Search:
+    """One model's quasi-Newton search: a point, a direction, and what is known of the curvature."""
+
+    def __init__(self, size: int):
+        self.x, self.step, self.done = np.zeros(size), 1.0, False
+        self.loss = self.gradient = self.direction = None
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def trial(self) -> np.ndarray:
+        return self.x if self.direction is None else self.x + self.step * self.direction
+
+    def _turn(self) -> None:
+        q, alphas = self.gradient.copy(), []
+        for s, y in reversed(self.pairs):
+            alphas.append((s @ q) / (y @ s))
+            q -= alphas[-1] * y
+        q *= (self.pairs[-1][0] @ self.pairs[-1][1]) / (self.pairs[-1][1] @ self.pairs[-1][1]) if self.pairs else 1 / max(1.0, np.linalg.norm(q))
+        for (s, y), alpha in zip(self.pairs, reversed(alphas), strict=True):
+            q += s * (alpha - (y @ q) / (y @ s))
+        self.direction, self.step = -q, 1.0
+
+    def learn(self, loss: float, gradient: np.ndarray, tolerance: float) -> None:
+        """Takes what the trial point has: a step, or a shorter trial."""
+        if self.direction is None:
+            self.loss, self.gradient = loss, gradient
+            self._turn()
+            return
+        if loss > self.loss + 1e-4 * self.step * (self.gradient @ self.direction):
+            self.step *= 0.4
+            self.done = self.step < 1e-8
+            return
+        s, y = self.step * self.direction, gradient - self.gradient
+        if y @ s > 1e-12:
+            self.pairs = [*self.pairs, (s, y)][-MEMORY:]
+        self.done = abs(self.loss - loss) <= tolerance * max(1.0, abs(loss))
+        self.x, self.loss, self.gradient = self.x + s, loss, gradient
+        self._turn()
+
+
+def fit_all(rows: DataFrame, body: Column, label: str, held: Column, models: int, slots: int = SLOTS, c: float = 8.0, rounds: int = 200, tolerance: float = 1e-6) -> list[Lexical]:
+    """Models of the rows with a label, each without the rows that ``held``, an array of model numbers, keeps from it.
+
+    Each minimises ``c * sum(weight * cross entropy) + |weights|**2 / 2`` with
+    classes weighted alike; frequencies of terms are those of its own rows.  The
+    driver holds every model: ``models * labels * 2 * slots`` numbers.
+    """
     known = rows.where(F.col(label).isNotNull())
     labels = sorted(r[0] for r in known.select(label).distinct().collect())  # one row for each category
-    counted = _counted(known, key, body)
-    rarity = _rarity(counted, known.count())
+    k, width = len(labels), 2 * slots
+    if not k:
+        raise ValueError("no row has a label")
     number = F.array_position(F.array(*map(F.lit, labels)), F.col(label)) - 1
-    vectors = _vectors(known, counted, rarity, key, slots).select("features", number.cast("double").alias("label")).persist()
-    fitted = Lexical(rarity, model.balanced_fit(vectors, c, 1e-5, rounds), labels, slots)
-    vectors.unpersist()
+    terms = _prepared(known, body, number, held, slots)
+    context = rows.sparkSession.sparkContext
+
+    def count(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        kept = _kept(batch["held"], len(batch), models)
+        slot, lengths = _lists(batch["slot"])
+        row = np.repeat(np.arange(len(batch)), lengths)
+        own = batch["label"].to_numpy()
+        for m in range(models):
+            at = m * (width + k)
+            total[at : at + width] += np.bincount(slot[kept[m][row]], minlength=width)
+            total[at + width : at + width + k] += np.bincount(own[kept[m]], minlength=k)
+
+    counts = _reduced(terms, models * (width + k), count).reshape(models, width + k)
+    held_df, per_class = counts[:, :width], counts[:, width:]
+    n = per_class.sum(axis=1)
+    idf = np.where(held_df > 0, np.log((1 + n[:, None]) / (1 + held_df)) + 1, 0.0)
+    balance = np.where(per_class > 0, n[:, None] / (np.maximum(1, (per_class > 0).sum(axis=1))[:, None] * np.maximum(per_class, 1)), 0.0)
+    size = k * (width + 1)
+    searches = [_Search(size) for _ in range(models)]
+    for search, classes in zip(searches, per_class, strict=True):
+        # a class that a model never sees has no part in it
+        search.absent = classes == 0
+    shared_idf = context.broadcast(idf)
+    for _ in range(rounds):
+        active = [m for m, s in enumerate(searches) if not s.done]
+        if not active:
+            break
+        points = {m: searches[m].trial().reshape(k, width + 1) for m in active}
+        shared = context.broadcast((points, balance, {m: searches[m].absent for m in active}))
+
+        def slope(total: np.ndarray, batch: pa.RecordBatch, active=active, shared=shared) -> None:
+            weights, balance, absent = shared.value
+            kept = _kept(batch["held"], len(batch), models)
+            slot, lengths = _lists(batch["slot"])
+            times = _lists(batch["times"])[0]
+            row = np.repeat(np.arange(len(batch)), lengths)
+            own = batch["label"].to_numpy()
+            for place, m in enumerate(active):
+                values = _weighted(row, slot, times, shared_idf.value[m], len(batch))
+                z = _margins(row, slot, values, weights[m], len(batch))
+                z[:, absent[m]] = -np.inf
+                p = _softmax(z)
+                w = np.where(kept[m], balance[m][own], 0.0)
+                at = place * (size + 1)
+                total[at + size] += -(w[w > 0] * np.log(np.maximum(p[np.arange(len(own)), own][w > 0], 1e-300))).sum()
+                p[np.arange(len(own)), own] -= 1
+                p *= w[:, None]
+                for j in range(k):
+                    here = at + j * (width + 1)
+                    total[here : here + width] += np.bincount(slot, p[row, j] * values, width)
+                    total[here + width] += p[:, j].sum()
+
+        sums = _reduced(terms, len(active) * (size + 1), slope).reshape(len(active), size + 1)
+        shared.destroy()
+        for place, m in enumerate(active):
+            point = points[m].copy()
+            point[:, -1] = 0  # intercepts aren't penalised
+            searches[m].learn(c * sums[place, -1] + 0.5 * float((point * point).sum()), c * sums[place, :-1] + point.ravel(), tolerance)
+    shared_idf.destroy()
+    fitted = []
+    for m, search in enumerate(searches):
+        weights = search.x.reshape(k, width + 1)[~search.absent]
+        fitted.append(Lexical([x for x, gone in zip(labels, search.absent, strict=True) if not gone], idf[m], weights))
     return fitted
 
 
-def out_of_fold(ads: DataFrame, key: str, fold: Column, lexicon: dict[str, list[str]], networks: list[str], remembered: bool, folds: int = 5, slots: int = SLOTS, rounds: int = 200) -> DataFrame:
-    """Each ad (title, description, advertiser, domain, actual) with the answer of a model that never saw its fold."""
+def fit(rows: DataFrame, key: str, body: Column, label: str, slots: int = SLOTS, c: float = 8.0, rounds: int = 200) -> Lexical:
+    """The model of ``rows`` with a text and a label; rows without a label are left out."""
+    return fit_all(rows, body, label, F.array().cast("array<int>"), 1, slots, c, rounds)[0]
+
+
+def cross_validated(ads: DataFrame, key: str, group: str, lexicon: dict[str, list[str]], networks: list[str], folds: int = 5, slots: int = SLOTS, rounds: int = 200, digits: int = 9) -> DataFrame:
+    """Each ad (key, title, description, advertiser, domain, actual) with answers of models that never saw its fold.
+
+    ``known`` false: whole groups are held out, and there is no memory; true:
+    single ads are, and advertisers are remembered from the other folds.  All
+    models are fitted together, and each ad is read once for both.
+    """
     categories = list(lexicon)
     body = text.build_text(*map(F.col, ("title", "description", "advertiser", "domain")))
-    keyed = ads.withColumn("memory_key", text.advertiser_key(F.col("domain"), F.col("advertiser"), networks))
-    parts = None
-    for k in range(folds):
-        train, held = keyed.where(fold != k), ads.where(fold == k)
-        scored = fit(train, key, body, "actual", slots, rounds=rounds).scores(held, key, body, categories).withColumn("semantic", F.lit(None).cast("array<double>"))
-        memory = predict.memory_shares(train if remembered else train.where("false"), "memory_key", "actual", categories)
-        told = predict.predict_many(scored, lexicon, memory, networks, digits=9).drop("lexical", "semantic")
-        parts = told if parts is None else parts.unionByName(told)
-    return parts
-
-
-def cross_validated(ads: DataFrame, key: str, group: str, lexicon: dict[str, list[str]], networks: list[str], folds: int = 5, slots: int = SLOTS, rounds: int = 200) -> DataFrame:
-    """Answers out of fold, twice: ``known`` false with whole groups held out and no memory, true with single ads held out and memory."""
-    apart = out_of_fold(ads, key, model.fold(F.col(group).cast("string"), folds), lexicon, networks, False, folds, slots, rounds)
-    mixed = out_of_fold(ads, key, model.fold(F.col(key).cast("string"), folds), lexicon, networks, True, folds, slots, rounds)
-    return apart.withColumn("known", F.lit(False)).unionByName(mixed.withColumn("known", F.lit(True)))
+    kept = ads.where(F.col("actual").isNotNull())
+    dealt = kept.withColumns({"apart": model.fold(F.col(group).cast("string"), folds), "mixed": model.fold(F.col(key).cast("string"), folds), "memory_key": text.advertiser_key(F.col("domain"), F.col("advertiser"), networks)})
+    held = F.array(F.coalesce("apart", F.lit(0)), F.coalesce("mixed", F.lit(0)) + folds)
+    models = fit_all(dealt, body, "actual", held, 2 * folds, slots, rounds=rounds)
+    both = scored(dealt, models, held, body, categories)
+    each = both.select(*dealt.columns, F.lit(None).cast("array<double>").alias("semantic"), F.posexplode("lexical").alias("scheme", "lexical"))
+    # what other folds know of an advertiser: all of it less its own fold's part
+    sums = lambda keys: dealt.where(F.col("actual").isin(*categories)).groupBy(*keys).agg(F.array(*[F.count_if(F.col("actual") == c).cast("double") for c in categories]).alias("n"))
+    own, whole = sums(["memory_key", "mixed"]).withColumnRenamed("n", "own"), sums(["memory_key"])
+    less = F.zip_with("n", F.coalesce("own", F.array_repeat(F.lit(0.0), len(categories))), lambda a, b: a - b)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    known = each.join(whole, "memory_key", "left").join(own, ["memory_key", "mixed"], "left").withColumn("less", less)
+    remembered = F.when((F.col("scheme") == 1) & (total(F.col("less")) > 0), F.transform("less", lambda x: x / total(F.col("less"))))
+    told = predict.answered(known.withColumn("remembered", remembered), lexicon, digits=digits)
+    return told.select(*ads.columns, "answer.*", (F.col("scheme") == 1).alias("known"))
 
 
 def validation_report(answers: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,10 +67,15 @@ def predict_many(ads: DataFrame, lexicon: dict[str, list[str]], memory: DataFram
     """
     known = memory.select("memory_key", "remembered")
     keyed = ads.withColumn("memory_key", text.advertiser_key(F.col("domain"), F.col("advertiser"), networks))
+    return answered(keyed.join(known, "memory_key", "left"), lexicon, certainty, digits).select(*ads.columns, "answer.*")
+
+
+def answered(ads: DataFrame, lexicon: dict[str, list[str]], certainty=None, digits: int = 3) -> DataFrame:
+    """``ads`` with ``answer``, from their text, ``lexical``, ``semantic`` and ``remembered`` scores."""
     body = text.build_text(F.col("title"), F.col("description"), F.col("advertiser"), F.col("domain"))
-    bound = keyed.join(known, "memory_key", "left").withColumn("body", body).withColumn("hits", keywords.keyword_hits(F.col("body"), lexicon))
+    bound = ads.withColumn("body", body).withColumn("hits", keywords.keyword_hits(F.col("body"), lexicon))
     told = answer(F.col("body"), F.col("lexical"), F.col("semantic"), F.col("hits"), F.col("remembered"), list(lexicon), certainty, digits=digits)
-    return bound.withColumn("answer", told).select(*ads.columns, "answer.*")
+    return bound.withColumn("answer", told)
 
 
 def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -84,8 +91,21 @@ def accuracy_and_f1(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return share.crossJoin(F.broadcast(macro)).select(F.round("accuracy", 3).alias("accuracy"), F.round("macro_f1", 3).alias("macro_f1"))  # one row each
 
 
-def fit_calibration(rows: DataFrame, top: str, second: str, right: str, least: int = 50, balanced: bool = True):
-    """A function of the best two scores to the probability of being right, by logistic regression; null if rows are few or all alike.
+@dataclass(frozen=True)
+class Calibration:
+    """A function of the best two scores to the probability of being right."""
+
+    mean: list[float]
+    deviation: list[float]
+    weights: list[float]
+    intercept: float
+
+    def __call__(self, top: Column, second: Column) -> Column:
+        return model.calibrated(model.calibration_features(top, second), self.mean, self.deviation, self.weights, self.intercept)
+
+
+def fit_calibration(rows: DataFrame, top: str, second: str, right: str, least: int = 50, balanced: bool = True) -> Calibration | None:
+    """The calibration by logistic regression; None if rows are few or all alike.
 
     Right and wrong answers weigh the same in all.  That moves the certainty by
     the log odds of being right; without ``balanced`` it is the share of right answers.
@@ -104,14 +124,4 @@ def fit_calibration(rows: DataFrame, top: str, second: str, right: str, least: i
     mean, deviation = [moments[f] for f in features], [moments[f"d{f}"] for f in features]
     scaled = raw.select("label", weight.alias("weight"), array_to_vector(F.array(*[(F.col(f) - m) / d for f, m, d in zip(features, mean, deviation, strict=True)])).alias("features"))
     fit = LogisticRegression(weightCol="weight", regParam=1 / (2 * seen["n"]), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9).fit(scaled)
-    weights, intercept = [float(w) for w in fit.coefficients], float(fit.intercept)
-    return lambda a, b: model.calibrated(model.calibration_features(a, b), mean, deviation, weights, intercept)
-
-
-def save(memory: DataFrame, path: str) -> None:
-    """The memory as a table; write to a new path for each version."""
-    memory.write.parquet(path)
-
-
-def load(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return Calibration(mean, deviation, [float(w) for w in fit.coefficients], float(fit.intercept))
