@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmark.operators import pages, spatial
 from quillmark.plans.catalogue import _BOXES, _LINES, _boxes, _CLEAN, query
-from quillmark.sources import creatives
+from quillmark.sources import creatives, html
 from quillmark.sources.readers import links, table
 
 _NOW = "2024-02-01T00:00:00"
@@ -35,6 +35,17 @@ def parsed_frames(spark, sf):
     return found.select(F.col("source_page").cast("long").alias("page_id"), "title", "description", (F.col("landing_url") != "").alias("linked"))
 
 
+@query("""select page_id, (k - 1)::int as place, trim(regexp_replace(cards[k], '[ \t\r\n\f]+', ' ', 'g')) as raw_text, false as sponsored, '' as title, '' as landing_url from (select page_id, regexp_extract_all(html, '<div class="ad">([^<]*)</div>', 1) as cards from pages), unnest(range(1, len(cards) + 1)) u(k)""")
+def page_cards(spark, sf):
+    found = html.cards(table(spark, sf, "pages"), html.CardRules(card=("ad",))).where("error is null")
+    return found.select("page_id", "place", "raw_text", "sponsored", "title", "landing_url")
+
+
+@query("""select page_id, array_to_string(list_transform(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)[1:5], lambda u: case when starts_with(u, '/') then regexp_extract(url, '^(https?://[^/?#]*)', 1) || u else u end), ' ') as links from pages""")
+def page_frames(spark, sf):
+    return html.frames(table(spark, sf, "pages")).select("page_id", F.array_join("links", " ").alias("links"))
+
+
 _READ = """(select l_orderkey as block, l_linenumber as line, case when l_linenumber % 4 = 0 then '--- .' else 'line ' || l_linenumber || ' of ' || l_shipmode_ end as text, l_discount * 10 as conf, (l_partkey % 300)::double as x, (l_suppkey % 500)::double as y, (l_quantity + 1)::double as h
 from (select *, l_returnflag || l_linestatus as l_shipmode_ from lineitem))"""
 _GOOD = "conf >= 0.3 and (length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 2 or length(regexp_replace(text, '[^0-9]', '', 'g')) >= 6) and length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) >= 0.6 * length(replace(text, ' ', ''))"
