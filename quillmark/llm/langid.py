@@ -42,7 +42,7 @@ UNIT = re.compile(r" *[^ \n]+|\n| +")
 #: Longer units and parts aren't remembered.
 LONGEST_UNIT = 64
 #: Units held by a task while they are counted; units and parts remembered with their likelihoods.
-COUNTED, REMEMBERED = 150_000, 400_000
+COUNTED, REMEMBERED = 150_000, 700_000
 #: Characters of units that one forward pass covers at a time.
 PASS_CHARS = 1 << 17
 
@@ -335,7 +335,7 @@ class Scorer:
     def _learn(self, units: list[str]) -> np.ndarray:
         """Log-likelihoods of units: the sums over their parts, of which only new ones are computed."""
         parts, owner = self.words.parts(units)
-        new = sorted(set(parts).difference(self.known_parts))
+        new = list(set(parts).difference(self.known_parts))
         found = [self.words.lattice(new[a:b]).likelihoods(self.log_probs, b - a) for a, b in _passes(new)]
         self.known_parts.update((p, len(self.part_rows) + k) for k, p in enumerate(new))
         self.part_rows = np.concatenate([self.part_rows, *found])
@@ -350,7 +350,7 @@ class Scorer:
         if len(self.known) + len(self.known_parts) > REMEMBERED:
             self.forget()
         cut = [self.words.units(t) for t in texts]
-        new = sorted(set().union(*cut).difference(self.known)) if cut else []
+        new = list(set().union(*cut).difference(self.known)) if cut else []
         rows = [self._learn(new)] if new else []
         self.known.update((u, len(self.rows) + k) for k, u in enumerate(new))
         self.rows = np.concatenate([self.rows, *rows])
