@@ -112,7 +112,7 @@ def keyword_pattern(keyword: str) -> str:
     """ASCII keywords match whole words, others the start of a word."""
     edge = rf"[^{WORD_CHAR[1:-1]}]"
     quoted = "".join("\\" + ch if ch in r"\.^$|?*+()[]{}" else ch for ch in keyword.lower())
-    return rf"(?i)(?:^|{edge}){quoted}" + (rf"(?:$|{edge})" if keyword.isascii() else "")
+    return rf"(?iu)(?:^|{edge}){quoted}" + (rf"(?:$|{edge})" if keyword.isascii() else "")
 
 
 def is_junk(title: Column, domain: Column, generic: tuple[str, ...]) -> Column:

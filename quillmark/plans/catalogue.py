@@ -232,7 +232,8 @@ def frame_links(spark, sf):
 
 
 def _rules_sql() -> str:
-    sums = ["(" + " + ".join(f"case when regexp_matches(text, '{text.keyword_pattern(k)}') then {1 + 0.5 * (len(k.split()) - 1)}::double else 0 end" for k in ks) + ")" for ks in LEXICON.values()]
+    edge = "[^\\p{L}\\p{N}_]"
+    sums = ["(" + " + ".join(f"case when regexp_matches(text, '(?i)(?:^|{edge}){k}(?:$|{edge})') then {1 + 0.5 * (len(k.split()) - 1)}::double else 0 end" for k in ks) + ")" for ks in LEXICON.values()]
     names = list(LEXICON)
     cols = ", ".join(f"case when t = 0 then 0 else round(s{i} / t, 6) end as {n}" for i, n in enumerate(names))
     return f"select doc_id, {cols} from (select *, {' + '.join(f's{i}' for i in range(len(names)))} as t from (select doc_id, {', '.join(f'{s} as s{i}' for i, s in enumerate(sums))} from documents))"

@@ -13,18 +13,31 @@ from quillmark.session import scratch
 from quillmark.sources.readers import table
 
 SYLLABLES = "an er in on re th ti ed nd ha en ou es st at he or sh ing ea ble ly al it".split()
-#: A lexicon of 600 keywords in 21 categories, by rule: two syllables each.
-WIDE = {f"c{i}": [a + b for k, (a, b) in enumerate((a, b) for a in SYLLABLES for b in [*SYLLABLES, "ion"]) if k % 21 == i] for i in range(21)}
+BEYOND = ["é", "ñ", "ü", "für", "über", "être en", "él", "ción", "ß", "घर", "गृह कर्ज", "ಸಾಲ"]
+#: A lexicon of 10,812 keywords in 21 categories, by rule: two or three syllables in a word, two as a phrase, and some beyond ASCII.
+_KEYWORDS = [((i * 25 + j) % 21, a + b) for i, a in enumerate(SYLLABLES) for j, b in enumerate([*SYLLABLES, "ion"])]
+_KEYWORDS += [((i * 25 + j + k) % 21, a + b + c) for i, a in enumerate(SYLLABLES) for j, b in enumerate([*SYLLABLES, "ion"]) for k, c in enumerate(SYLLABLES[:16])]
+_KEYWORDS += [((i + j) % 21, f"{a} {b}") for i, a in enumerate(SYLLABLES) for j, b in enumerate([*SYLLABLES, "ion"])] + [(i % 21, k) for i, k in enumerate(BEYOND)]
+WIDE = {f"c{i}": [k for c, k in _KEYWORDS if c == i] for i in range(21)}
 _SYL = "[" + ", ".join(f"'{s}'" for s in SYLLABLES) + "]"
 _SYL2 = "[" + ", ".join(f"'{s}'" for s in [*SYLLABLES, "ion"]) + "]"
-_WIDE = f"(select a.s || b.s as keyword, ((a.i * 25 + b.i) % 21)::int as category from (select unnest({_SYL}) as s, unnest(range(24)) as i) a, (select unnest({_SYL2}) as s, unnest(range(25)) as i) b)"
+_A, _B = f"(select unnest({_SYL}) as s, unnest(range(24)) as i) a", f"(select unnest({_SYL2}) as s, unnest(range(25)) as i) b"
+_WIDE = f"""(select a.s || b.s as keyword, ((a.i * 25 + b.i) % 21)::int as category from {_A}, {_B} union all
+select a.s || b.s || c.s, ((a.i * 25 + b.i + c.i) % 21)::int from {_A}, {_B}, (select unnest({_SYL}) as s, unnest(range(24)) as i) c where c.i < 16)"""
+_PHRASES = f"(select a.s || ' ' || b.s as keyword, ((a.i + b.i) % 21)::int as category from {_A}, {_B})"
+_BEYOND = "(select unnest(['é', 'ñ', 'ü', 'für', 'über', 'être en', 'él', 'ción', 'ß', 'घर', 'गृह कर्ज', 'ಸಾಲ']) as keyword, unnest(range(12))::int as category)"
+#: Lower-case texts in which all but words and blanks is a full stop, with one at both ends.
+_EDGED = "(select doc_id, '.' || regexp_replace(lower(text), '[^\\p{L}\\p{N}_ ]', '.', 'g') || '.' as t from documents)"
 _TOKENS = "(select distinct doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')) as token from documents)"
 
 
-@query(f"""with h as (select doc_id, category, keyword from {_TOKENS} t join {_WIDE} k on k.keyword = t.token), s as (select doc_id, category, count(*) as n from h group by 1, 2)
-select d.doc_id, coalesce(sum(n), 0)::bigint as hits, count(category) as categories, coalesce(round(max(n) / sum(n), 6), 0) as top_share from documents d left join s using (doc_id) group by 1""")
+@query(f"""with h as (select doc_id, category, keyword from {_TOKENS} t join {_WIDE} k on k.keyword = t.token union all
+select doc_id, category, keyword from {_EDGED} d join {_PHRASES} k on contains(t, '.' || keyword || '.') or contains(t, ' ' || keyword || '.') or contains(t, '.' || keyword || ' ') or contains(t, ' ' || keyword || ' ') union all
+select doc_id, category, keyword from {_EDGED} d join {_BEYOND} k on contains(t, '.' || keyword) or contains(t, ' ' || keyword)), s as (select doc_id, category, count(*) as n, sum(case when contains(keyword, ' ') then 1.5::double else 1 end) as w from h group by 1, 2)
+select d.doc_id, coalesce(sum(n), 0)::bigint as hits, count(category) as categories, coalesce(round(max(w) / sum(w), 6), 0) as top_share from documents d left join s using (doc_id) group by 1""")
 def keyword_hits(spark, sf):
-    found = table(spark, sf, "documents").select("doc_id", keywords.keyword_hits(F.col("text"), WIDE).alias("h"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = keywords.table_hits(docs, "doc_id", "text", keywords.lexicon_table(spark, WIDE)).select("doc_id", F.col("hits").alias("h"))
     shares = keywords.rule_scores(F.col("h"), len(WIDE))
     return found.select("doc_id", F.size("h").cast("long").alias("hits"), F.size(keywords.hits_by_category(F.col("h"), list(WIDE))).cast("long").alias("categories"), F.round(F.array_max(shares), 6).alias("top_share"))
 

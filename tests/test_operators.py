@@ -32,6 +32,20 @@ def test_keywords(spark):
     assert shares == [2.5 / 3.5, 1 / 3.5, 0.0]
 
 
+@pytest.mark.parametrize("limit", [keywords.BROADCAST_KEYWORDS, 0])
+def test_a_lexicon_as_a_table_finds_the_same(spark, monkeypatch, limit):
+    monkeypatch.setattr(keywords, "BROADCAST_KEYWORDS", limit)
+    lexicon = {"a": ["loan", "home loan", "e-auction", "Emi", "₹", "#1 rated", "loan"], "b": ["घर", "गृह कर्ज", "home", "é", "ℓ-x"], "c": []}
+    said = ["A Home Loan, now", "homeloan loans", None, "", "an E-Auction", "घरांसाठी", "कघर", "x-घर", "गृह कर्जे", "गृहकर्ज", "EMI ₹ 5", "the #1 rated home", "home  loan", "home\nloan", "étude", "Été", "été é", "emi_x", "aℓ-x ℓ-x", "loan " * 3000]
+    docs = spark.createDataFrame(list(enumerate(said)), "id long, text string").withColumn("keyword", F.lit("clash"))
+    got = {r.id: r.hits for r in keywords.table_hits(docs, "id", "text", keywords.lexicon_table(spark, lexicon)).collect()}
+    expected = {r.id: r.hits for r in docs.select("id", keywords.keyword_hits(F.col("text"), lexicon).alias("hits")).collect()}
+    assert got == expected and len(got) == len(said)
+    plain = lambda k: rf"(?<!\w){re.escape(k)}" + (r"(?!\w)" if k.isascii() else "")
+    assert {i: [e.keyword for e in hits] for i, hits in got.items()} == {i: [k for ks in lexicon.values() for k in ks if re.search(plain(k), t or "", re.I)] for i, t in enumerate(said)}
+    assert keywords.table_hits(docs.limit(0), "id", "text", keywords.lexicon_table(spark, lexicon)).collect() == []
+
+
 def test_predict(spark):
     ads = spark.createDataFrame([(1, "", None, "", "", [0.2, 0.5, 0.3], None), (2, "home", "", "b", "b.com", [0.4, 0.4, 0.2], [0.4, 0.4, 0.2]), (3, "plain", "", "", "c.com", [0.34, 0.33, 0.33], None), (4, "plain", "", "", "d.com", [0.0, 0.1, 0.9], None)], ADS)
     memory = spark.createDataFrame([("d.com", [1.0, 0.0, 0.0])], "memory_key string, remembered array<double>")
