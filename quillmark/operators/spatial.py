@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import boxes
+from quillmark.session import scratch
 
 SIDES = ["x1", "y1", "x2", "y2"]
 
@@ -41,68 +39,81 @@ def placed(spots: DataFrame, least: int, height: int) -> DataFrame:
     return spots.where((F.col("w") >= least) & (F.col("h") >= least) & (F.col("y") + F.col("h") <= height))
 
 
-def _page_by_page(df: DataFrame, order: list[Column], schema, start, take) -> DataFrame:
-    """Rows of each page in order, with a state that starts anew at each page; ``take(state, row)`` says whether a row stays."""
-    columns = df.columns
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        page, state = None, None
-        for batch in batches:
-            kept = []
-            for k, row in enumerate(batch.itertuples(index=False)):
-                if state is None or row.page != page:
-                    page, state = row.page, start()
-                if take(state, row):
-                    kept.append(k)
-            yield batch.iloc[kept]
-
-    dealt = df.repartition("page").sortWithinPartitions("page", *order)
-    return dealt.select(columns).mapInPandas(run, schema)
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` as a table, so that the next round starts from it and outlives lost executors."""
+    path = scratch(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def assigned(pairs: DataFrame) -> DataFrame:
-    """One detection for each answer and the other way round: answers in their order, each takes the first free detection in the order of listing."""
-
-    def take(state: tuple[set, set], row) -> bool:
-        answers, used = state
-        if row.ans in answers or row.det in used:
-            return False
-        answers.add(row.ans)
-        used.add(row.det)
-        return True
-
-    return _page_by_page(pairs, [F.col("ans"), F.col("det")], pairs.schema, lambda: (set(), set()), take)
+    """One detection for each answer and the other way round: answers in their order, each takes the first free detection in the order of listing.
 
-
-def _by_area(found: DataFrame, covered) -> DataFrame:
-    """Boxes by falling area, page by page, without those that ``covered(shared, own, kept's area)`` by one that stays."""
-
-    def take(kept: list, box) -> bool:
-        own = (box.x2 - box.x1) * (box.y2 - box.y1)
-        for k, area in kept:
-            shared = max(0, min(box.x2, k.x2) - max(box.x1, k.x1)) * max(0, min(box.y2, k.y2) - max(box.y1, k.y1))
-            if covered(shared, own, area):
-                return False
-        kept.append((box, own))
-        return True
-
-    size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    return _page_by_page(found, [size.desc(), F.col("det")], found.schema, list, take)
+    In rounds: a pair that is the first of its answer and of its detection is
+    taken, and the other pairs of both go, until none is open.  Of pairs with
+    equal numbers the greatest values count.
+    """
+    columns, done = pairs.columns, None
+    keys = ["page", "ans", "det"]
+    first = lambda key, other: F.min(other).over(Window.partitionBy("page", key))
+    whole = pairs.where("page is not null and ans is not null and det is not null")
+    others = [F.max(c).alias(c) for c in columns if c not in keys]
+    open_ = whole.groupBy(*keys).agg(*others).select(*columns) if others else whole.distinct()
+    while True:
+        # the order of all pairs is by answer, then detection: a detection's first pair is its first answer's
+        taken = (F.col("det") == first("ans", "det")) & (F.col("ans") == first("det", "ans"))
+        marked = open_.withColumn("taken", taken)
+        gone = lambda key: F.bool_or("taken").over(Window.partitionBy("page", key))
+        marked = _written(marked.withColumns({"settled": gone("ans") | gone("det")}))
+        now = marked.where("taken").select(*columns)
+        done = now if done is None else done.unionByName(now)
+        open_ = marked.where("not settled").select(*columns)
+        if not open_.limit(1).count():
+            return done
+
+
+def _uncovered(found: DataFrame, covered) -> DataFrame:
+    """Boxes by falling area without those that ``covered(shared, own, other's area)`` by an earlier one that stays.
+
+    In rounds: a box that no open box covers stays, the boxes that it covers go,
+    until all are settled; a box is covered by few, so rounds are few.
+    """
+    # rows by their place, so that equal numbers or boxes don't mix
+    size_of = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    order = Window.partitionBy("page").orderBy(size_of.desc(), "det", *SIDES)
+    numbered = _written(found.withColumn("__place", F.row_number().over(order)))
+    sides = lambda p: [F.col(f"{p}{s}") for s in SIDES]
+    size = lambda p: (F.col(f"{p}x2") - F.col(f"{p}x1")) * (F.col(f"{p}y2") - F.col(f"{p}y1"))
+    plain = numbered.select("page", F.col("__place").alias("det"), *SIDES)
+    other = plain.select("page", F.col("det").alias("by"), *[F.col(s).alias(f"o_{s}") for s in SIDES])
+    before = F.col("by") < F.col("det")
+    touching = (F.col("x1") < F.col("o_x2")) & (F.col("o_x1") < F.col("x2")) & (F.col("y1") < F.col("o_y2")) & (F.col("o_y1") < F.col("y2"))
+    edges = _written(plain.join(other, "page").where(touching & before & covered(boxes.overlap(sides(""), sides("o_")), size(""), size("o_"))).select("page", "det", "by"))
+    gone = None
+    while True:
+        waiting = edges.select("page", F.col("det").alias("by")).distinct()
+        stays = edges.join(waiting, ["page", "by"], "left_anti")  # covered by a box that nothing open covers
+        now = _written(stays.select("page", "det").distinct())
+        gone = now if gone is None else gone.union(now)
+        left = edges.join(now, ["page", "det"], "left_anti").join(now.withColumnRenamed("det", "by"), ["page", "by"], "left_anti")
+        edges = _written(left.select("page", "det", "by"))
+        if not edges.limit(1).count():
+            return numbered.join(gone.withColumnRenamed("det", "__place"), ["page", "__place"], "left_anti").select(*found.columns)
 
 
 def without_nested(found: DataFrame, page_area: float | None = None) -> DataFrame:
     """Boxes not 70 % inside a larger one that stays, nor half inside one of 60 % of the page (if its area is given)."""
 
-    def covered(shared, own, area) -> bool:
-        own = max(1, own)
-        return shared >= 0.7 * own or (page_area is not None and area >= 0.6 * page_area and shared >= 0.5 * own)
+    def covered(shared: Column, own: Column, area: Column) -> Column:
+        inside = shared >= 0.7 * F.greatest(own, F.lit(1))
+        return inside if page_area is None else inside | ((area >= 0.6 * page_area) & (shared >= 0.5 * F.greatest(own, F.lit(1))))
 
-    return _by_area(found, covered)
+    return _uncovered(found, covered)
 
 
 def without_duplicates(found: DataFrame) -> DataFrame:
     """Of boxes that are the same region (80 % of the smaller, 60 % of the larger) the larger one."""
-    return _by_area(found, lambda shared, own, area: shared >= 0.8 * own and shared >= 0.6 * area)
+    return _uncovered(found, lambda shared, own, area: (shared >= 0.8 * own) & (shared >= 0.6 * area))
 
 
 def evaluation(found: DataFrame, answers: DataFrame, optional: DataFrame) -> DataFrame:

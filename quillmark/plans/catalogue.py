@@ -370,14 +370,31 @@ def false_positive_anti(spark, sf):
     return found.join(spatial.candidates(found, _boxes(spark, sf, 3, "ans")), ["page", "det"], "left_anti").select("page", "det")
 
 
-@query()
+#: Answers of a page in their order, one a step, each with the first detection that none took before.
+_GREEDY = f"""{_PAIRS.replace('with d', 'with recursive d', 1)}, o as (select page, ans, row_number() over (partition by page order by ans) as k from (select distinct page, ans from m)),
+g as (select page, 0::bigint as k, null::bigint as ans, null::bigint as det, []::bigint[] as used from (select distinct page from m) union all
+select g.page, o.k, o.ans, t.det, case when t.det is null then g.used else list_append(g.used, t.det) end from g join o on o.page = g.page and o.k = g.k + 1
+left join lateral (select min(m.det) as det from m where m.page = g.page and m.ans = o.ans and not list_contains(g.used, m.det)) t on true)"""
+
+
+@query(f"{_GREEDY} select m.page, m.det, m.ans, max(m.iou) as iou from m join g on g.page = m.page and g.ans = m.ans and g.det = m.det group by 1, 2, 3")
 def greedy_assignment(spark, sf):
     return spatial.assigned(spatial.candidates(_boxes(spark, sf, 1, "det"), _boxes(spark, sf, 3, "ans")))
 
 
-@query()
+def _kept_sql(covered: str) -> str:
+    """Boxes of a page by falling area, one a step, kept if none that was kept before covers them."""
+    return f"""with recursive b as (select *, (x2 - x1) * (y2 - y1) as area from ({_BOXES.format(1, 'det')})), o as (select *, row_number() over (partition by page order by area desc, det, x1, y1, x2, y2) as k from b),
+e as (select page, k, by_ from (select s.page, s.k, l.k as by_, s.area as own, l.area as area, greatest(least(s.x2, l.x2) - greatest(s.x1, l.x1), 0) * greatest(least(s.y2, l.y2) - greatest(s.y1, l.y1), 0) as shared from o s join o l on l.page = s.page and l.k < s.k) where {covered}),
+n as (select page, k, list(by_) as covers from e group by 1, 2),
+r as (select page, 0::bigint as k, false as stays, []::bigint[] as kept from (select distinct page from o) union all
+select r.page, o.k, not list_has_any(coalesce(n.covers, []), r.kept), case when list_has_any(coalesce(n.covers, []), r.kept) then r.kept else list_append(r.kept, o.k) end from r join o on o.page = r.page and o.k = r.k + 1 left join n on n.page = o.page and n.k = o.k)
+select o.page, o.det, x1, y1, x2, y2 from o join r on r.page = o.page and r.k = o.k where stays"""
+
+
+@query(_kept_sql("shared >= 0.7 * greatest(own, 1) or area >= 0.6 * 200000 and shared >= 0.5 * greatest(own, 1)"))
 def nested_drop(spark, sf):
-    return spatial.without_nested(_boxes(spark, sf, 1, "det"))
+    return spatial.without_nested(_boxes(spark, sf, 1, "det"), 200_000)
 
 
 @query("""with f as (select user_id, event_id, (value > 0)::int as on_ from events), g as (select *, row_number() over (partition by user_id order by event_id) - sum(on_) over (partition by user_id order by event_id rows unbounded preceding) as i from f)

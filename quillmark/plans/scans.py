@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmark.operators import pages, spatial
-from quillmark.plans.catalogue import _BOXES, _LINES, _boxes, _CLEAN, query
+from quillmark.plans.catalogue import _BOXES, _CLEAN, _LINES, _boxes, _kept_sql, query
 from quillmark.sources import creatives, html
 from quillmark.sources.readers import links, table
 
@@ -203,7 +203,7 @@ def scan_evaluation(spark, sf):
     return spatial.evaluation(_marked(spark, sf), answers, _boxes(spark, sf, 7, "ans"))
 
 
-@query()
+@query(_kept_sql("shared >= 0.8 * own and shared >= 0.6 * area"))
 def duplicate_boxes(spark, sf):
     return spatial.without_duplicates(_boxes(spark, sf, 1, "det"))
 
