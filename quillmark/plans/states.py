@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from quillmark.functions import text, urls
 from quillmark.operators import library, reports
 from quillmark.plans.catalogue import query
-from quillmark.sources import creatives
+from quillmark.session import scratch
+from quillmark.sources import creatives, store
 from quillmark.sources.readers import table
+from quillmark.streaming import intake
 
 _LIB = """(select doc_id as id, substr(text, 1, 40) as title, '' as description, case when doc_id % 11 = 0 then '' else source end as advertiser, lang || '.example' as domain, 'http://' || lang || '.example/?utm_a=1&p=' || doc_id as landing_url,
 case when quality = 0 then 'low' else 'fine' end as category, (n_chars % 100) / 100.0::double as confidence, 'lexical' as method, coalesce(toxic, 0) as needs_review, (doc_id % 7 = 0)::int as manual_label,
@@ -54,6 +56,50 @@ def reclassify(spark, sf):
     return library.reclassified(_library(spark, sf), answers).select(*_STATE)
 
 
+_AFTER = f"""(with old as (select id::varchar as id, first_seen, last_seen, times_seen, category, confidence, method, needs_review, manual_label from {_LIB}),
+e as (select user_id::varchar as id, event_id as seq, strftime(ts, '%Y-%m-%dT%H:%M:%S') as ts, event_type from events where user_id is not null), b as (select id, arg_min(ts, seq) as f, arg_max(ts, seq) as l, arg_min(event_type, seq) as c, count(*) as n from e group by 1),
+m as (select coalesce(old.id, b.id) as id, coalesce(first_seen, f) as first_seen, case when old.id is null then f else coalesce(l, last_seen) end as last_seen, case when old.id is null then 1 else times_seen + coalesce(n, 0) end as times_seen, case when old.id is null then c else category end as category, coalesce(manual_label, 0) as manual_label from old full outer join b on old.id = b.id),
+k as (select user_id::varchar as id, arg_max(event_type, event_id) as label from events where event_type = 'error' group by 1)
+select m.id, first_seen, last_seen, times_seen::bigint as times_seen, coalesce(label, category) as category, case when label is null then manual_label else 1 end as manual_label from m left join k on k.id = m.id)"""
+
+
+def _stored(spark, sf):
+    """The documents' library in buckets."""
+    rows = _library(spark, sf).withColumn("id", F.col("id").cast("string"))
+    whole = [F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in store.COLUMNS.split(", "))]
+    held = store.LibraryStore(spark, scratch(spark, "library"), buckets=16)
+    held.seed(rows.select(*whole))
+    return held
+
+
+_SEEN = ["id", "first_seen", "last_seen", "times_seen", "category", "manual_label"]
+
+
+@query(f"select * from {_AFTER}")
+def library_in_place(spark, sf):
+    """Sightings merged into buckets, twice under one name, then labels; the second merge changes nothing."""
+    held = _stored(spark, sf)
+    events = table(spark, sf, "events").where("user_id is not null").select(F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("seq"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), F.col("event_type").alias("category"))
+    for _ in range(2):
+        held.merge(events, "events")
+    held.label(events.where("category = 'error'").select("id", "category", F.col("seq").alias("ts")))
+    return held.read().select(*_SEEN)
+
+
+@query(f"select * from {_AFTER}")
+def intake_stream(spark, sf):
+    """The same as a stream: events as elements, errors as a person's labels beside them, over all files that are there."""
+    held = _stored(spark, sf)
+    events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")  # a pattern, since a table may be one file
+    element = F.struct(F.lit(None).cast("string").alias("label"), F.concat(F.lit("e"), "event_id").alias("element"))
+    label = F.when(F.col("event_type") == "error", F.struct(F.col("event_type").alias("label"), F.concat(F.lit("l"), "event_id").alias("element")))
+    both = events.where("user_id is not null").withColumn("x", F.explode(F.filter(F.array(element, label), lambda e: e.isNotNull())))
+    rows = both.select("x.element", F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("category"), "x.label")
+    log = intake.RunLog(spark, scratch(spark, "runs"))
+    intake.Intake(held, log, scratch(spark, "checkpoint"), within="1000 days").run(rows)
+    return held.read().select(*_SEEN)
+
+
 _RUNS = """(select run, min(t) as started_at, max(case when found is not null or error is not null then t end) as finished_at, coalesce(max(found), 0) as ads_found, coalesce(max(n), 0) as new_ads, max(error) as log
 from (select event_id // 4 as run, ts as t, case when event_id % 4 = 3 and event_type <> 'view' then user_id % 3 end as found, case when event_id % 4 = 3 then 1 end as n, case when event_id % 4 = 3 and event_type = 'error' then 'lost' end as error from events) group by 1)"""
 _STATUS = "case when finished_at is null then 'running' when log is not null or ads_found = 0 then 'failed' else 'success' end"
