@@ -78,10 +78,10 @@ def answered(ads: DataFrame, lexicon: dict[str, list[str]], certainty=None, digi
     return bound.withColumn("answer", told)
 
 
-def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns less their mean, over their population deviation plus 1e-6."""
-    moments = df.agg(*[F.avg(c).alias(f"mean_{c}") for c in columns], *[F.stddev_pop(c).alias(f"dev_{c}") for c in columns])
-    return df.crossJoin(F.broadcast(moments)).select(*[c for c in df.columns if c not in columns], *[((F.col(c) - F.col(f"mean_{c}")) / (F.col(f"dev_{c}") + 1e-6)).alias(c) for c in columns])  # one row
+def standardised(df: DataFrame, columns: list[str], centre=F.avg, least: float = 1e-6) -> DataFrame:
+    """The columns less their mean (or another ``centre``, such as ``F.median``), over their population deviation plus ``least``."""
+    moments = df.agg(*[centre(c).alias(f"mean_{c}") for c in columns], *[F.stddev_pop(c).alias(f"dev_{c}") for c in columns])
+    return df.crossJoin(F.broadcast(moments)).select(*[c for c in df.columns if c not in columns], *[((F.col(c) - F.col(f"mean_{c}")) / (F.col(f"dev_{c}") + least)).alias(c) for c in columns])  # one row
 
 
 def accuracy_and_f1(df: DataFrame, actual: str, predicted: str) -> DataFrame:

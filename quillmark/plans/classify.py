@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import keywords, text
 from quillmark.operators import classifier as lifecycle
-from quillmark.operators import lexical, model
+from quillmark.operators import lexical, model, reports
 from quillmark.operators import predict as classifier
 from quillmark.plans.catalogue import W, query
 from quillmark.session import scratch
@@ -119,6 +119,22 @@ def fit_to_answer(spark, sf):
     return told.select("doc_id", "category", "confidence", "method", "needs_review", "certainty")
 
 
+@query(f"select doc_id, category, confidence, 3 as n from ({_PREDICT})")
+def prediction_subset(spark, sf):
+    part = lambda a, b: F.array(a, b, 1 - a - b)
+    lexical_scores = part(F.col("n_chars") % 10 / 20, F.col("doc_id") % 7 / 14)
+    semantic = F.when(F.col("doc_id") % 5 != 0, part(F.col("doc_id") % 4 / 8, F.col("doc_id") % 3 / 6))
+    ads = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 90).alias("title"), F.lit("").alias("description"), F.col("source").alias("advertiser"), F.col("source").alias("domain"), lexical_scores.alias("lexical"), semantic.alias("semantic"))
+    told = classifier.predict_many(ads, NAMES, _memory(spark, sf), [], digits=9)
+    return reports.prediction_subset(told, "doc_id").select("doc_id", "category", "confidence", F.size("alternatives").alias("n"))
+
+
+@query("select l_orderkey, l_linenumber, round((l_quantity - (select median(l_quantity) from lineitem)) / ((select stddev_pop(l_quantity) from lineitem) + 1e-3), 6) as quantity from lineitem")
+def standardise_by_median(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("quantity"))
+    return classifier.standardised(rows, ["quantity"], F.median, 1e-3).withColumn("quantity", F.round("quantity", 6))
+
+
 _GUESSES = "(select label % 3 as a, (vec_id % 7 % 3)::int as p from embeddings)"
 
 

@@ -100,6 +100,45 @@ def intake_stream(spark, sf):
     return held.read().select(*_SEEN)
 
 
+_SHOWN = f"(select *, case when id % 4 = 0 then '' else 'https://img/' || id end as image_url, domain || '-' || (id % 13) as kind from {_LIB})"
+
+
+def _shown(spark, sf):
+    return _library(spark, sf).withColumns({"image_url": F.when(F.col("id") % 4 == 0, "").otherwise(F.concat(F.lit("https://img/"), F.col("id").cast("string"))), "category": F.concat("domain", F.lit("-"), (F.col("id") % 13).cast("string"))})
+
+
+@query(f"select id, kind as category, last_seen from (select *, row_number() over (partition by kind order by last_seen desc, times_seen desc, id desc) as n from {_SHOWN} where image_url <> '') where n = 1 order by kind = 'en.example-1', last_seen desc, times_seen desc, id limit 8")
+def showcase(spark, sf):
+    return reports.showcase(_shown(spark, sf), "en.example-1").select("id", "category", "last_seen")
+
+
+@query(f"select id, image_url <> '' as has_image from {_SHOWN}")
+def has_image(spark, sf):
+    return _shown(spark, sf).select("id", reports.has_image(F.col("image_url")).alias("has_image"))
+
+
+@query(f"select count(*) filter (where length(trim(regexp_replace(title, '[\\s\\p{{Z}}]+', ' ', 'g'))) > 2) as recognised, count(*) filter (where confidence >= 0.5) as categorised, count(*) filter (where confidence < 0.5) as uncertain from {_LIB}")
+def scan_counters(spark, sf):
+    return reports.scan_counters(_library(spark, sf).select(F.col("title").alias("headline"), F.col("confidence").alias("certainty")))
+
+
+@query(f"select id, strftime(first_seen::timestamp, '%d %b %Y') as day, '' as none from {_LIB}")
+def day_labels(spark, sf):
+    return _library(spark, sf).select("id", reports.day_label(F.col("first_seen")).alias("day"), reports.day_label(F.col("title")).alias("none"))
+
+
+@query(f"select id, domain = 'en.example' and (advertiser = '' or contains('enexample', lower(advertiser))) as listing from {_LIB}")
+def network_listings(spark, sf):
+    return _library(spark, sf).select("id", reports.network_listing(F.col("advertiser"), F.col("domain"), ["en.example"]).alias("listing"))
+
+
+@query("with o as (select o_orderkey, o_totalprice, row_number() over (order by o_orderdate desc, o_totalprice desc, o_orderkey) - 1 as k from orders) select o_orderkey, o_totalprice from o where k // 24 = (select max(k) // 24 from o)")
+def last_page(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    pages = reports.Pages(rows, [F.desc("o_orderdate"), F.desc("o_totalprice"), F.col("o_orderkey")])
+    return pages.page(pages.pages).select("o_orderkey", "o_totalprice")
+
+
 _RUNS = """(select run, min(t) as started_at, max(case when found is not null or error is not null then t end) as finished_at, coalesce(max(found), 0) as ads_found, coalesce(max(n), 0) as new_ads, max(error) as log
 from (select event_id // 4 as run, ts as t, case when event_id % 4 = 3 and event_type <> 'view' then user_id % 3 end as found, case when event_id % 4 = 3 then 1 end as n, case when event_id % 4 = 3 and event_type = 'error' then 'lost' end as error from events) group by 1)"""
 _STATUS = "case when finished_at is null then 'running' when log is not null or ads_found = 0 then 'failed' else 'success' end"

@@ -36,9 +36,13 @@ def cards(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(found).alias("place", "title"))
 
 
-def data_url(c: Column) -> Column:
-    """The bytes of a base64 data URL; null if it isn't one."""
-    return F.try_to_binary(F.try_element_at(F.split(c, ",", 2), F.lit(2)), F.lit("base64"))
+def data_url(c: Column, most: int | None = None) -> Column:
+    """The bytes of a base64 data URL; null if it isn't one or has more than ``most`` bytes."""
+    held = F.try_to_binary(F.try_element_at(F.split(c, ",", 2), F.lit(2)), F.lit("base64"))
+    if most is None:
+        return held
+    # four characters hold three bytes: a longer one isn't decoded
+    return F.transform(F.array(F.when(F.length(c) <= 4 * (most + 3) / 3 + 200, held)), lambda b: F.when(F.octet_length(b) <= most, b))[0]
 
 
 def write_report(df: DataFrame, path: str) -> None:

@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.functions import keywords, text, urls
-from quillmark.operators import library, pages, predict, spatial
-from quillmark.sources import creatives
+from quillmark.operators import library, pages, predict, reports, spatial
+from quillmark.sources import creatives, readers
 
 DAY = lambda d: datetime.datetime(2024, 1, d)
 ADS = "id long, title string, description string, advertiser string, domain string, lexical array<double>, semantic array<double>"
@@ -46,6 +46,31 @@ def test_a_lexicon_as_a_table_finds_the_same(spark, monkeypatch, limit):
     assert keywords.table_hits(docs.limit(0), "id", "text", keywords.lexicon_table(spark, lexicon)).collect() == []
 
 
+def test_pages_of_an_ordering(spark):
+    rows = spark.range(1000).select((F.col("id") * 37 % 11).alias("a"), "id")
+    pages = reports.Pages(rows, [F.desc("a"), F.col("id")], 24, 16)
+    expected = sorted(((k * 37 % 11, k) for k in range(1000)), key=lambda r: (-r[0], r[1]))
+    assert pages.pages == 42
+    for n in (1, 2, 20, 42, 99, -3):
+        at = min(max(n, 1), 42) - 1
+        assert [tuple(r) for r in pages.page(n).collect()] == expected[at * 24 : at * 24 + 24]
+    assert len(pages.parts_of(42)[0]) == 1
+    assert reports.Pages(rows.limit(0), [F.col("id")]).page(1).count() == 0
+
+
+def test_small_reports(spark):
+    import base64
+
+    assert [one(spark, v, "string", reports.day_label) for v in ("2024-01-02T03:04:05", "x", None, "")] == ["02 Jan 2024", "", "", ""]
+    url = "data:image/png;base64," + base64.b64encode(b"x" * 100).decode()
+    read = lambda v, most=None: one(spark, v, "string", lambda c: readers.data_url(c, most))
+    assert read(url) == read(url, 100) == b"x" * 100 and read(url, 99) is None and read(url, 10) is None and read("no", 10) is None and read(None, 10) is None
+    listing = lambda name: one(spark, name, "string", lambda c: reports.network_listing(c, F.lit("search.net.com"), ["search.net.com"]))
+    assert [listing(n) for n in ("", None, "Search Net", "Shop | Search Ads", "Shoe Shop")] == [True, True, True, False, False]
+    counted = reports.scan_counters(spark.createDataFrame([("ab ", 0.5), ("abc", 0.8), (None, None), ("long", 0.49)], "headline string, certainty double")).first()
+    assert tuple(counted) == (2, 2, 2)
+
+
 def test_predict(spark):
     ads = spark.createDataFrame([(1, "", None, "", "", [0.2, 0.5, 0.3], None), (2, "home", "", "b", "b.com", [0.4, 0.4, 0.2], [0.4, 0.4, 0.2]), (3, "plain", "", "", "c.com", [0.34, 0.33, 0.33], None), (4, "plain", "", "", "d.com", [0.0, 0.1, 0.9], None)], ADS)
     memory = spark.createDataFrame([("d.com", [1.0, 0.0, 0.0])], "memory_key string, remembered array<double>")
