@@ -84,6 +84,12 @@ def char_grams(c: Column, low: int = 2, high: int = 5) -> Column:
     return F.flatten(F.transform(padded, lambda w: F.flatten(F.transform(F.sequence(F.lit(low), F.least(F.lit(high), F.length(w))), lambda n: of_size(w, n)))))
 
 
+def marked_terms(terms: Column) -> Column:
+    """(term, first): the terms sorted, the first of each marked, so that rows with a term are counted without grouping by row."""
+    marked = lambda s: F.transform(s, lambda t, i: F.struct(t.alias("term"), ((i == 0) | (t != F.get(s, i - 1))).alias("first")))
+    return F.transform(F.array(F.array_sort(terms)), marked)[0]
+
+
 #: What ``\\d``, ``\\s`` and ``\\w`` stand for in any script, as parts of a class.
 _CLASSES = {"d": r"\p{Nd}", "s": r"\s\x1c-\x1f\x85\p{Z}", "w": WORD_CHAR[1:-1]}
 

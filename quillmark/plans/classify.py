@@ -173,8 +173,8 @@ _WORDS = f"regexp_extract_all(lower(text), '{W}[\\p{{L}}\\p{{N}}_''®]*{W}')"
 @query(f"""with t as (select doc_id, {_WORDS} as t from documents), g as (select doc_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) as term from t)
 select term, count(*) as n, count(distinct doc_id) as documents from g group by 1""")
 def word_grams(spark, sf):
-    each = table(spark, sf, "documents").select("doc_id", F.explode(text.word_grams(F.col("text"))).alias("term"))
-    return each.groupBy("term", "doc_id").agg(F.count("*").alias("k")).groupBy("term").agg(F.sum("k").alias("n"), F.count("*").alias("documents"))
+    each = table(spark, sf, "documents").select(F.explode(text.marked_terms(text.word_grams(F.col("text")))).alias("e")).select("e.*")
+    return each.groupBy("term").agg(F.count("*").alias("n"), F.count_if("first").alias("documents"))
 
 
 @query("""with w as (select conv_id, turn, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '[\\s\\p{Z}]+'), lambda x: x <> '')) || ' ' as w from conversations),
