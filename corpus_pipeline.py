@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it
 kept and returns the columns of documents; the last returns the packing plan.
+Each sets its session to hand Python few rows at once, so that four stages in a
+row fit the executors' memory; plans run after a stage returns, so that stays set.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmark.llm import lines, neardup, packing, toxicity
+from quillmark.llm.batches import few_at_once
 from quillmark.llm.store import materialize, table
 
 #: Models and tokenizers can't be written in SQL; the tests hold each stage against fixtures and plain versions.
@@ -17,21 +20,25 @@ ORACLE_SQL = None
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, fitted on the labels, scores below one half."""
+    few_at_once(spark)
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the chunks that occur earlier in the corpus."""
+    few_at_once(spark)
     return lines.dedup(docs)
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
+    few_at_once(spark)
     return neardup.keep_one(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the remaining documents with their places in sequences."""
+    few_at_once(spark)
     return packing.pack(docs)
 
 

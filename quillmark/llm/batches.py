@@ -7,8 +7,10 @@ import gc
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 ROWS = 256
+ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def small(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
@@ -20,6 +22,18 @@ def small(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.Re
     release()
 
 
+def few_at_once(spark: SparkSession) -> None:
+    """From here on this session hands Python at most ROWS rows at once.
+
+    Spark's default of 10,000 rows is tens of MB of texts or shingle sets for
+    each task, held by the executor and by its Python worker at the same time.
+    A smaller number that the session has stays.
+    """
+    now = int(spark.conf.get(ROWS_SETTING))
+    if not 0 < now <= ROWS:
+        spark.conf.set(ROWS_SETTING, str(ROWS))
+
+
 def release() -> None:
     """Hands memory that a task no longer uses back to the system: its worker process lives on and serves other stages."""
     gc.collect()

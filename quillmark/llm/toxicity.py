@@ -15,12 +15,12 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -148,17 +148,17 @@ def fit_weights(texts: list[str], toxic: np.ndarray, share: float, settings: Set
     words = sorted(frequent, key=lambda w: (-separates(w), w))[: settings.words]
     index = {w: k for k, w in enumerate(words)}
     del with_word, frequent
-    owner, row, column = [], [], []
+    owner, row, column = array("i"), array("i"), array("i")
     for k, text in enumerate(texts):
         for sentence in SENTENCE.findall(text.lower()):
             known = [index[w] for w in features(set(WORD.findall(sentence))) if w in index]
             if known:
-                row += [len(owner)] * len(known)
-                column += known
+                row.extend([len(owner)] * len(known))
+                column.extend(known)
                 owner.append(k)
     if not owner:
         return Model(-10.0, {})
-    owner, row, column = np.array(owner), np.array(row), np.array(column)
+    owner, row, column = np.array(owner, np.intp), np.array(row, np.intp), np.array(column, np.intp)
     n, sentences_n = len(texts), len(owner)
     weight = np.where(toxic == 1, share / totals[1], (1 - share) / totals[0])
     theta = np.zeros(len(words) + 1)
@@ -181,18 +181,16 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     """A model from the labelled rows that aren't held out; with none of either label, one that scores 0."""
     rows, share = training_rows(docs, labels, settings)
 
-    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
-        sample = pd.concat(parts) if parts else pd.DataFrame({"text": [], "toxic": []})
-        sample = sample.sort_values(["text", "toxic"], kind="stable")
-        toxic = sample["toxic"].to_numpy().astype(np.int64)
-        model = fit_weights(sample["text"].tolist(), toxic, share, settings) if 0 < toxic.sum() < len(toxic) else Model(-10.0, {})
-        del parts, sample, toxic
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = sorted((text, label) for b in batches for text, label in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True))
+        toxic = np.array([label for _, label in sample], np.int64)
+        model = fit_weights([text for text, _ in sample], toxic, share, settings) if 0 < toxic.sum() < len(toxic) else Model(-10.0, {})
+        del sample, toxic
         release()
-        yield pd.DataFrame({"word": ["", *model.weights], "weight": [model.bias, *model.weights.values()]})
+        yield pa.RecordBatch.from_arrays([pa.array(["", *model.weights], pa.string()), pa.array([model.bias, *model.weights.values()], pa.float64())], ["word", "weight"])
 
     # one task by design: the sample is bounded
-    fitted = materialize(rows.coalesce(1).mapInPandas(train, "word string, weight double"), "toxicity-model").collect()
+    fitted = materialize(rows.coalesce(1).mapInArrow(train, "word string, weight double"), "toxicity-model").collect()
     weights = {r["word"]: r["weight"] for r in fitted}
     return Model(weights.pop("", -10.0), weights)
 
