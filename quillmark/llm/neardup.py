@@ -17,8 +17,10 @@ Steps:
    text is compared with the root, of another component, with which it shares
    most collections, two at least; what is confirmed on full shingle sets joins
    components, and collections that lie in one component are left out from then on;
-5. the collections left are paired into keys; what keys of several components
-   connect forms families; a family is dealt into blocks of bounded size, and
+5. what shares two of the collections left forms families: rounds as before, but
+   without looking at shingles, tie each text to a root; only collections that
+   still hold several families are then paired into keys, which tie what is left;
+   a family is dealt into blocks of bounded size, and
    every two blocks are compared in a task of their own, which looks at the pairs
    that share a key and yields only links between components;
 6. components of all confirmed links.
@@ -156,13 +158,29 @@ def _round(table: DataFrame, turn: int, percent: int) -> DataFrame:
     return nearest.select(*_pair(F.col("sid"), F.col("m.root"))).distinct()
 
 
-def _families(table: DataFrame) -> DataFrame:
-    """(sid, family): what keys of several components connect; a key is a pair of a text's collections."""
+def _families(table: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(sid, family): what shares two collections, each of several components, directly or by others.
+
+    Rounds first tie what is near, at most one row for each text and collection
+    of its own.  Two texts of different families that share two collections keep
+    both, since these hold several families, so the keys lose no tie.
+    """
+    own = table.drop("component").withColumn("component", F.col("sid"))
+    ties = None
+    for turn in range(rounds):
+        more = materialize(_round(own if ties is None else left, turn, 0).withColumnsRenamed({"a": "sid", "b": "root"}), "ties")
+        ties = more if ties is None else ties.union(more)
+        left = materialize(_unsettled(_placed(own, ties.withColumnsRenamed({"sid": "a", "root": "b"}))), "untied")
+    rest = _key_ties(own if ties is None else left)
+    return components(rest if ties is None else ties.union(rest), "sid", "root").select(F.col("node").alias("sid"), F.col("component").alias("family"))
+
+
+def _key_ties(table: DataFrame) -> DataFrame:
+    """(sid, root): each text with the smallest of every key of several components; a key is a pair of a text's collections."""
     pairs = F.expr("flatten(transform(array_sort(own), (x, i) -> transform(slice(array_sort(own), i + 2, size(own)), y -> xxhash64(x, y))))")
     keys = materialize(table.select("sid", "component", F.explode(pairs).alias("key")), "keys")
     held = keys.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("sid").alias("root")).where("low <> high").select("key", "root")
-    ties = keys.join(held, "key").select("sid", "root").distinct()
-    return components(ties, "sid", "root").select(F.col("node").alias("sid"), F.col("component").alias("family"))
+    return keys.join(held, "key").select("sid", "root").distinct()
 
 
 def classes(sketches: DataFrame, sets: DataFrame, table: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
