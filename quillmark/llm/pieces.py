@@ -7,7 +7,8 @@ one boundary, the ids before it are committed.
 
 Where no piece holds a word mark after another character, a word mark that
 follows another character is always such a boundary, so words are remembered
-with their ids.
+with their ids.  So is each side of a line break, where no piece holds one beside
+another character.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,11 @@ UNIT = 2.0**-24
 _loaded: dict[str, "Pieces"] = {}
 
 
+def _packed(node: dict) -> dict[str, tuple[dict | None, int, int]]:
+    """A trie's node with what is looked up together held together."""
+    return {char: (_packed(below) if len(below) > ("" in below) else None, *below.get("", (-1, 0))) for char, below in node.items() if char}
+
+
 class Pieces:
     """The pieces of a model file with log-probabilities.
 
@@ -55,8 +62,13 @@ class Pieces:
                     node = node.setdefault(char, {})
                 node[""] = (i, round(score / UNIT))
                 self.longest = max(self.longest, len(text))
+        #: For each character that goes on: what may follow it (or None), the piece that ends there (or -1) and its score.
+        self.begin = _packed(self.trie)
+        self.alone = {char for char, (_, piece, _) in self.begin.items() if piece >= 0}
         self.byte_score = round((min(s for s in scores if s > -math.inf) - 10.0) / UNIT)
         self.words_apart = not any(MARK in t.lstrip(MARK) for i, t in enumerate(texts) if i not in special)
+        lines_apart = not any("\n" in t and len(t) > 1 for i, t in enumerate(texts) if i not in special)
+        self.word = LINE_WORD if lines_apart else WORD
         self.known: dict[str, bytes] = {}
 
     @classmethod
@@ -78,52 +90,66 @@ class Pieces:
 
     def stream(self, chars: str) -> Iterator[list[int]]:
         """Runs of ids, each as soon as it is certain."""
-        scores = {0: 0}
-        back: dict[int, tuple[int, list[int]]] = {}
-        live: list[tuple[int, dict]] = []
-        committed = 0
+        begin, alone, byte_score, n = self.begin, self.alone, self.byte_score, len(chars)
+        best: dict[int, int] = {0: 0}  # scores of boundaries from here to where pieces reach
+        back: dict[int, tuple[int, int | list[int]]] = {}
+        committed = reach = 0
         wait = 4 * self.longest
-        for end, char in enumerate(chars, 1):
-            best, how, going = -math.inf, None, []
-            for start, node in [*live, (end - 1, self.trie)]:
-                node = node.get(char)
-                if node is None:
-                    continue
-                if "" in node and scores[start] + node[""][1] > best:
-                    best, how = scores[start] + node[""][1], (start, [node[""][0]])
-                if len(node) > ("" in node):
-                    going.append((start, node))
-            spelled = [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
-            if scores[end - 1] + self.byte_score * len(spelled) > best:
-                best, how = scores[end - 1] + self.byte_score * len(spelled), (end - 1, spelled)
-            scores[end], back[end], live = best, how, going
-            scores.pop(end - self.longest - 1, None)
-            if not live or end - committed >= wait:
-                heads = {end, *(start for start, _ in live)}
-                while len(heads) > 1:  # the boundary where all surviving paths meet
-                    last = max(heads)
-                    heads.remove(last)
-                    heads.add(back[last][0] if last > committed else committed)
-                meeting = heads.pop()
-                wait = 4 * self.longest if meeting > committed else 2 * (end - committed)
+        for start in range(n):
+            # pieces from all earlier starts are known, so this boundary is settled
+            if start > committed and (reach <= start or start - committed >= wait):
+                meeting = start if reach <= start else self._meeting(back, committed, start, best)
+                wait = 4 * self.longest if meeting > committed else 2 * (start - committed)
                 if meeting > committed:
                     yield self._path(back, committed, meeting)
                     for position in range(committed + 1, meeting + 1):
                         del back[position]
                     committed = meeting
-        if committed < len(chars):
-            yield self._path(back, committed, len(chars))
+            score, node, end = best.pop(start), begin, start
+            while node is not None and end < n:
+                found = node.get(chars[end])
+                if found is None:
+                    break
+                node, piece, weight = found
+                end += 1
+                if piece >= 0 and (end not in best or score + weight > best[end]):
+                    best[end], back[end] = score + weight, (start, piece)
+                    if end > reach:
+                        reach = end
+            # a character that is a piece is never spelled: bytes score less than any piece
+            if (char := chars[start]) not in alone:
+                spelled = [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
+                end = start + 1
+                if end not in best or score + byte_score * len(spelled) > best[end]:
+                    best[end], back[end] = score + byte_score * len(spelled), (start, spelled)
+                    reach = max(reach, end)
+        if committed < n:
+            yield self._path(back, committed, n)
+
+    @staticmethod
+    def _meeting(back: dict, committed: int, start: int, best: dict[int, int]) -> int:
+        """The boundary where all surviving paths meet: those to ``start`` and those to each boundary that pieces reach behind it."""
+        heads = {start, *(back[end][0] for end in best if end > start)}
+        while len(heads) > 1:
+            last = max(heads)
+            heads.remove(last)
+            heads.add(back[last][0] if last > committed else committed)
+        return heads.pop()
 
     @staticmethod
     def _path(back: dict, start: int, end: int) -> list[int]:
         runs = []
         while end > start:
             end, ids = back[end]
-            runs.append(ids)
-        return [i for ids in reversed(runs) for i in ids]
+            if isinstance(ids, int):
+                runs.append(ids)
+            else:
+                runs += reversed(ids)
+        runs.reverse()
+        return runs
 
     def _word(self, word: str) -> bytes:
-        ids = np.array([i for run in self.stream(word) for i in run], "<u4").tobytes()
+        ids = array("I", [i for run in self.stream(word) for i in run]).tobytes()
         if len(word) <= LONGEST_WORD:
             if len(self.known) >= MEMORY:
                 self.known.clear()
@@ -138,7 +164,7 @@ class Pieces:
         if not self.words_apart:
             return np.array([i for run in self.stream(marked) for i in run], "<u4").tobytes()
         known = self.known
-        words = WORD.findall(marked)
+        words = self.word.findall(marked)
         return b"".join([known.get(w) or self._word(w) for w in words])
 
     def decode(self, ids: list[int]) -> str:
@@ -149,6 +175,8 @@ class Pieces:
 
 #: A run of word marks with what follows it.
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+#: The same up to a line break, or a line break.
+LINE_WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
 
 def pieces(path: str | None = None) -> Pieces:
