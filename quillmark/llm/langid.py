@@ -20,6 +20,7 @@ holds a number for each language and piece, whatever the size of the corpus.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,6 +48,8 @@ COUNTED, REMEMBERED = 150_000, 700_000
 PASS_CHARS = 1 << 17
 
 _loaded: dict[str, "Vocabulary"] = {}
+#: The scorer of the model that this Python worker read with last.
+_scorers: dict[str, "Scorer"] = {}
 
 
 @dataclass
@@ -320,6 +323,21 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", settings: Setti
     return Model(languages, np.log(n / n.sum()), np.log(probs))
 
 
+class Rows:
+    """Rows of numbers that are appended to; their room doubles."""
+
+    def __init__(self, columns: int):
+        self.held, self.n = np.empty((1024, columns)), 0
+
+    def append(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.held):
+            room = np.empty((2 * (self.n + len(more)), self.held.shape[1]))
+            room[: self.n] = self.held[: self.n]
+            self.held = room
+        self.held[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
 class Scorer:
     """Likelihoods of texts; remembers those of units and of their parts."""
 
@@ -330,16 +348,17 @@ class Scorer:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.known_parts: dict[str, int] = {}
-        self.rows = self.part_rows = np.empty((0, self.log_probs.shape[1]))
+        self.rows, self.part_rows = Rows(self.log_probs.shape[1]), Rows(self.log_probs.shape[1])
 
     def _learn(self, units: list[str]) -> np.ndarray:
         """Log-likelihoods of units: the sums over their parts, of which only new ones are computed."""
         parts, owner = self.words.parts(units)
         new = list(set(parts).difference(self.known_parts))
         found = [self.words.lattice(new[a:b]).likelihoods(self.log_probs, b - a) for a, b in _passes(new)]
-        self.known_parts.update((p, len(self.part_rows) + k) for k, p in enumerate(new))
-        self.part_rows = np.concatenate([self.part_rows, *found])
-        rows = self.part_rows[np.fromiter(map(self.known_parts.__getitem__, parts), np.int64, len(parts))]
+        self.known_parts.update(zip(new, range(self.part_rows.n, self.part_rows.n + len(new))))
+        for each in found:
+            self.part_rows.append(each)
+        rows = self.part_rows.held[np.fromiter(map(self.known_parts.__getitem__, parts), np.int64, len(parts))]
         for part in new:
             if len(part) > LONGEST_UNIT:
                 del self.known_parts[part]
@@ -351,16 +370,24 @@ class Scorer:
             self.forget()
         cut = [self.words.units(t) for t in texts]
         new = list(set().union(*cut).difference(self.known)) if cut else []
-        rows = [self._learn(new)] if new else []
-        self.known.update((u, len(self.rows) + k) for k, u in enumerate(new))
-        self.rows = np.concatenate([self.rows, *rows])
-        out = np.stack([self.rows[np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))].sum(axis=0) for units in cut])
+        if new:
+            self.known.update(zip(new, range(self.rows.n, self.rows.n + len(new))))
+            self.rows.append(self._learn(new))
+        out = np.stack([self.rows.held[np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))].sum(axis=0) for units in cut])
         for unit in new:
             if len(unit) > LONGEST_UNIT:
                 del self.known[unit]
         return out
 
 
+def scorer(token: str, words: Vocabulary, log_probs: np.ndarray) -> Scorer:
+    """The scorer of the model of this token; a worker's tasks share it, so each unit is learnt once by a worker, not by every task."""
+    if token not in _scorers:
+        _scorers.clear()
+        _scorers[token] = Scorer(words, log_probs)
+    return _scorers[token]
+
+
 def predict(docs: DataFrame, model: Model, path: str | None = None) -> DataFrame:
     """doc_id, lang_pred and score (the language's share of the likelihood, weighted by its share of the training texts) of every row.
 
@@ -371,21 +398,20 @@ def predict(docs: DataFrame, model: Model, path: str | None = None) -> DataFrame
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("read", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & F.lit(bool(model.languages)))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, token = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        scorer = Scorer(vocabulary(path), model.log_probs)
+        reader = scorer(token, vocabulary(path), model.log_probs)
         for batch in small(batches):
             read = np.array(batch["read"].to_pylist(), bool)
             names, scores = np.full(len(read), UNKNOWN, object), np.zeros(len(read))
             if read.any():
-                z = scorer.read(batch["text"].filter(batch["read"]).to_pylist()) + model.log_prior
+                z = reader.read(batch["text"].filter(batch["read"]).to_pylist()) + model.log_prior
                 best = z.argmax(axis=1)
                 names[read] = np.array(model.languages, object)[best]
                 scores[read] = 1 / np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(names.tolist(), pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
-        scorer.forget()
         release()
 
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
