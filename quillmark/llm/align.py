@@ -43,6 +43,8 @@ CUT, CUT_BLANKS = re.compile(r"(?<=\S)(?=[ \n]\S)"), re.compile(r"(?<=\S)(?= \S)
 UNEVEN = ("  ", " \n", "\n ", "\n\n", "\0")
 #: White space other than spaces and line breaks.
 ODD_SPACE = re.compile(r"[^\S \n]")
+#: A single space or line break, then visible characters at both ends.
+EVEN = re.compile(r"[ \n]\S(?:[^\0]*\S)?\Z")
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 _loaded: dict[tuple[str, str], "Tokenizers"] = {}
@@ -82,9 +84,45 @@ class Tokenizers:
         return spaced.replace(" ", "\0 ").replace("\n", "\0\n")[1:].split("\0")
 
     def ids(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Both tokenizers' ids of each part.  B adds a space: where a part has none, its token goes."""
+        """Both tokenizers' ids of each part."""
+        return list(map(self.a.encode_ordinary, parts)), self.b_ids(parts)
+
+    def b_ids(self, parts: list[str]) -> list[list[int]]:
+        """B's ids of each part.  B adds a space: where a part has none, its token goes."""
         b = self.b.encode([p[1:] if p[0] == " " else p for p in parts], num_threads=1)
-        return list(map(self.a.encode_ordinary, parts)), [x if p[0] == " " else x[1:] for p, x in zip(parts, b, strict=True)]
+        return [x if p[0] == " " else x[1:] for p, x in zip(parts, b, strict=True)]
+
+    def checked(self, parts: list[str]) -> tuple[np.ndarray, ...]:
+        """A's ids of all parts, B's, where each part ends in both and in bytes, and whether both spell it; parts that aren't spelled have none.
+
+        Parts between which neither tokenizer joins bytes are given to A as one
+        text; if its tokens don't spell each part, all are encoded one by one.
+        """
+        wanted = [p.encode() for p in parts]
+        sizes = np.fromiter(map(len, wanted), np.int64, len(wanted))
+        bounds = np.cumsum(sizes)
+        b_lists = self.b_ids(parts)
+        if len(parts) > 1 and all(map(EVEN.match, parts)):
+            a = np.array(self.a.encode_ordinary("".join(parts)), np.int64)
+            b = np.fromiter(chain.from_iterable(b_lists), np.int64)
+            b_bounds = np.cumsum(np.fromiter(map(len, b_lists), np.int64, len(b_lists)))
+            a_ends, b_ends = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
+            a_bounds = np.searchsorted(a_ends, bounds, "right")
+            if (b_bounds > 0).all() and (a_bounds > 0).all() and (a_ends[a_bounds - 1] == bounds).all() and (b_ends[b_bounds - 1] == bounds).all():
+                whole = b"".join(wanted)
+                if b"".join(map(self.a_bytes.__getitem__, a.tolist())) == whole == b"".join(map(self.b_bytes.__getitem__, b.tolist())):
+                    return a, b, a_bounds, b_bounds, bounds, np.ones(len(parts), bool)
+        a_lists = list(map(self.a.encode_ordinary, parts))
+        spell = lambda lists, of: [b"".join(map(of.__getitem__, x)) for x in lists]
+        intact = np.array([x == w == y for w, x, y in zip(wanted, spell(a_lists, self.a_bytes), spell(b_lists, self.b_bytes), strict=True)], bool)
+        if not intact.all():
+            a_lists = [x if ok else [] for x, ok in zip(a_lists, intact, strict=True)]
+            b_lists = [x if ok else [] for x, ok in zip(b_lists, intact, strict=True)]
+        a = np.fromiter(chain.from_iterable(a_lists), np.int64)
+        b = np.fromiter(chain.from_iterable(b_lists), np.int64)
+        a_bounds = np.cumsum([len(x) for x in a_lists], dtype=np.int64)
+        b_bounds = np.cumsum([len(x) for x in b_lists], dtype=np.int64)
+        return a, b, a_bounds, b_bounds, np.cumsum(np.where(intact, sizes, 0)), intact
 
 
 def tokenizers(ranks: str | None = None, model: str | None = None) -> Tokenizers:
@@ -188,18 +226,7 @@ class Aligner:
     def learn(self, parts: list[str]) -> np.ndarray:
         """Aligns parts that aren't known, all as one text, and returns the numbers they get."""
         both = self.both
-        a_lists, b_lists = both.ids(parts)
-        wanted = [p.encode() for p in parts]
-        spell = lambda lists, of: [b"".join(map(of.__getitem__, x)) for x in lists]
-        intact = np.array([x == w == y for w, x, y in zip(wanted, spell(a_lists, both.a_bytes), spell(b_lists, both.b_bytes), strict=True)], bool)
-        if not intact.all():
-            a_lists = [x if ok else [] for x, ok in zip(a_lists, intact, strict=True)]
-            b_lists = [x if ok else [] for x, ok in zip(b_lists, intact, strict=True)]
-        a = np.fromiter(chain.from_iterable(a_lists), np.int64)
-        b = np.fromiter(chain.from_iterable(b_lists), np.int64)
-        a_bounds = np.cumsum([len(x) for x in a_lists], dtype=np.int64)
-        b_bounds = np.cumsum([len(x) for x in b_lists], dtype=np.int64)
-        bounds = np.cumsum([len(w) if ok else 0 for w, ok in zip(wanted, intact, strict=True)], dtype=np.int64)
+        a, b, a_bounds, b_bounds, bounds, intact = both.checked(parts)
         found = overlaps(np.cumsum(both.a_length[a]), np.cumsum(both.b_length[b]))
         link_bounds = np.searchsorted(found.ends, bounds, "right")
         group_bounds = np.searchsorted(found.group_ends, bounds, "right")
@@ -230,9 +257,11 @@ class Aligner:
     def read(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """The parts of each text by number; None where it has no tokens."""
         cut = [self.both.parts(t) if t else [] for t in texts]
-        new = sorted(set(chain.from_iterable(cut)).difference(self.known))
-        if new:
-            self.known.update(zip(new, self.learn(new).tolist(), strict=True))
+        new: tuple[list[str], list[str]] = ([], [])
+        for part in sorted(set(chain.from_iterable(cut)).difference(self.known)):
+            new[EVEN.match(part) is None].append(part)
+        for parts in filter(None, new):
+            self.known.update(zip(parts, self.learn(parts).tolist(), strict=True))
         found: list[np.ndarray | None] = []
         for text, parts in zip(texts, cut, strict=True):
             numbers = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
