@@ -17,9 +17,11 @@ Steps:
    text is compared with the root, of another component, with which it shares
    most collections, two at least; what is confirmed on full shingle sets joins
    components, and collections that lie in one component are left out from then on;
-5. what shares two of the collections left forms families: rounds as before, but
-   without looking at shingles, tie each text to a root; only collections that
-   still hold several families are then paired into keys, which tie what is left;
+5. what shares two of the collections left forms families: rounds, without looking
+   at shingles, tie each text to all roots with which it shares two; a collection's
+   roots are of the families with the fewest and the most of its texts: a large family
+   meets each small one in many texts, of which one tie is enough; only collections
+   that still hold several families are then paired into keys, which tie what is left;
    a family is dealt into blocks of bounded size, and
    every two blocks are compared in a task of their own, which looks at the pairs
    that share a key and yields only links between components;
@@ -51,6 +53,9 @@ WIDTH = 4
 SHINGLE = 5
 PERCENT = 75
 ROUNDS = 2
+#: Rounds within families end when at most this many keys for each text are left, or after FAMILY_ROUNDS; all that are left are formed.
+FAMILY_ROUNDS = 6
+KEYS_EACH = 8
 #: A family's blocks hold about this many texts and shingles (8 bytes each).
 BLOCK_TEXTS = 1024
 BLOCK_SHINGLES = 2_000_000
@@ -158,21 +163,51 @@ def _round(table: DataFrame, turn: int, percent: int) -> DataFrame:
     return nearest.select(*_pair(F.col("sid"), F.col("m.root"))).distinct()
 
 
-def _families(table: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def _ties(each: DataFrame, turn: int) -> DataFrame:
+    """(a, b), both ways: families of which a text shares two collections with a root of the other's; a collection's roots are of the families with the fewest and the most of its texts."""
+    held = each.groupBy("c", "component").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(turn), "sid").alias("by"), "sid")).alias("r"))
+    root, by = F.struct("r.sid", "component"), F.struct("n", F.xxhash64(F.lit(turn), "component"))
+    roots = held.groupBy("c").agg(F.array(F.min_by(root, by), F.max_by(root, by)).alias("r")).select("c", F.explode(F.array_distinct("r")).alias("r"))
+    roots = roots.select("c", F.col("r.sid").alias("root"), F.col("r.component").alias("root_component"))
+    met = each.join(roots, "c").where("component <> root_component").groupBy("sid", "component", "root", "root_component").agg(F.count("*").alias("n"))
+    found = met.where("n > 1").select(F.col("component").alias("a"), F.col("root_component").alias("b")).distinct()
+    return found.union(found.select("b", "a"))
+
+
+def _untied(each: DataFrame, ties: DataFrame) -> DataFrame:
+    """The rows (sid, component, c) of texts that hold two collections, or more, of several families each.
+
+    A family takes the least of what it is tied to, and once more what that
+    takes; what is still apart then meets again in the next round.
+    """
+    least = materialize(ties.groupBy("a").agg(F.least("a", F.min("b")).alias("b")), "least")
+    new = least.join(least.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select(F.col("a").alias("component"), F.col("c").alias("new"))
+    placed = each.join(new, "component", "left").select("sid", F.coalesce("new", "component").alias("component"), "c")
+    several = placed.groupBy("c").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("c")
+    open_ = materialize(placed.join(several, "c").select("sid", "component", "c"), "open")
+    two = open_.groupBy("sid").agg(F.count("*").alias("n")).where("n > 1").select("sid")
+    return materialize(open_.join(two, "sid", "left_semi"), "untied")
+
+
+def _families(table: DataFrame, rounds: int = FAMILY_ROUNDS) -> DataFrame:
     """(sid, family): what shares two collections, each of several components, directly or by others.
 
-    Rounds first tie what is near, at most one row for each text and collection
+    Rounds first tie what is near, at most two rows for each text and collection
     of its own.  Two texts of different families that share two collections keep
     both, since these hold several families, so the keys lose no tie.
     """
-    own = table.drop("component").withColumn("component", F.col("sid"))
-    ties = None
+    each, ties = materialize(table.select("sid", F.col("sid").alias("component"), F.explode("own").alias("c")), "each"), None
+    texts = table.count()
     for turn in range(rounds):
-        more = materialize(_round(own if ties is None else left, turn, 0).withColumnsRenamed({"a": "sid", "b": "root"}), "ties")
+        more = materialize(_ties(each, turn), "ties")
         ties = more if ties is None else ties.union(more)
-        left = materialize(_unsettled(_placed(own, ties.withColumnsRenamed({"sid": "a", "root": "b"}))), "untied")
-    rest = _key_ties(own if ties is None else left)
-    return components(rest if ties is None else ties.union(rest), "sid", "root").select(F.col("node").alias("sid"), F.col("component").alias("family"))
+        each = _untied(each, more)
+        held = each.groupBy("sid").agg(F.count("*").alias("n"))
+        if held.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1)), F.lit(0))).first()[0] <= 2 * KEYS_EACH * texts:
+            break
+    left = each.groupBy("sid", "component").agg(F.collect_list("c").alias("own"))
+    rest = _key_ties(left).select(F.col("sid").alias("a"), F.col("root").alias("b"))
+    return components(rest if ties is None else rest.union(ties)).select(F.col("node").alias("sid"), F.col("component").alias("family"))
 
 
 def _key_ties(table: DataFrame) -> DataFrame:

@@ -52,3 +52,18 @@ def test_a_large_group_leaves_no_keys(spark, monkeypatch):
     families = neardup._families(table)
     assert families.agg(F.count("*"), F.countDistinct("family")).first() == (300, 1)
     assert left == [0]
+
+
+def test_many_small_families_beside_a_large_one_leave_few_keys(spark, monkeypatch):
+    left = []
+    monkeypatch.setattr(neardup, "_key_ties", lambda table, ties=neardup._key_ties: left.extend(len(r.own) * (len(r.own) - 1) // 2 for r in table.collect()) or ties(table))
+    rng = random.Random(2)
+    rows = [(k, 10, k, sorted(rng.sample(range(36), 24))) for k in range(150)]
+    # each of these meets some texts of the large family in two collections
+    rows += [(1000 + k, 10, 1000 + k, rng.sample(rows[k][3], 2)) for k in range(150)]
+    table = spark.createDataFrame(rows, "sid long, n_shingles long, component long, own array<long>")
+    found = {}
+    for r in neardup._families(table).collect():
+        found.setdefault(r.family, set()).add(r.sid)
+    assert {frozenset(x) for x in found.values()} == shares_two([(s, c, own) for s, _, c, own in rows])
+    assert sum(left) <= 8 * len(rows)
