@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import boxes, keywords, text, urls
-from quillmark.operators import library, model, reports, spatial
+from quillmark.operators import library, model, reports, spatial, tfidf
 from quillmark.sources.readers import cards, links, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -284,13 +284,13 @@ def tfidf_char(spark, sf):
 @query()
 def tfidf_word_documents(spark, sf):
     rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return model.tfidf(rows, "id", text.tokens(F.col("text"))).select("id", "term", F.round("weight", 6).alias("weight"))
+    return tfidf.tfidf(rows, "id", text.tokens(F.col("text"))).select("id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query()
 def tfidf_char_documents(spark, sf):
-    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
-    return model.tfidf(rows, "id", text.trigrams(F.col("text"))).select("id", "term", F.round("weight", 6).alias("weight"))
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return tfidf.tfidf_trigrams(rows, "id", F.lower("text")).select("id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query("""with c as (select label, i, avg(embedding[i]::double) as m from embeddings, range(1, 65) r(i) group by 1, 2), n as (select label, sqrt(sum(m * m)) as l from c group by 1)
