@@ -66,16 +66,20 @@ def predict_many(ads: DataFrame, lexicon: dict[str, list[str]], memory: DataFram
     lexicon's categories.  The memory is joined by the advertiser's key.
     """
     known = memory.select("memory_key", "remembered")
-    keyed = ads.withColumn("memory_key", text.advertiser_key(F.col("domain"), F.col("advertiser"), networks))
+    keyed = read(ads, lexicon).withColumn("memory_key", text.advertiser_key(F.col("domain"), F.col("advertiser"), networks))
     return answered(keyed.join(known, "memory_key", "left"), lexicon, certainty, digits).select(*ads.columns, "answer.*")
 
 
-def answered(ads: DataFrame, lexicon: dict[str, list[str]], certainty=None, digits: int = 3) -> DataFrame:
-    """``ads`` with ``answer``, from their text, ``lexical``, ``semantic`` and ``remembered`` scores."""
+def read(ads: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
+    """``ads`` with what an answer takes from their text: ``said``, empty if there is none, and ``hits``; so joins needn't carry texts."""
     body = text.build_text(F.col("title"), F.col("description"), F.col("advertiser"), F.col("domain"))
-    bound = ads.withColumn("body", body).withColumn("hits", keywords.keyword_hits(F.col("body"), lexicon))
-    told = answer(F.col("body"), F.col("lexical"), F.col("semantic"), F.col("hits"), F.col("remembered"), list(lexicon), certainty, digits=digits)
-    return bound.withColumn("answer", told)
+    return ads.withColumn("body", body).withColumns({"said": F.substring("body", 1, 1), "hits": keywords.keyword_hits(F.col("body"), lexicon)}).drop("body")
+
+
+def answered(ads: DataFrame, lexicon: dict[str, list[str]], certainty=None, digits: int = 3) -> DataFrame:
+    """``ads`` with ``answer``, from what ``read`` found and their ``lexical``, ``semantic`` and ``remembered`` scores."""
+    told = answer(F.col("said"), F.col("lexical"), F.col("semantic"), F.col("hits"), F.col("remembered"), list(lexicon), certainty, digits=digits)
+    return ads.withColumn("answer", told)
 
 
 def standardised(df: DataFrame, columns: list[str], centre=F.avg, least: float = 1e-6) -> DataFrame:

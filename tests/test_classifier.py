@@ -157,3 +157,46 @@ def test_calibration_is_kept_as_numbers(spark):
     p = spark.range(1).select(kept(F.lit(0.9), F.lit(0.05))).first()[0]
     f = [np.log(0.9001 / 0.1001), np.log(0.9001 / 0.1001) - np.log(0.0501 / 0.9501), 0.85]
     assert abs(p - 1 / (1 + np.exp(-(0.1 + sum((a - m) * w for a, m, w in zip(f, [0.1, 0.2, 0.3], [1.0, 0.5, 0.2], strict=True)))))) < 1e-12
+
+
+def test_terms_are_packed_and_folded(spark):
+    texts = ["word " * 700 + "été 😀x", "", None, "a bb ccc " + "y" * 60, "word"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, body string").coalesce(1)
+
+    def told(slots):
+        held = lexical.prepared(rows, [F.col("id")], F.col("body"), slots).orderBy("id").toArrow().combine_chunks().to_batches()[0]
+        return lexical._unpacked(held, slots)
+
+    row, slot, times = fine = told(4 * SLOTS)
+    assert times.max() >= 700 and set(row) == {0, 3, 4}
+    wanted = {}
+    for i, body in enumerate(texts):
+        for kind, found in enumerate(terms(body or "")):
+            for t in found:
+                at = (i, slot_in(t, kind, 4 * SLOTS))
+                wanted[at] = wanted.get(at, 0) + 1
+    assert dict(zip(zip(row.tolist(), slot.tolist()), times.tolist())) == wanted
+    for a, b in zip(lexical._folded(fine, 4 * SLOTS, SLOTS), told(SLOTS), strict=True):
+        assert (a == b).all()
+
+
+def slot_in(term, kind, slots):
+    value = xxhash.xxh64(term.encode(), seed=42).intdigest()
+    return (value - (value >> 63 << 64)) % slots + kind * slots
+
+
+def test_products_filled_and_not(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    matrix = rng.integers(0, 4, (7, 2 * SLOTS)) * (rng.random((7, 2 * SLOTS)) < 0.2)
+    matrix[2], matrix[4, SLOTS:], matrix[5, 3] = 0, 0, 100_000
+    row, slot = np.nonzero(matrix)
+    batch = pa.RecordBatch.from_arrays(lexical._packed((row, slot, matrix[row, slot]), 7, SLOTS), ["slot", "times", "more", "head"]).slice(1)
+    plain = np.where(matrix > 0, 1 + np.log(np.maximum(matrix, 1)), 0)[1:]
+    weights, rest = rng.random((2 * SLOTS, 3)), rng.random((6, 2, 3))
+    for room in (0, 2**13):
+        forth, back = lexical._products(batch, SLOTS, np.zeros(room))
+        for h, half in enumerate((slice(0, SLOTS), slice(SLOTS, None))):
+            assert np.allclose(forth(weights)[:, h], plain[:, half] @ weights[half])
+            assert np.allclose(back(rest)[half], plain[:, half].T @ rest[:, h])
