@@ -153,21 +153,26 @@ def train(rows: DataFrame, key: str, lexicon: dict[str, list[str]], networks: li
     if feedback is not None:
         extra = feedback.select(F.concat(F.lit("feedback "), F.col(key).cast("string")).alias("key"), *AD, "category")
         own = own.unionByName(extra, allowMissingColumns=True)
-    known = training_rows(own, lexicon).persist()
-    body = text.build_text(*map(F.col, AD))
-    held = lexical.fit(known, "key", body, "category", settings.slots, settings.c, settings.rounds)
+    known = training_rows(own, lexicon)
+    # the terms of a text are found once, for the model and for the folds' models
+    together = settings.slots % settings.fold_slots == 0
+    ads = known.select("key", *AD, F.col("category").alias("actual"), F.col("domain").alias("group"))
+    terms = lexical.dealt(ads, "key", "group", lexicon, networks, settings.folds, settings.slots, ["key", "actual"])
+    held = lexical.fit_terms(terms, "actual", F.array(), 1, settings.slots, settings.slots, settings.c, settings.rounds)[0]
     semantic = None
     if vector:
         whole = known.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"), F.array_position(F.array(*map(F.lit, held.labels)), F.col("category")).alias("n"))
         semantic = Semantic(model.softmax_fit(whole.select("v", (F.col("n") - 1).alias("label")), "v", "label", settings.c), held.labels)
-    keyed = known.withColumn("memory_key", text.advertiser_key(F.col("domain"), F.col("advertiser"), networks))
-    memory = predict.memory_shares(keyed, "memory_key", "category", list(lexicon))
-    counts = {r["category"]: r["n"] for r in known.groupBy("category").agg(F.count("*").alias("n")).collect()}  # a row for each category
-    meta: dict = {"rows": sum(counts.values()), "feedback": known.where(F.col("key").startswith("feedback ")).count(), "class_counts": {c: counts.get(c, 0) for c in lexicon}}
+    memory = predict.memory_shares(terms, "memory_key", "actual", list(lexicon))
+    counts = {r["actual"]: r["n"] for r in terms.groupBy("actual").agg(F.count("*").alias("n")).collect()}  # a row for each category
+    meta: dict = {"rows": sum(counts.values()), "feedback": terms.where(F.col("key").startswith("feedback ")).count(), "class_counts": {c: counts.get(c, 0) for c in lexicon}}
     calibration = None
     if evaluate:
-        ads = known.select("key", *AD, F.col("category").alias("actual"), F.col("domain").alias("group"))
-        answers = lexical.cross_validated(ads, "key", "group", lexicon, networks, settings.folds, settings.fold_slots, settings.rounds).persist()
+        if together:
+            answers = lexical.answers_of_folds(terms, ["actual"], lexicon, settings.folds, settings.slots, settings.fold_slots, settings.rounds)
+        else:
+            answers = lexical.cross_validated(ads, "key", "group", lexicon, networks, settings.folds, settings.fold_slots, settings.rounds, keep=["actual"])
+        answers = answers.select("actual", "category", "known", "alternatives").persist()
         meta["evaluation"] = lexical.validation_report(answers).first().asDict()
         meta["per_class"] = {r["class"]: {k: r[k] for k in ("precision", "recall", "f1", "support")} for r in model.confusion_metrics(answers.where("not known"), "actual", "category").collect()}
         best = answers.select(F.col("alternatives")[0]["score"].alias("top"), F.coalesce(F.get("alternatives", F.lit(1))["score"], F.lit(0.0)).alias("second"), (F.col("category") == F.col("actual")).cast("int").alias("right"))
@@ -176,5 +181,4 @@ def train(rows: DataFrame, key: str, lexicon: dict[str, list[str]], networks: li
             certain = best.where("top is not null").select(calibration(F.col("top"), F.col("second")).alias("p"), "right")
             meta["reliability"] = [r.asDict() for r in model.reliability(certain, "p", "right").collect()]
         answers.unpersist()
-    known.unpersist()
     return Classifier(lexicon, networks, held, semantic, memory, calibration, meta)

@@ -200,3 +200,12 @@ def test_products_filled_and_not(spark):
         for h, half in enumerate((slice(0, SLOTS), slice(SLOTS, None))):
             assert np.allclose(forth(weights)[:, h], plain[:, half] @ weights[half])
             assert np.allclose(back(rest)[half], plain[:, half].T @ rest[:, h])
+
+
+def test_texts_are_read_once_for_all_models(spark, monkeypatch):
+    rows, made, prepared = spark.createDataFrame(ads(45), SCHEMA), [], lexical.prepared
+    monkeypatch.setattr(lexical, "prepared", lambda *a: made.append(1) or prepared(*a))
+    classifier.train(rows, "id", LEXICON, [], settings=classifier.Settings(slots=2 * SLOTS, fold_slots=SLOTS, folds=2, rounds=3))
+    assert made == [1]
+    kept = lexical.cross_validated(rows.withColumnRenamed("category", "actual"), "id", "domain", LEXICON, [], 2, SLOTS, 3, keep=["id"])
+    assert kept.columns[0] == "id" and "title" not in kept.columns and kept.count() == 90
