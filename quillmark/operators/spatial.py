@@ -168,6 +168,44 @@ def cell_labels(cells: DataFrame, answers: DataFrame, optional: DataFrame) -> Da
     return met.select("page", "cell", F.col("sure").cast("int").alias("label"), F.when(~F.col("sure") & (F.col("n") > 0), 0.0).otherwise(1.0).alias("weight"))
 
 
+def grid_counts(answers: DataFrame, optional: DataFrame, side: int, columns: int, rows: int) -> DataFrame:
+    """For each page with boxes how many cells of a regular grid ``cell_labels`` gives label 1 (``positive``) and weight 0 (``ignored``).
+
+    A box covers the same columns in each row that it reaches, so a page is a few
+    numbers whose bits are its cells: no cell is a row of its own.
+    """
+    if columns > 62:
+        raise ValueError("a row of the grid has to fit the bits of a number")
+    each = 62 // columns  # rows of the grid in a number
+    starts, none = range(0, rows, each), F.lit(0).cast("long")
+
+    def reached(low: Column, high: Column, cells: int) -> tuple[Column, Column]:
+        """The first and the last of the cells in a row whose middles lie from ``low`` to ``high``."""
+        near = lambda v: F.least(F.greatest(v.cast("double"), F.lit(-1.0 * side)), F.lit((cells + 1.0) * side))
+        first, last = F.ceil(near(low) / side - 0.5), F.floor(near(high) / side - 0.5)
+        # a division may be off by a rounding, a comparison isn't
+        first = first - ((first - 0.5) * side >= low).cast("int") + ((first + 0.5) * side < low).cast("int")
+        last = last + ((last + 1.5) * side <= high).cast("int") - ((last + 0.5) * side > high).cast("int")
+        return F.greatest(first, none), F.least(last, F.lit(cells - 1).cast("long"))
+
+    def packed(boxes: DataFrame) -> DataFrame:
+        """Each box's cells: in a number of some rows of the grid, a bit for each cell."""
+        whole = F.col("x1").isNotNull() & F.col("x2").isNotNull() & F.col("y1").isNotNull() & F.col("y2").isNotNull()
+        (left, right), (top, bottom) = reached(F.col("x1"), F.col("x2"), columns), reached(F.col("y1"), F.col("y2"), rows)
+        spans = boxes.where("page is not null").select("page", whole.alias("whole"), left.alias("left"), right.alias("right"), top.alias("top"), bottom.alias("bottom"))
+        one = F.lit(1).cast("long")
+        bits = F.when(F.col("whole") & (F.col("right") >= F.col("left")), F.call_function("shiftleft", one, (F.col("right") + 1).cast("int")) - F.call_function("shiftleft", one, F.col("left").cast("int"))).otherwise(none)
+        lines = spans.select("page", "top", "bottom", bits.alias("bits"))
+        held = lambda at: sum((F.when((F.col("top") <= j) & (F.col("bottom") >= j), F.shiftleft("bits", columns * (j - at))).otherwise(none) for j in range(at, min(rows, at + each))), none)
+        return lines.select("page", *[held(at).alias(f"c{at}") for at in starts])
+
+    part = lambda boxes, own: packed(boxes).select("page", *[(F.col(f"c{at}") if name == own else none).alias(f"{name}{at}") for name in ("sure", "maybe") for at in starts])
+    met = part(answers, "sure").unionByName(part(optional, "maybe"))
+    met = met.groupBy("page").agg(*[F.bit_or(f"{name}{at}").alias(f"{name}{at}") for name in ("sure", "maybe") for at in starts])
+    count = lambda of: sum((F.bit_count(of(at)).cast("long") for at in starts), none)
+    return met.select("page", count(lambda at: F.col(f"sure{at}")).alias("positive"), count(lambda at: F.col(f"maybe{at}").bitwiseAND(F.bitwise_not(F.col(f"sure{at}")))).alias("ignored"))
+
+
 def training_cells(labelled: DataFrame, most: int = 40_000) -> DataFrame:
     """The cells that count, at most ``most`` of them, drawn by a hash."""
     return labelled.where("weight > 0").orderBy(F.xxhash64("page", "cell"), "page", "cell").limit(most)

@@ -76,6 +76,21 @@ def test_cells_and_decisions(spark):
     assert [(round(r.score, 6), r.is_ad, r.likelihood) for r in spatial.decided(blocks).collect()] == [(0.6, True, 0.6), (0.3, False, 0.5), (0.54, True, 0.54), (0.0, False, 0.5)]
 
 
+@pytest.mark.parametrize("side, columns, rows", [(24, 20, 20), (7, 62, 3), (10.5, 5, 9), (0.1, 31, 50)])
+def test_counts_of_grid_cells_are_those_of_their_labels(spark, side, columns, rows):
+    rng = random.Random(columns)
+    some = lambda n: [(rng.randrange(4), x := rng.choice([None, *range(0, 480, 6)]), y := rng.randrange(-30, 480), (x or 0) + rng.choice([-5, 0, 12, 24, 90, 600]), y + rng.choice([0, 24, 77, 500])) for _ in range(n)]
+    answers, optional = (spark.createDataFrame([*some(9), (9, 900, 900, 950, 950)], "page long, x1 long, y1 long, x2 long, y2 long") for _ in range(2))
+    cells = answers.union(optional).select("page").distinct().crossJoin(spark.range(columns * rows).withColumnRenamed("id", "cell")).selectExpr("page", "cell", f"(cell % {columns} + 0.5d) * {side}d as cx", f"(floor(cell / {columns}) + 0.5d) * {side}d as cy")
+    wanted = spatial.cell_labels(cells, answers, optional).groupBy("page").agg(F.sum("label").alias("positive"), F.count_if(F.col("weight") == 0).alias("ignored"))
+    assert sorted(spatial.grid_counts(answers, optional, side, columns, rows).collect()) == sorted(wanted.collect())
+
+
+def test_cells_of_a_grid_are_no_rows(spark):
+    plan = catalogue.QUERIES["cell_labels"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
 @pytest.mark.parametrize("name", ["word_grams", "char_grams", "scan_decision", "cell_labels"])
 def test_oracles(spark, duck, name):
     assert_same(catalogue.QUERIES[name](spark, SF), duck, catalogue.ORACLES[name])
